@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid, quality_bands, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,32 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return quality_bands.assess(table(spark, sf_dir, "documents"))
+
+
+def op8_langid_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op7_bpe_rank_array,)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op7_bpe_rank_array, op8_langid_byte_cnn, op10_toxicity_counterfactual)}
 ORACLE: dict[str, str] = {}
