@@ -1,7 +1,8 @@
 """Toxicity: a sparse word classifier with a counterfactual penalty.
 
 Features of a text are its words (runs of letters, digits and non-ASCII bytes, A-Z folded) and their
-beginnings of 4 to 8 bytes, by 64-bit hash, each found at least once, twice or three times. The model is a logistic regression with
+beginnings of 4 to 8 bytes, by 64-bit hash, each found at all, or found repeatedly at one of two
+rates (``RATES``), so that a long text isn't judged by what any long text holds. The model is a logistic regression with
 non-negative weights, so clean text around an insult can't hide it, an L1 penalty, and the
 counterfactual penalty: in every labelled sentence that names a group, the name is swapped for
 others of its kind and squared changes of the score are penalised. A name that merely co-occurs
@@ -29,9 +30,12 @@ from . import words
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_TRAIN_ROWS = 8000
+#: A feature counts if at least three rows and this share of the rows with label 1 have it.
+MIN_SUPPORT = 0.02
 PREFIXES = (4, 5, 6, 7, 8)
-#: Occurrences that count as features of their own: at least one, at least two, ...
-COUNTS = 3
+#: Words per occurrence, at most, for each level of a feature after the first; those need two occurrences.
+RATES = (250, 80)
+LEVELS = 1 + len(RATES)
 #: Swaps learned from per labelled text, at most; bounds what reaches the driver.
 MAX_SWAPS = 32
 #: Names of groups, by kind. Within a kind any name can stand for another.
@@ -50,8 +54,8 @@ _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 _SWAPS = {t: [x for x in kind if x != t] for kind in IDENTITY_TERMS.values() for t in kind}
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit feature hash of every word and word beginning."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and 64-bit feature hash of every word and word beginning, and the words of each row."""
     data = words.FOLD[data]
     is_word = _LETTER[data]
     starts, ends, rows = words.spans(is_word, offsets)
@@ -62,17 +66,23 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         long = np.flatnonzero(ends - starts >= n)
         out.append(words.mix((head[long] & np.uint64((1 << 8 * n) - 1)) + np.uint64(n * 0x9E3779B97F4A7C1)))
         of.append(rows[long])
-    return np.concatenate(of), np.concatenate(out)
+    return np.concatenate(of), np.concatenate(out), np.bincount(rows, minlength=len(offsets) - 1)
 
 
 Bag = tuple[np.ndarray, np.ndarray]
 
 
+def levels(n: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """The level, from 1 to LEVELS, that n occurrences reach among n_words words."""
+    return 1 + sum((n >= 2) & (n * r >= n_words) for r in RATES)
+
+
 def text_features(text: str) -> Bag:
-    """Distinct feature hashes in order, and how often each occurs, up to COUNTS."""
+    """Distinct feature hashes in order, and the level of each."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    keys, n = np.unique(features(raw, np.array([0, len(raw)]))[1], return_counts=True)
-    return keys, np.minimum(n, COUNTS).astype(np.uint8)
+    _, found, n_words = features(raw, np.array([0, len(raw)]))
+    keys, n = np.unique(found, return_counts=True)
+    return keys, levels(n, n_words).astype(np.uint8)
 
 
 def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
@@ -86,7 +96,7 @@ def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
 
 @dataclass
 class Model:
-    """Active features in order, the summed weights of 1, 2, ... COUNTS occurrences, and the bias."""
+    """Active features in order, the summed weights at levels 1 to LEVELS, and the bias."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -100,14 +110,15 @@ class Model:
         logit = np.full(len(offsets) - 1, self.bias)
         for i, j in words.blocks(offsets):
             lo, hi = offsets[i], offsets[j]
-            rows, keys = features(data[lo:hi], offsets[i : j + 1] - lo)
+            rows, keys, n_words = features(data[lo:hi], offsets[i : j + 1] - lo)
             near = np.flatnonzero(self.mask[(keys >> np.uint64(48)).astype(np.int64)])
             if not len(near) or not len(self.keys):
                 continue
             at = np.minimum(np.searchsorted(self.keys, keys[near]), len(self.keys) - 1)
             hit = self.keys[at] == keys[near]
             pairs, n = np.unique(rows[near][hit] * len(self.keys) + at[hit], return_counts=True)
-            logit[i:j] += np.bincount(pairs // len(self.keys), self.weights[pairs % len(self.keys), np.minimum(n, COUNTS) - 1], j - i)
+            row = pairs // len(self.keys)
+            logit[i:j] += np.bincount(row, self.weights[pairs % len(self.keys), levels(n, n_words[row]) - 1], j - i)
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
     def score(self, text: str | None) -> float:
@@ -116,30 +127,30 @@ class Model:
 
 
 def _columns(bags: list[Bag], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bag and column of each feature that holds; column: COUNTS * place in keys + count - 1."""
+    """Bag and column of each feature that holds; column: LEVELS * place in keys + level - 1."""
     of = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
     all_keys, n = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
     at = np.minimum(np.searchsorted(keys, all_keys), len(keys) - 1)
     known = keys[at] == all_keys
     of, at, n = of[known], at[known], n[known]
-    return np.concatenate([of[n > c] for c in range(COUNTS)]), np.concatenate([at[n > c] * COUNTS + c for c in range(COUNTS)])
+    return np.concatenate([of[n > c] for c in range(LEVELS)]), np.concatenate([at[n > c] * LEVELS + c for c in range(LEVELS)])
 
 
 def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: float = 2e-4, fairness: float = 4.0, steps: int = 800) -> Model:
     """Proximal gradient descent. rows: label and bag of features; swaps: bags of both sentences."""
     y = np.array([r[0] for r in rows], np.float64)
     pos, neg = y.sum(), (1 - y).sum()
-    none = Model(np.empty(0, np.uint64), np.empty((0, COUNTS)), -40.0)
+    none = Model(np.empty(0, np.uint64), np.empty((0, LEVELS)), -40.0)
     if not pos or not neg:
         return none
     keys, n = np.unique(np.concatenate([b[0] for label, b in rows if label]), return_counts=True)
-    keys = keys[n >= 3]
+    keys = keys[n >= max(3, MIN_SUPPORT * pos)]
     if not len(keys):
         return none
     of, col = _columns([r[1] for r in rows], keys)
-    in_pos, total = np.bincount(col, y[of], len(keys) * COUNTS), np.bincount(col, minlength=len(keys) * COUNTS)
+    in_pos, total = np.bincount(col, y[of], len(keys) * LEVELS), np.bincount(col, minlength=len(keys) * LEVELS)
     # weights can't be negative, so a feature must be more common under label 1 to get any
-    useful = (in_pos >= 3) & (in_pos / pos > 3 * (total - in_pos) / neg)
+    useful = (in_pos >= max(3, MIN_SUPPORT * pos)) & (in_pos / pos > 3 * (total - in_pos) / neg)
     n = int(useful.sum())
     if not n:
         return none
@@ -179,9 +190,9 @@ def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: fl
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = w1 + (t - 1) / t1 * (w1 - w), b1 + (t - 1) / t1 * (b1 - bias)
         w, bias, t = w1, b1, t1
-    full = np.zeros(len(keys) * COUNTS)
+    full = np.zeros(len(keys) * LEVELS)
     full[useful] = w
-    full = full.reshape(-1, COUNTS).cumsum(1)
+    full = full.reshape(-1, LEVELS).cumsum(1)
     on = full[:, -1] > 1e-3
     return Model(keys[on], full[on], float(bias))
 
