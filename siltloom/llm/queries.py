@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality_bands, toxicity
+from . import bpe, chat_trees, langid, quality_bands, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,21 @@ def op10_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_trees.digests(chat_trees.format_trees(chat_trees.linear(talks)))
+
+
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op7_bpe_rank_array, op8_langid_byte_cnn, op10_toxicity_counterfactual)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_chat_reply_trees, op4_secret_ledger, op7_bpe_rank_array, op8_langid_byte_cnn, op10_toxicity_counterfactual)}
+ORACLE: dict[str, str] = {"op2_chat_reply_trees": chat_trees.ORACLE, "op4_secret_ledger": secrets.ORACLE}
