@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_trees, langid, quality_bands, secrets, toxicity
+from . import bpe, chat_trees, langid, mixing, quality_bands, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op8_langid_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).drop("text")
+
+
 def op10_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents")
@@ -61,5 +66,5 @@ def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_chat_reply_trees, op4_secret_ledger, op7_bpe_rank_array, op8_langid_byte_cnn, op10_toxicity_counterfactual)}
-ORACLE: dict[str, str] = {"op2_chat_reply_trees": chat_trees.ORACLE, "op4_secret_ledger": secrets.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_chat_reply_trees, op4_secret_ledger, op7_bpe_rank_array, op8_langid_byte_cnn, op9_temperature_mixing, op10_toxicity_counterfactual)}
+ORACLE: dict[str, str] = {"op2_chat_reply_trees": chat_trees.ORACLE, "op4_secret_ledger": secrets.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
