@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_trees, langid, mixing, quality_bands, secrets, toxicity
+from . import bpe, chat_trees, langid, mixing, quality_bands, secrets, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,15 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_topk_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_chat_reply_trees, op4_secret_ledger, op7_bpe_rank_array, op8_langid_byte_cnn, op9_temperature_mixing, op10_toxicity_counterfactual)}
-ORACLE: dict[str, str] = {"op2_chat_reply_trees": chat_trees.ORACLE, "op4_secret_ledger": secrets.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_chat_reply_trees, op4_secret_ledger, op6_topk_norm_sorted, op7_bpe_rank_array, op8_langid_byte_cnn, op9_temperature_mixing, op10_toxicity_counterfactual)}
+ORACLE: dict[str, str] = {"op2_chat_reply_trees": chat_trees.ORACLE, "op4_secret_ledger": secrets.ORACLE, "op6_topk_norm_sorted": topk.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
