@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .scratch import Scratch
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_TRAIN_ROWS = 8000
@@ -136,6 +137,14 @@ def _columns(bags: list[Bag], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([of[n > c] for c in range(LEVELS)]), np.concatenate([at[n > c] * LEVELS + c for c in range(LEVELS)])
 
 
+def candidates(positive: list[Bag]) -> np.ndarray:
+    """Features, in order, that enough of the rows with label 1 have."""
+    if not positive:
+        return np.empty(0, np.uint64)
+    keys, n = np.unique(np.concatenate([b[0] for b in positive]), return_counts=True)
+    return keys[n >= max(3, MIN_SUPPORT * len(positive))]
+
+
 def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: float = 2e-4, fairness: float = 4.0, steps: int = 800) -> Model:
     """Proximal gradient descent. rows: label and bag of features; swaps: bags of both sentences."""
     y = np.array([r[0] for r in rows], np.float64)
@@ -143,8 +152,7 @@ def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: fl
     none = Model(np.empty(0, np.uint64), np.empty((0, LEVELS)), -40.0)
     if not pos or not neg:
         return none
-    keys, n = np.unique(np.concatenate([b[0] for label, b in rows if label]), return_counts=True)
-    keys = keys[n >= max(3, MIN_SUPPORT * pos)]
+    keys = candidates([b for label, b in rows if label])
     if not len(keys):
         return none
     of, col = _columns([r[1] for r in rows], keys)
@@ -199,28 +207,40 @@ def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: fl
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on ``labelled``, which holds at most ``max_rows`` rows (its caller chooses them)."""
-    source = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
-
-    def pack(bag: Bag) -> dict:
-        return {"k": bag[0].tobytes(), "n": bag[1].tobytes()}
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                swaps = []
-                for k, (s, other) in enumerate(counterfactuals(t or "")):
-                    if k >= MAX_SWAPS:
-                        break
-                    swaps.append({"a": pack(text_features(s)), "b": pack(text_features(other))})
-                out.append({"y": y, "x": pack(text_features(t or "")), "swaps": swaps})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+    source = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t")).limit(max_rows)
+    source = Scratch(labelled.sparkSession, "toxicity").cut(source)
+
+    def bags(keys: np.ndarray | None):
+        """Bags of the rows of a batch, cut down to ``keys`` if given."""
+
+        def pack(bag: Bag) -> dict:
+            if keys is not None:
+                known = np.isin(bag[0], keys, assume_unique=True)
+                bag = bag[0][known], bag[1][known]
+            return {"k": bag[0].tobytes(), "n": bag[1].tobytes()}
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    swaps = []
+                    for k, (s, other) in enumerate(counterfactuals(t or "") if keys is not None else ()):
+                        if k >= MAX_SWAPS:
+                            break
+                        swaps.append({"a": pack(text_features(s)), "b": pack(text_features(other))})
+                    out.append({"y": y, "x": pack(text_features(t or "")), "swaps": swaps})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+        return run
 
     bag = pa.struct([("k", pa.binary()), ("n", pa.binary())])
     schema = pa.schema([("y", pa.int32()), ("x", bag), ("swaps", pa.list_(pa.struct([("a", bag), ("b", bag)])))])
     kind = "struct<k: binary, n: binary>"
-    got = source.mapInArrow(run, f"y int, x {kind}, swaps array<struct<a: {kind}, b: {kind}>>").limit(max_rows).toArrow()
+    ddl = f"y int, x {kind}, swaps array<struct<a: {kind}, b: {kind}>>"
     bag_of = lambda x: (np.frombuffer(x["k"], np.uint64), np.frombuffer(x["n"], np.uint8))
+    # what label 1 holds decides which features can matter; of all other rows only those are fetched
+    keys = candidates([bag_of(x) for x in source.where("y = 1").mapInArrow(bags(None), ddl).toArrow()["x"].to_pylist()])
+    got = source.mapInArrow(bags(keys), ddl).toArrow()
     rows = [(int(y), bag_of(x)) for y, x in zip(got["y"].to_pylist(), got["x"].to_pylist())]
     swaps = [(bag_of(s["a"]), bag_of(s["b"])) for x in got["swaps"].to_pylist() for s in x or ()]
     return fit_arrays(rows, swaps)
