@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_trees, langid, mixing, quality_bands, secrets, topk, toxicity
+from . import bpe, chat_trees, langid, minhash, mixing, quality_bands, secrets, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op2_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_trees.digests(chat_trees.format_trees(chat_trees.linear(talks)))
 
 
+def op3_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -71,5 +76,5 @@ def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_chat_reply_trees, op4_secret_ledger, op6_topk_norm_sorted, op7_bpe_rank_array, op8_langid_byte_cnn, op9_temperature_mixing, op10_toxicity_counterfactual)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_chat_reply_trees, op3_minhash_circulant, op4_secret_ledger, op6_topk_norm_sorted, op7_bpe_rank_array, op8_langid_byte_cnn, op9_temperature_mixing, op10_toxicity_counterfactual)}
 ORACLE: dict[str, str] = {"op2_chat_reply_trees": chat_trees.ORACLE, "op4_secret_ledger": secrets.ORACLE, "op6_topk_norm_sorted": topk.ORACLE, "op9_temperature_mixing": mixing.ORACLE}
