@@ -18,6 +18,8 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,22 +50,28 @@ def branches(nodes: DataFrame, scratch: Scratch, top: int | None = None) -> Data
     keys = scratch.cut(nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     known = keys.select(F.col("tree").alias("t2"), F.col("node").alias("up"))
     hop = keys.join(known, (F.col("tree") == F.col("t2")) & (F.col("parent") == F.col("up")), "left").select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("depth"))
-    hops = [scratch.cut(hop)]
-    n, span = keys.count(), 1
-    while span <= n and hops[-1].where("up is not null").limit(1).count():
-        a, b = hops[-1], hops[-1].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        hops.append(scratch.cut(a.join(b, (F.col("tree") == F.col("t2")) & (F.col("up") == F.col("n2")), "left").select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))))
+    state = scratch.cut(hop)
+    # a node is done once its link has passed the root; only the others are joined again
+    hops, done = [], [state.where("up is null")]
+    n, span, rest = keys.count(), 1, state.where("up is not null")
+    while span <= n and rest.limit(1).count():
+        hops.append(rest)
+        every = reduce(DataFrame.unionByName, [rest, *done])
+        of_up = every.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        state = scratch.cut(rest.join(of_up, (F.col("tree") == F.col("t2")) & (F.col("up") == F.col("n2"))).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")))
+        done.append(state.where("up is null"))
+        rest = state.where("up is not null")
         span *= 2
-    done = hops[-1].where("up is null")
-    parents = hops[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+    done = reduce(DataFrame.unionByName, done)
+    parents = keys.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = done.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("depth")).alias("branch_score"), "depth")
     order = Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
     leaves = leaves.withColumn("branch_rank", F.row_number().over(order))
     if top is not None:
         leaves = leaves.where(F.col("branch_rank") <= top)
     path = leaves.select("*", F.col("leaf").alias("node"), F.col("depth").alias("position"))
-    for k, hop in enumerate(hops[:-1]):
-        up = hop.where("up is not null").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
+    for k, hop in enumerate(hops):
+        up = hop.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         more = path.join(up, (F.col("tree") == F.col("t2")) & (F.col("node") == F.col("n2"))).select(*(c for c in path.columns if c not in ("node", "position")), F.col("up").alias("node"), (F.col("position") - (1 << k)).alias("position"))
         path = scratch.cut(path.unionByName(more))
     return path.drop("depth")
