@@ -110,10 +110,11 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         .join(fits.select(F.col("sk").alias("s3"), "last_h"), F.col("sk") == F.col("s3"), "left")
         .select("sk", "epochs", "rest", "cut_order", "last_h")
     )
-    joined = marked.join(limits, F.col("__sk") == F.col("sk"), "left")
-    last = order(F.col("epochs"))
-    extra = (F.col("rest") > 0) & (F.col("cut_order").isNull() | (last < F.col("cut_order")) | ((last == F.col("cut_order")) & F.coalesce(F.col("__h") <= F.col("last_h"), F.lit(False))))
-    times = F.col("epochs") + F.when(extra, 1).otherwise(0)
+    limits = limits.select(*(F.col(c).alias(f"__{c}") for c in limits.columns)).withColumnRenamed("__sk", "__of")
+    joined = marked.join(limits, F.col("__sk") == F.col("__of"), "left")
+    last = order(F.col("__epochs"))
+    extra = (F.col("__rest") > 0) & (F.col("__cut_order").isNull() | (last < F.col("__cut_order")) | ((last == F.col("__cut_order")) & F.coalesce(F.col("__h") <= F.col("__last_h"), F.lit(False))))
+    times = F.col("__epochs") + F.when(extra, 1).otherwise(0)
     copies = joined.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("bigint"), times - 1))))
     return copies.select(*own, "n_tokens", "epoch", F.conv("block", 16, 10).cast("int").alias("block"), order(F.col("epoch")).alias("block_order"))
 

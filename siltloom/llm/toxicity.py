@@ -246,18 +246,19 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_rows:
     return fit_arrays(rows, swaps)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Texts and labels of at most ``max_rows`` labelled ids outside the held-out fold.
 
     The fold is crc32(id) mod 5 = 0. The ids, whose number is bounded, are broadcast to the texts.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
-        .select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("__id"), "__id", "label")
+        .select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label"))
+        .orderBy(F.xxhash64("__id"), "__id", "__label")
         .limit(max_rows)
     )
-    return docs.join(F.broadcast(chosen), docs[key] == chosen["__id"]).select(docs["text"].alias("text"), "label")
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("text", F.col("__label").alias("label"))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
