@@ -83,15 +83,15 @@ class Network:
         return got
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Adam on cross-entropy. x: window rows; y: indices into langs."""
+def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, least_steps: int = 600, rate: float = 4e-3, seed: int = 7) -> Network:
+    """Adam on cross-entropy, over ``epochs`` passes or ``least_steps`` batches of 96. x: window rows; y: indices into langs."""
     rng = np.random.default_rng(seed)
     net = Network(langs, rng.normal(0, 0.5, (256, EMBED)), {k: rng.normal(0, 1 / np.sqrt(k * EMBED), (k, EMBED, FILTERS)) for k in WIDTHS}, {k: np.zeros(FILTERS) for k in WIDTHS}, rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(langs))), np.zeros(len(langs)))
     params = [net.embed, *net.filters.values(), *net.bias.values(), net.out, net.out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     balance = len(y) / np.maximum(np.bincount(y, minlength=len(langs)), 1) / len(langs)
     t = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * 96 // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), 96):
             part, want = x[order[at : at + 96]], y[order[at : at + 96]]

@@ -114,56 +114,68 @@ def _anchor_rows(heavy: np.ndarray):
     return run
 
 
-def _marked(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position and heaviness of the (at, heavy) pairs that a list column gives each row."""
+def _marked(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position of the marks that a list column gives each row, sorted."""
     lists = batch.column(column)
-    subs = batch.column(1).to_numpy()
-    flat = lists.flatten()
     n = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     n = np.where(lists.is_valid().to_numpy(zero_copy_only=False), n, 0)
     row = np.repeat(np.arange(len(lists)), n)
-    at = flat.to_numpy(zero_copy_only=False).astype(np.int64)
-    mine = (at >> 41) == subs[row] if len(at) else np.empty(0, bool)
-    at = at & ((1 << 41) - 1)
-    return row[mine], at[mine] >> 1, (at[mine] & 1).astype(bool)
+    at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    mine = at // SUB == batch.column(1).to_numpy()[row]
+    row, pos = row[mine], at[mine] % SUB
+    order = np.lexsort((pos, row))
+    return row[order], pos[order]
 
 
 def _packed(df: DataFrame, name: str) -> DataFrame:
-    """Per document the list of at * 2 + heavy, split by the row number above bit 41."""
-    bits = F.col("at") * 2 + F.when(F.col("heavy"), 1).otherwise(0)
-    return df.groupBy(F.col("doc").alias(f"{name}_doc")).agg(F.collect_list(bits).alias(name))
+    return df.groupBy(F.col("doc").alias(f"{name}_doc")).agg(F.collect_list("at").alias(name))
 
 
-def _local(batch: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, i: int, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the marked positions those in a block, as (mark index, row in block, place in block)."""
-    lo, hi = np.searchsorted(row, [i, i + len(off) - 1])
-    r = row[lo:hi] - i
-    return np.arange(lo, hi), r, off[r] + pos[lo:hi]
+class _Regions:
+    """The bytes around a block's marks, as texts of their own: all that windows with those anchors can cover."""
+
+    def __init__(self, part: np.ndarray, off: np.ndarray, r: np.ndarray, a: np.ndarray):
+        lo, hi = np.maximum(a - SPREAD, off[r]), np.minimum(a + LENGTH, off[r + 1])
+        new = np.concatenate([[True], lo[1:] >= np.maximum.accumulate(hi)[:-1]])
+        first = np.flatnonzero(new)
+        start, end = lo[first], np.maximum.reduceat(hi, first)
+        self.offsets = np.concatenate([[0], np.cumsum(end - start)])
+        self.shift = start - self.offsets[:-1]
+        self.source = np.arange(self.offsets[-1]) + np.repeat(self.shift, end - start)
+        self.data = part[self.source]
+        self.of = np.cumsum(new) - 1  # region of each mark
+        self.a, self.lo, self.hi = a - self.shift[self.of], lo - self.shift[self.of], hi - self.shift[self.of]
+
+
+def _each_block(batch: pa.RecordBatch, marks: list[tuple[np.ndarray, np.ndarray]]):
+    """First row, bytes, offsets and, per kind of mark, rows and places in the block."""
+    for i, part, off in _blocks_of(batch, 2):
+        here = []
+        for row, pos in marks:
+            x, y = np.searchsorted(row, [i, i + len(off) - 1])
+            here.append((row[x:y] - i, off[row[x:y] - i] + pos[x:y]))
+        yield i, part, off, here
 
 
 def _context_rows(batches):
-    """Ranks of what surrounds each marked anchor: 84 bytes (c, c2), 33 to the left, 33 to the right."""
+    """Ranks of what surrounds each marked anchor: up to 84 bytes (c, c2), 33 to the left, 33 to the right."""
     for batch in batches:
         docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        row, pos, heavy = _marked(batch, 3)
-        order = np.lexsort((pos, row))
-        row, pos, heavy = row[order], pos[order], heavy[order]
-        for i, part, off in _blocks_of(batch, 2):
-            mark, r, a = _local(batch, row, pos, i, off)
-            if not len(mark):
+        for i, part, off, [(r, a)] in _each_block(batch, [_marked(batch, 3)]):
+            if not len(a):
                 continue
-            one, two = doubled(part, 0), doubled(part, 1)
-            lo, hi = np.maximum(a - SPREAD, off[r]), np.minimum(a + LENGTH, off[r + 1]) - LENGTH
-            shape = words.mix(((a - lo) * 256 + (hi - lo)).astype(np.uint64))
-            c = words.mix(one[50][lo] * words.BASE + one[50][hi] + shape)
-            c2 = words.mix(two[50][lo] * words.BASE + two[50][hi] + shape) >> np.uint64(33)
-            # the windows at both ends cover a context of up to 2 * LENGTH bytes
-            left_ok, right_ok = a - HALF >= off[r], a + 33 <= off[r + 1]
-            left = words.mix(one[33][np.maximum(a - HALF, 0)] + np.uint64(1)).view(np.int64)
-            right = words.mix(one[33][np.minimum(a, len(one[33]) - 1)] + np.uint64(2)).view(np.int64)
+            x = _Regions(part, off, r, a)
+            one, two = doubled(x.data, 0), doubled(x.data, 1)
+            last = x.hi - LENGTH
+            shape = words.mix(((x.a - x.lo) * 256 + (last - x.lo)).astype(np.uint64))
+            c = words.mix(one[50][x.lo] * words.BASE + one[50][last] + shape)
+            c2 = words.mix(two[50][x.lo] * words.BASE + two[50][last] + shape) >> np.uint64(33)
+            left_ok, right_ok = x.a - HALF >= x.lo, x.a + 33 <= x.hi
+            left = words.mix(one[33][np.maximum(x.a - HALF, 0)] + np.uint64(1)).view(np.int64)
+            right = words.mix(one[33][np.minimum(x.a, len(one[33]) - 1)] + np.uint64(2)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.view(np.int64)), pa.array(c2.astype(np.int32)), pa.array(left, mask=~left_ok), pa.array(right, mask=~right_ok), pa.array(docs[i + r]), pa.array(pos[mark] + subs[i + r] * SUB), pa.array(heavy[mark])],
-                names=["c", "c2", "left", "right", "doc", "at", "heavy"],
+                [pa.array(c.view(np.int64)), pa.array(c2.astype(np.int32)), pa.array(left, mask=~left_ok), pa.array(right, mask=~right_ok), pa.array(docs[i + r]), pa.array(a - off[r] + subs[i + r] * SUB)],
+                names=["c", "c2", "left", "right", "doc", "at"],
             )
 
 
@@ -171,40 +183,44 @@ def _window_rows(batches):
     """Rank (k, k2) of each window whose anchor is marked on the window's side."""
     for batch in batches:
         docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        sides = [_marked(batch, 3), _marked(batch, 4)]
-        for i, part, off in _blocks_of(batch, 2):
-            n = len(part)
-            flags = np.zeros((3, n), bool)
-            for side, (row, pos, heavy) in enumerate(sides):
-                order = np.argsort(row, kind="stable")
-                mark, r, a = _local(batch, row[order], pos[order], i, off)
-                flags[side, a] = True
-                flags[2, a[heavy[order][mark]]] = True
-            if not flags.any():
+        for i, part, off, sides in _each_block(batch, [_marked(batch, 3), _marked(batch, 4)]):
+            a, at = np.unique(np.concatenate([m[1] for m in sides]), return_index=True)
+            if not len(a):
                 continue
-            one = doubled(part, 0)
-            own = _windows(off, n)
-            of = anchors_of_windows(one[GRAM], n)[own]
+            x = _Regions(part, off, np.concatenate([m[0] for m in sides])[at], a)
+            flags = np.zeros((2, len(x.data)), bool)
+            for side, (_, places) in enumerate(sides):
+                k = np.searchsorted(a, places)
+                flags[side, x.a[k]] = True
+            one = doubled(x.data, 0)
+            own = _windows(x.offsets, len(x.data))
+            of = anchors_of_windows(one[GRAM], len(x.data))[own]
             shift = of - own
-            take = (flags[0, of] & (shift >= HALF)) | (flags[1, of] & (shift <= SPREAD - HALF))
-            p, of = own[take], of[take]
+            p = own[(flags[0, of] & (shift >= HALF)) | (flags[1, of] & (shift <= SPREAD - HALF))]
             if not len(p):
                 continue
-            two = doubled(part, 1)
-            r = np.searchsorted(off, p, "right") - 1
+            two = doubled(x.data, 1)
+            place = x.source[p]
+            r = np.searchsorted(off, place, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words.mix(one[50][p]).view(np.int64)), pa.array((words.mix(two[50][p]) >> np.uint64(33)).astype(np.int32)), pa.array(docs[i + r]), pa.array(p - off[r] + subs[i + r] * SUB), pa.array(flags[2, of])],
-                names=["k", "k2", "doc", "at", "heavy"],
+                [pa.array(words.mix(one[50][p]).view(np.int64)), pa.array((words.mix(two[50][p]) >> np.uint64(33)).astype(np.int32)), pa.array(docs[i + r]), pa.array(place - off[r] + subs[i + r] * SUB)],
+                names=["k", "k2", "doc", "at"],
             )
 
 
 def _results(batches):
-    """Removed runs and what is left of each text. ``around`` marks anchors whose windows all go, ``single`` windows."""
+    """Removed runs and what is left of each text.
+
+    Marks: anchors whose windows all go (light ones), heavy anchors, those of them whose windows
+    don't all go, and single windows that go.
+    """
     for batch in batches:
         data, offsets = words.column_bytes(batch.column(2))
-        around, single = _marked(batch, 3), _marked(batch, 4)
-        ends = np.searchsorted(np.sort(around[0]), np.arange(batch.num_rows + 1)), np.searchsorted(np.sort(single[0]), np.arange(batch.num_rows + 1))
-        a_pos, s_pos = around[1][np.argsort(around[0], kind="stable")], single[1][np.argsort(single[0], kind="stable")]
+        light, heavy, first, single = (_marked(batch, k) for k in (3, 4, 5, 6))
+        code = lambda m: m[0] * SUB + m[1]
+        around = np.sort(np.concatenate([code(light), np.setdiff1d(code(heavy), code(first))]))
+        ends = np.searchsorted(around // SUB, np.arange(batch.num_rows + 1)), np.searchsorted(single[0], np.arange(batch.num_rows + 1))
+        a_pos, s_pos = around % SUB, single[1]
         removed, spans, shas, where = [], [], [], []
         for r in range(batch.num_rows):
             raw = data[offsets[r] : offsets[r + 1]]
@@ -232,17 +248,16 @@ def _results(batches):
         )
 
 
-def _with_bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with lo and hi, the least and greatest doc among rows of equal keys.
-
-    Light ranks are sorted together; heavy ones are summed first and joined, so that they can be split.
-    """
+def _sorted_bounds(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with lo and hi, the least and greatest doc among rows of equal keys, which are sorted together."""
     group = Window.partitionBy(*keys)
-    light = rows.where("not heavy").withColumns({"lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
-    heavy = rows.where("heavy")
-    sums = heavy.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    on = [F.col(k) == F.col(f"{k}_") for k in keys]
-    return light.unionByName(heavy.join(sums, on).drop(*(f"{k}_" for k in keys)))
+    return rows.withColumns({"lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
+
+
+def _joined_bounds(rows: DataFrame, *keys: str) -> DataFrame:
+    """The same for heavy ranks: bounds are summed before the shuffle and joined, which Spark can split."""
+    sums = rows.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    return rows.join(sums, [F.col(k) == F.col(f"{k}_") for k in keys]).drop(*(f"{k}_" for k in keys))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,34 +287,45 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def marked(*marks: DataFrame) -> DataFrame:
         out = table
         for i, m in enumerate(marks):
-            packed = _packed(m, f"m{i}")
-            out = out.join(packed, F.col("doc_id") == F.col(f"m{i}_doc"), "left")
-        return out.select("doc_id", "sub", "text", *(f"m{i}" for i in range(len(marks))))
+            out = out.join(_packed(m, f"m{i}"), F.col("doc_id") == F.col(f"m{i}_doc"), "left")
+        return out.where(" or ".join(f"m{i} is not null" for i in range(len(marks)))).select("doc_id", "sub", "text", *(f"m{i}" for i in range(len(marks))))
 
     # round 2: all that the windows of an anchor can cover
-    contexts = scratch.cut(marked(alike).where("m0 is not null").mapInArrow(_context_rows, "c bigint, c2 int, left bigint, right bigint, doc bigint, at bigint, heavy boolean"))
-    scratch.drop(alike)
-    scratch.release()
-    settled = scratch.cut(_with_bounds(contexts, ["c", "c2"]).select("left", "right", "doc", "at", "heavy", (F.col("lo") < F.col("doc")).alias("covered")))
-    scratch.drop(contexts)
+    shape = "c bigint, c2 int, left bigint, right bigint, doc bigint, at bigint"
+    light = scratch.cut(_sorted_bounds(marked(alike.where("not heavy")).mapInArrow(_context_rows, shape), "c", "c2").select("left", "right", "doc", "at", (F.col("lo") < F.col("doc")).alias("covered")))
+    # of a heavy context only the first document's anchors aren't covered; their lists are summed, not joined
+    own = marked(alike.where("heavy")).mapInArrow(_context_rows, shape).groupBy("c", "c2", "doc").agg(F.collect_list(F.struct("left", "right", "at")).alias("own"))
+    first = own.groupBy("c", "c2").agg(F.min_by(F.struct("doc", "own"), "doc").alias("f")).select("f.doc", F.explode("f.own").alias("x"))
+    first = scratch.cut(first.select("x.left", "x.right", "doc", "x.at"))
     scratch.release()
-    around = settled.where("covered").select("doc", "at", "heavy")
 
     # round 3: 33 bytes on either side of what isn't settled
-    sides = settled.where("not covered").select("doc", "at", "heavy", F.explode(F.array(F.struct(F.col("left").alias("key"), F.lit(True).alias("is_left")), F.struct(F.col("right").alias("key"), F.lit(False).alias("is_left")))).alias("s")).select("doc", "at", "heavy", "s.key", "s.is_left").where("key is not null")
-    sides = scratch.cut(_with_bounds(sides, ["key"]).where("lo < hi").select("doc", "at", "heavy", "is_left"))
+    def sides(rows: DataFrame) -> DataFrame:
+        two = F.array(F.struct(F.col("left").alias("key"), F.lit(True).alias("is_left")), F.struct(F.col("right").alias("key"), F.lit(False).alias("is_left")))
+        return rows.select("doc", "at", F.explode(two).alias("s")).select("doc", "at", "s.key", "s.is_left").where("key is not null")
+
+    near = scratch.cut(_sorted_bounds(sides(light.where("not covered")), "key").where("lo < hi").select("doc", "at", "is_left"))
+    heavy_near = scratch.cut(_joined_bounds(sides(first), "key").select("doc", "at", "is_left"))
     scratch.release()
 
     # round 4: whole windows
-    both = marked(sides.where("is_left").select("doc", "at", "heavy"), sides.where("not is_left").select("doc", "at", "heavy")).where("m0 is not null or m1 is not null")
-    whole = scratch.cut(both.mapInArrow(_window_rows, "k bigint, k2 int, doc bigint, at bigint, heavy boolean"))
-    scratch.release()
-    single = scratch.cut(_with_bounds(whole, ["k", "k2"]).where("lo < doc").select("doc", "at", "heavy"))
-    scratch.drop(whole)
+    def windows(rows: DataFrame) -> DataFrame:
+        both = marked(rows.where("is_left").select("doc", "at"), rows.where("not is_left").select("doc", "at"))
+        return both.mapInArrow(_window_rows, "k bigint, k2 int, doc bigint, at bigint")
+
+    single = scratch.cut(_sorted_bounds(windows(near), "k", "k2").where("lo < doc").select("doc", "at"))
     scratch.release()
-    out = scratch.cut(marked(around, single).mapInArrow(_results, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>"))
+    heavy_windows = scratch.cut(windows(heavy_near))
+    single = single.unionByName(_joined_bounds(heavy_windows, "k", "k2").where("lo < doc").select("doc", "at"))
+
+    marks = [light.where("covered").select("doc", "at"), alike.where("heavy").select("doc", "at"), first.select("doc", "at"), single]
+    out = table
+    for i, m in enumerate(marks):
+        out = out.join(_packed(m, f"m{i}"), F.col("doc_id") == F.col(f"m{i}_doc"), "left")
+    out = out.select("doc_id", "sub", "text", *(f"m{i}" for i in range(len(marks))))
+    out = scratch.cut(out.mapInArrow(_results, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>"))
     spark.sql(f"DROP TABLE {laid}")
-    scratch.drop(settled, sides, single)
+    scratch.drop(alike, light, first, near, heavy_near, heavy_windows)
     return out
 
 
