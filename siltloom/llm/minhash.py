@@ -7,11 +7,13 @@ each other, and a signature is a minimum over contiguous rows. Bands of a signat
 are confirmed on the full sets of 64-bit shingle hashes.
 
 Texts of equal sets are one class, represented by its smallest id, so copies cost nothing further.
-Within a band's group pairs aren't listed. Every member meets the group's smallest id first; then
-only groups that still span several components go on, with pivots drawn by hash, eight times as
-many each round, that meet only members of other components. A large group of near copies is
-connected after a few pivots; a group that never connects ends with every pair of components
-tested, so no proposed link is lost. At the similarity asked for, the bands miss a pair with a
+Within a band's group pairs aren't listed. Every member meets the group's smallest id first. Texts of
+groups that still span several components are then indexed by the shingles in their prefix, the
+rarest ones, of which two similar sets must share one early enough for the rest of both to hold the
+overlap asked for. In an index entry, pivots drawn by hash, sixteen times as many each round,
+meet members of other components only, until all have been pivots, so no proposed link is lost:
+a large group of near copies is connected after a few pivots, and texts with too many edits of
+their own, which are rare, meet no one. At the similarity asked for, the bands miss a pair with a
 chance of 2e-12 (85 %) or 5e-8 (80 %).
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; so do rows
@@ -34,8 +36,8 @@ from .scratch import Scratch
 CIRCLE = 1 << 20
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-#: Pivots of a group in the second round, and by how much each further round has more.
-PIVOTS = 8
+#: Pivots of an index entry in its first round, and by how much each further round has more.
+PIVOTS, GROWTH = 8, 16
 
 
 @lru_cache(maxsize=1)
@@ -107,7 +109,7 @@ def _full(size: int):
     def run(batches):
         for batch in batches:
             sets = shingle_sets(*words.column_bytes(batch.column(1)), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([int(words.mix(s).sum().astype(np.int64)) for s in sets], pa.int64())], names=["node", "n", "shingles", "sid"])
 
     return run
 
@@ -142,12 +144,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     reps = linked.join(classes.select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node"), (F.col("id") == F.col("node")) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     bands = scratch.cut(reps.select("node", "n", F.explode("bands").alias("band")))
     groups = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("members")).where("hub < last").select(F.col("band").alias("g"), "hub", "members")
-    rank = F.pmod(F.xxhash64("node", "band"), F.col("members"))
-    members = scratch.cut(bands.join(groups, F.col("band") == F.col("g")).select("band", "node", "n", "hub", "members", rank.alias("rank")))
+    members = scratch.cut(bands.join(groups, F.col("band") == F.col("g")).select("band", "node", "n", "hub", "members"))
     scratch.drop(bands)
     wanted = members.select(F.col("node").alias("w")).distinct()
     chosen = source.join(wanted, F.col("id") == F.col("w"), "left_semi")
-    sets = scratch.cut(chosen.mapInArrow(_full(size), "node bigint, n bigint, shingles array<bigint>"))
+    sets = scratch.cut(chosen.mapInArrow(_full(size), "node bigint, n bigint, shingles array<bigint>, sid bigint"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
@@ -159,31 +160,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
 
-    sizes_fit = "least(p.n, m.n) * 100 >= greatest(p.n, m.n) * %d" % percent
     hubs = members.where("node = hub").select(F.col("band").alias("hb"), F.col("n").alias("hn")).groupBy("hb").agg(F.collect_set("hn").alias("hns"))
     first = members.where("node <> hub").join(hubs, F.col("band") == F.col("hb")).where(F.exists("hns", lambda h: F.least(h, F.col("n")) * 100 >= F.greatest(h, F.col("n")) * percent))
     links = scratch.cut(confirmed(scratch.cut(first.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())))
     labels = components(links, scratch)
+
+    def placed(df: DataFrame) -> DataFrame:
+        """``df`` with the component c of its nodes."""
+        of = labels.select(F.col("node").alias("l"), F.col("c").alias("lc"))
+        return df.join(of, F.col("node") == F.col("l"), "left").withColumn("c", F.coalesce("lc", "node")).drop("l", "lc")
+
+    # two members have met; a larger group may hold links between members other than its smallest id
+    several = placed(members.where("members > 2").select("band", "node"))
+    open_bands = several.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("ob"))
+    left = several.join(open_bands, F.col("band") == F.col("ob"), "left_semi").select(F.col("node").alias("u")).distinct()
+    shingles = scratch.cut(sets.join(left, F.col("node") == F.col("u"), "left_semi").select("node", "n", "sid", F.explode("shingles").alias("s")))
+    counts = shingles.groupBy(F.col("s").alias("s2")).agg(F.count("*").alias("freq"))
+    ranked = shingles.join(counts, F.col("s") == F.col("s2")).groupBy("node", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("freq", "s"))).alias("t"))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    index = ranked.select("node", "n", F.posexplode(F.slice("t", F.lit(1), length)).alias("pos", "t")).where("t.freq > 1").select("node", "n", F.col("t.s").alias("s"), (F.col("n") - F.col("pos")).alias("tail"), F.pmod(F.xxhash64("node", "t.s"), F.col("t.freq")).alias("rank"))
+    active = scratch.cut(index)
+    scratch.drop(shingles)
     lower, upper = 0, PIVOTS
-    active = members
     while True:
-        placed = active.select("band", "node", "n", "hub", "members", "rank").join(labels.select(F.col("node").alias("l"), "c"), F.col("node") == F.col("l"), "left").select("band", "node", "n", "hub", "members", "rank", F.coalesce("c", "node").alias("c"))
-        open_bands = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("ob"))
-        # a member whose rank was below an earlier bound has met all others; the smallest id met all in round one
-        active = scratch.cut(placed.join(open_bands, F.col("band") == F.col("ob"), "left_semi").where((F.col("node") != F.col("hub")) & (F.col("rank") >= lower)))
+        near = placed(active.select("s", "node", "n", "tail", "rank"))
+        entries = near.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("s").alias("os"))
+        # a member whose rank was below an earlier bound has met all others
+        active = scratch.cut(near.join(entries, F.col("s") == F.col("os"), "left_semi").where(F.col("rank") >= lower))
         if active.limit(1).count() == 0:
             break
         p, m = active.where(F.col("rank") < upper).alias("p"), active.alias("m")
-        met = F.expr(f"p.band = m.band and p.c <> m.c and (m.rank >= {upper} or p.node < m.node) and {sizes_fit}")
+        met = F.expr(f"p.s = m.s and p.c <> m.c and (m.rank >= {upper} or p.node < m.node) and least(p.tail, m.tail) * {100 + percent} >= (p.n + m.n) * {percent}")
         pairs = scratch.cut(p.join(m, met).select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct())
         more = scratch.cut(confirmed(pairs))
         if more.limit(1).count():
             links = scratch.cut(links.unionByName(more))
             labels = components(links, scratch)
-        lower, upper = upper, upper * PIVOTS
+        lower, upper = upper, upper * GROWTH
     of_class = classes.select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node")
-    placed = of_class.join(labels.select(F.col("node").alias("l"), "c"), F.col("node") == F.col("l"), "left").select("n2", "e1", "e2", F.coalesce("c", "node").alias("c"))
-    rows = sketches.select("id", "n", "d1", "d2").join(placed, (F.col("id").isNotNull()) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    found = placed(of_class).select("n2", "e1", "e2", "c")
+    rows = sketches.select("id", "n", "d1", "d2").join(found, (F.col("id").isNotNull()) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
     component = F.coalesce("c", "id")
     return rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
