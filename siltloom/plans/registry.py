@@ -1,6 +1,505 @@
-"""Queries over the driver's tables and their DuckDB equivalents."""
+"""Queries over the driver's tables, one per operator, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, html, text, urls
+from ..functions.chunk import explode_chunks
+from ..operators import bm25, context, dedup, evaluate, frontier, fusion, lookup, stats, vector
+from ..session import ship
+from ..sources import adapters
+from .corpus import union_documents
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the DuckDB SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- SQL fragments ---------------------------------------------------------------------------------
+
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _chars(x: str) -> str:
+    pairs = [(old.encode().decode("latin-1") if old in text.ZERO_WIDTH else old, new) for old, new in text.CHAR_REPLACEMENTS]
+    return reduce(lambda a, p: f"replace({a}, {_q(p[0])}, {_q(p[1])})", pairs, x)
+
+
+def _junk(x: str) -> str:
+    return reduce(lambda a, p: f"regexp_replace({a}, {_q(p)}, '', 'gi')", text.INLINE_JUNK, x)
+
+
+def _weld(x: str) -> str:
+    x = f"regexp_replace(regexp_replace({x}, '[ \\t]+/', '/', 'g'), '/[ \\t]+', '/', 'g')"
+    for _ in range(2):  # a digit may stand between two gaps, and there is no look-around
+        x = f"regexp_replace({x}, '(\\p{{Nd}})[ \\t]+(\\p{{Nd}})', '\\1\\2', 'g')"
+    return x
+
+
+def _lines(x: str) -> str:
+    one = _strip("regexp_replace(l, '[ \\t]+', ' ', 'g')")
+    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: {one}), lambda l: l <> '')"
+
+
+_LINE_JUNK = "(?i)(?:" + "|".join(p.replace("\\d", "\\p{Nd}") for p in text.LINE_JUNK) + ")"
+
+
+def _cleaned(source: str, key: str, value: str) -> str:
+    """CTEs ending in ``cleaned`` (key, content)."""
+    return (
+        f"l0 AS (SELECT {key}, {_lines(_weld(_junk(_chars(f'nfc_normalize({value})'))))} AS lines FROM {source}), "
+        f"l1 AS (SELECT {key}, list_filter(lines, lambda l: NOT regexp_full_match(l, {_q(_LINE_JUNK)})) AS k FROM l0), "
+        f"cleaned AS (SELECT {key}, {_strip('array_to_string(list_filter(k, lambda x, i: length(x) > 3 OR list_position(k, x) = i), chr(10))')} AS content FROM l1)"
+    )
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(" + _chars("nfc_normalize(text)") + ") AS digest FROM documents")
+def nfc_charmap(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("t", text.nfc(F.col("text")))
+    return docs.select("doc_id", F.md5(text.replace_chars(F.col("t")).cast("binary")).alias("digest"))
+
+
+@query("SELECT source, CAST(sum(length(text) - length(" + _junk("text") + ")) AS BIGINT) AS removed_chars FROM (SELECT source, text || ' TẠI ĐÂY xem chi tiết tại đây' AS text FROM documents) GROUP BY source")
+def junk_inline(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", F.concat("text", F.lit(" TẠI ĐÂY xem chi tiết tại đây")).alias("text"))
+    return docs.groupBy("source").agg(F.sum(F.length("text") - F.length(text.remove_inline_junk(F.col("text")))).cast("bigint").alias("removed_chars"))
+
+
+@query("SELECT doc_id, md5(" + _weld("text") + ") AS digest FROM documents")
+def weld_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.weld(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, CAST(len(n) AS BIGINT) AS n_lines, CAST(len(list_filter(n, lambda l: NOT regexp_full_match(l, {_q(_LINE_JUNK)}))) AS BIGINT) AS n_kept FROM (SELECT doc_id, {_lines('text')} AS n FROM documents)")
+def junk_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").withColumn("lines", text.split_lines(F.col("text")))
+    return lines.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size(text.drop_junk_lines(F.col("lines"))).cast("bigint").alias("n_kept"))
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_filter(k, lambda x, i: length(x) > 3 OR list_position(k, x) = i), chr(10))) AS digest FROM (SELECT doc_id, {_lines('text')} AS k FROM documents)")
+def short_line_dedup(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").withColumn("lines", text.split_lines(F.col("text"))).withColumn("kept", text.dedup_short_lines("lines"))
+    return lines.select("doc_id", F.md5(F.array_join("kept", "\n").cast("binary")).alias("digest"))
+
+
+@query("WITH " + _cleaned("documents", "doc_id", "text") + " SELECT doc_id, md5(content) AS digest, length(content) AS n_chars FROM cleaned")
+def clean_text_hash(spark, sf_dir):
+    docs = text.clean_text(table(spark, sf_dir, "documents"), "text", "content")
+    return docs.select("doc_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query(
+    "WITH " + _cleaned("documents", "doc_id", "text") + " SELECT lang, count(*) AS n, min(length(content)) AS min_len, max(length(content)) AS max_len, CAST(sum(length(content)) AS BIGINT) AS total_len, "
+    "CAST(sum(length(content)) // count(*) AS BIGINT) AS avg_len FROM cleaned JOIN documents USING (doc_id) WHERE content <> '' GROUP BY lang"
+)
+def clean_text_stats(spark, sf_dir):
+    docs = text.clean_text(table(spark, sf_dir, "documents").select("lang", "text"), "text", "content").where(F.length("content") > 0)
+    return stats.length_stats(docs, "content", "lang")
+
+
+_SLUG = _strip("lower(regexp_extract(text, '^[^\\n]*'))")
+
+
+@query(
+    f"SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace({_SLUG}, '[^\\p{{L}}\\p{{N}}_{_WS[1:-1]}-]', '', 'g'), '[{_WS[1:-1]}_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), ''), 'uncategorized') AS slug FROM documents"
+)
+def slugify_titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.slugify(F.regexp_extract("text", "^[^\n]*", 0)).alias("slug"))
+
+
+# --- pages -----------------------------------------------------------------------------------------
+
+
+def _page_text() -> str:
+    x = "html"
+    for tag in html.DROPPED:
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    body = "regexp_extract(k, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1)"
+    marked = f"regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(k, '(?i)<body\\b') THEN {body} ELSE k END, '(?is)<!doctype[^>]*>', chr(57344), 'g'), '<!--|-->', chr(57344), 'g'), '<[^>]*>', chr(57344), 'g')"
+    for name, c in (("&middot;", "chr(183)"), ("&copy;", "chr(169)"), ("&quot;", "chr(34)"), ("&lt;", "chr(60)"), ("&gt;", "chr(62)"), ("&amp;", "chr(38)")):
+        marked = f"replace({marked}, '{name}', {c})"
+    nodes = f"list_filter(list_transform(string_split({marked}, chr(57344)), lambda l: {_strip('l')}), lambda l: l <> '')"
+    return f"WITH raw AS (SELECT page_id, {x} AS k FROM pages), joined AS (SELECT page_id, array_to_string({nodes}, ' ') AS t FROM raw), " + _cleaned("joined", "page_id", "t")
+
+
+@query(_page_text() + " SELECT page_id, md5(content) AS digest, length(content) AS n_chars FROM cleaned")
+def html_to_text(spark, sf_dir):
+    pages = html.clean_html(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "content")
+    return pages.select("page_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query()
+def page_facts(spark, sf_dir):
+    """One parse per page: title, block text, anchors, date."""
+    pages = table(spark, sf_dir, "pages").withColumn("f", html.page(F.col("html")))
+    return pages.select("page_id", F.col("f.title").alias("title"), F.length("f.content_text").cast("bigint").alias("n_chars"), F.size("f.links").cast("bigint").alias("n_links"), html.published(F.col("f")).alias("published_at"))
+
+
+_LINKS = "(SELECT page_id, url, pos - 1 AS pos, regexp_replace(links[pos], '^\\s+|\\s+$', '', 'g') AS href FROM (SELECT page_id, url, links, unnest(range(1, len(links) + 1)) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS links FROM pages)))"
+
+
+@query(f"SELECT page_id, CAST(pos AS BIGINT) AS pos, href FROM {_LINKS}")
+def page_links(spark, sf_dir):
+    return frontier.page_links(table(spark, sf_dir, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"SELECT page_id, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS n FROM {_LINKS}) WHERE n = 1")
+def distinct_links(spark, sf_dir):
+    links = frontier.page_links(table(spark, sf_dir, "pages"))
+    return dedup.first_wins(links, ["page_id", "href"], "pos").select("page_id", "href")
+
+
+_SCHEME, _HOST, _PATH = (f"regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)', {i})" for i in (1, 2, 3))
+_QUERY = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '=.')))"
+
+
+def _canonical(source: str) -> str:
+    q = f"array_to_string({_QUERY}, '&')"
+    return f"(SELECT *, lower({_SCHEME}) || '://' || lower({_HOST}) || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN {q} = '' THEN '' ELSE '?' || {q} END AS canonical FROM {source})"
+
+
+@query(f"SELECT page_id, canonical, substr(md5(canonical), 1, 16) AS url_hash FROM {_canonical('pages')}")
+def url_canonical_hash(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonicalize(F.col("url")).alias("canonical"), urls.url_hash(F.col("url")).alias("url_hash"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '/en/(\\d+)') THEN 'list' WHEN regexp_matches(url, '/fr/(\\d+)') THEN 'detail' ELSE 'other' END AS kind, coalesce(nullif(regexp_extract(url, '/(\\d+)', 1), ''), CAST(page_id AS VARCHAR)) AS id FROM pages")
+def url_classify(spark, sf_dir):
+    kind = urls.classify(F.col("url"), r"/en/(\d+)", r"/fr/(\d+)")
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), urls.extract_id(F.col("url"), r"/(\d+)", F.col("page_id").cast("string")).alias("id"))
+
+
+_N = "CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS BIGINT)"
+
+
+@query(f"SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page=\\d+') THEN replace(url, 'page=' || {_N}, 'page=' || ({_N} + 1)) WHEN contains(url, '?') THEN url || '&page=2' ELSE url || '?page=2' END AS next_url FROM pages".replace("CAST(regexp", "TRY_CAST(regexp"))
+def next_page_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.next_page(F.col("url")).alias("next_url"))
+
+
+@query(f"SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE WHEN regexp_matches(href, '^[a-zA-Z]+:') THEN href ELSE {_SCHEME} || '://' || {_HOST} || href END AS target FROM {_LINKS}")
+def url_join(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    links = frontier.page_links(pages).join(pages.select("page_id", "url"), "page_id")
+    return links.select("page_id", F.col("pos").cast("bigint").alias("pos"), urls.join(F.col("url"), F.col("href")).alias("target"))
+
+
+@query(f"SELECT CASE WHEN regexp_matches(lower(href), '\\.(pdf|doc|docx|xls|xlsx|zip|rar)$') AND NOT regexp_matches(href, '^(#|mailto:)') THEN 'attachment' WHEN regexp_matches(href, '^/News/Detail/\\d+(/.*)?$') THEN 'detail' ELSE 'other' END AS kind, count(*) AS n FROM {_LINKS} GROUP BY 1")
+def link_kinds(spark, sf_dir):
+    links = frontier.page_links(table(spark, sf_dir, "pages"))
+    kind = F.when(urls.is_attachment(F.col("href")), "attachment").when(urls.is_detail_link(F.col("href")), "detail").otherwise("other")
+    return links.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS found FROM orders")
+def date_sniff(spark, sf_dir):
+    """A date written as day/month/year in the second of two text nodes, beside an impossible one."""
+    orders = table(spark, sf_dir, "orders")
+    nodes = F.array(F.lit("posted 31/02/2024"), F.concat(F.lit("on "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" by")))
+    return orders.select("o_orderkey", F.date_format(dates.sniff_date(nodes), "yyyy-MM-dd").alias("found"))
+
+
+# --- deduplication and lookups ---------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS checksum, min(doc_id) AS first_doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def exact_dedup_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(dedup.content_key("text").alias("checksum"), "doc_id")
+    return docs.groupBy("checksum").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n"))
+
+
+@query("SELECT checksum, string_agg(source, ',' ORDER BY s) AS referenced_by, min_by(source, s) AS first_source_id FROM (SELECT sha256(text) AS checksum, source, min(doc_id) AS s FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def dedup_references(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null and source is not null")
+    seen = docs.select(dedup.content_key("text").alias("checksum"), F.col("doc_id").alias("seq"), F.col("source").alias("source_id"), F.concat(F.lit("u"), "doc_id").alias("url"), F.lit("p").alias("local_path"), F.length("text").cast("bigint").alias("size_bytes"), F.lit("txt").alias("file_type"))
+    return dedup.attachment_index(seen).select("checksum", F.array_join("referenced_by", ",").alias("referenced_by"), "first_source_id")
+
+
+_VISITED = f"(SELECT DISTINCT substr(md5(canonical), 1, 16) AS h FROM {_canonical('pages')} WHERE contains(url, 'page='))"
+
+
+def _visited(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("url_hash", urls.url_hash(F.col("url")))
+    return pages, pages.where(F.contains("url", F.lit("page="))).select("url_hash").distinct()
+
+
+@query(f"SELECT page_id, url FROM {_canonical('pages')} WHERE substr(md5(canonical), 1, 16) NOT IN (SELECT h FROM {_VISITED})")
+def visited_anti_join(spark, sf_dir):
+    return lookup.unvisited(*_visited(spark, sf_dir)).select("page_id", "url")
+
+
+@query(f"SELECT page_id, url FROM {_canonical('pages')} WHERE substr(md5(canonical), 1, 16) IN (SELECT h FROM {_VISITED})")
+def visited_semi_join(spark, sf_dir):
+    return lookup.already_visited(*_visited(spark, sf_dir)).select("page_id", "url")
+
+
+@query("SELECT doc_id, coalesce(CAST(quality AS VARCHAR), CAST(d.doc_id AS VARCHAR), 'type') AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
+def dim_left_join_default(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    return lookup.with_default(docs, labels.withColumn("quality", F.col("quality").cast("string")), "doc_id", "quality", "label")
+
+
+@query("SELECT min(page_id) AS id, url FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM pages) GROUP BY url")
+def queue_insert_or_ignore(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    queue = dedup.first_wins(pages, ["url"], "id").select("id", "url")
+    return lookup.insert_or_ignore(queue, pages.withColumn("id", F.col("id") + 1000000), "url")
+
+
+@query("SELECT id, url FROM (SELECT page_id AS id, url FROM pages) ORDER BY id LIMIT 10")
+def queue_pop_first(spark, sf_dir):
+    return frontier.queue_pop(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"), 10)
+
+
+_CHILD = f"(SELECT DISTINCT {_SCHEME} || '://' || {_HOST} || href AS url, url AS parent FROM {_LINKS} WHERE href LIKE '/%')"
+
+
+@query(
+    f"WITH l0 AS (SELECT DISTINCT substr(md5(canonical), 1, 16) AS h FROM {_canonical('pages')}), c AS (SELECT substr(md5(canonical), 1, 16) AS h FROM {_canonical(f'(SELECT {_SCHEME} || chr(58) || chr(47) || chr(47) || {_HOST} || href AS url FROM {_LINKS})')}) "
+    "SELECT CAST(0 AS INTEGER) AS level, (SELECT count(*) FROM l0) AS visits, (SELECT count(*) FROM c WHERE h NOT IN (SELECT h FROM l0)) AS new_links UNION ALL SELECT 1, (SELECT count(DISTINCT h) FROM c WHERE h NOT IN (SELECT h FROM l0)), 0"
+)
+def frontier_crawl(spark, sf_dir):
+    """A crawl from every page over the links it holds; what they lead to has no page, so it ends at level 1."""
+    pages = table(spark, sf_dir, "pages").withColumn("parent_hash", urls.url_hash(F.col("url")))
+    bodies = dedup.first_wins(pages.select("page_id", "parent_hash", "url", "html"), ["parent_hash"], "page_id")
+
+    def expand(visits: DataFrame) -> DataFrame:
+        read = bodies.join(visits.select("url_hash", "depth"), F.col("parent_hash") == F.col("url_hash"))
+        links = frontier.page_links(read.select("parent_hash", "html"), key="parent_hash").join(read.select("parent_hash", F.col("url").alias("base"), "depth"), "parent_hash")
+        return links.select("parent_hash", "pos", urls.join(F.col("base"), F.col("href")).alias("url"), (F.col("depth") + 1).alias("depth"), F.lit("detail").alias("kind"))
+
+    start = pages.select("url", F.lit(0).alias("depth"), F.lit("all").alias("type_id"), F.lit("list").alias("kind"), F.col("page_id").alias("type_ord"))
+    return frontier.crawl(start, expand, max_levels=5).groupBy("level").agg(F.count("*").alias("visits"), F.sum("new_links").alias("new_links"))
+
+
+# --- statistics and unions -------------------------------------------------------------------------
+
+_UNION = "(SELECT 'doc-' || doc_id AS doc_id, 'documents' AS kind, text AS content FROM documents UNION ALL SELECT 'conv-' || conv_id || '-' || turn, 'conversations', text FROM conversations UNION ALL SELECT 'bench-' || item_id, 'benchmark', text FROM benchmark)"
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    none = F.lit(None).cast("string")
+
+    def shaped(name, doc_id, kind):
+        return table(spark, sf_dir, name).select(doc_id.alias("doc_id"), F.lit(kind).alias("kind"), F.lit("").alias("title"), F.col("text").alias("content"), none.alias("source_url"), none.alias("category"), none.alias("source_id"), F.array().cast("array<string>").alias("referenced_by"), F.create_map().cast("map<string,string>").alias("metadata"))
+
+    return union_documents(shaped("documents", F.concat(F.lit("doc-"), "doc_id"), "documents"), shaped("conversations", F.concat(F.lit("conv-"), "conv_id", F.lit("-"), "turn"), "conversations"), shaped("benchmark", F.concat(F.lit("bench-"), "item_id"), "benchmark"))
+
+
+@query(f"SELECT doc_id, kind, length(content) AS chars FROM {_UNION}")
+def source_union(spark, sf_dir):
+    return _sources(spark, sf_dir).select("doc_id", "kind", F.length("content").cast("bigint").alias("chars"))
+
+
+@query(f"SELECT kind, count(*) AS documents, CAST(sum(length(content)) AS BIGINT) AS chars FROM {_UNION} GROUP BY GROUPING SETS ((kind), ())")
+def manifest_by_kind(spark, sf_dir):
+    return stats.manifest(_sources(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS n, min(length(text)) AS min_len, max(length(text)) AS max_len, CAST(sum(length(text)) AS BIGINT) AS total_len, CAST(sum(length(text)) // count(*) AS BIGINT) AS avg_len FROM documents GROUP BY source")
+def length_stats(spark, sf_dir):
+    return stats.length_stats(table(spark, sf_dir, "documents"), "text", "source")
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+def status_counts(spark, sf_dir):
+    return stats.status_counts(table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "event_type", "day")
+
+
+@query("SELECT role, CAST(count(*) FILTER (WHERE length(text) BETWEEN 1 AND 1000) AS BIGINT) AS valid, count(*) AS n FROM conversations GROUP BY role")
+def question_validation(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(context.valid_question(F.col("text")).cast("bigint")).alias("valid"), F.count("*").alias("n"))
+
+
+# --- chunks ----------------------------------------------------------------------------------------
+
+
+@query()
+def chunk_explode(spark, sf_dir):
+    return explode_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    return stats.length_stats(chunk_explode(spark, sf_dir), "chunk")
+
+
+# --- retrieval -------------------------------------------------------------------------------------
+
+_DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+_COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+_L2 = "0.0 - list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+def _one_question(score: str, where: str = "") -> str:
+    return f"SELECT vec_id, round(s, 6) AS score FROM (SELECT b.vec_id, {score} AS s FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY s DESC, b.vec_id LIMIT 25) {where}"
+
+
+def _nearest(spark, sf_dir, metric):
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
+    return vector.search(vectors, asked, 25, metric, key="vec_id").select("vec_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(_one_question(_COS))
+def vector_topk_cosine(spark, sf_dir):
+    return _nearest(spark, sf_dir, "cosine")
+
+
+@query(_one_question(_L2))
+def vector_topk_l2(spark, sf_dir):
+    return _nearest(spark, sf_dir, "l2")
+
+
+@query(_one_question(_DOT))
+def vector_topk_inner(spark, sf_dir):
+    return _nearest(spark, sf_dir, "inner")
+
+
+@query(_one_question(_COS, "WHERE s >= 0.25"))
+def vector_threshold(spark, sf_dir):
+    return _nearest(spark, sf_dir, "cosine").where("score >= 0.25")
+
+
+_BATCH = f"(SELECT query_id, vec_id, label, q_label, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, b.label, a.label AS q_label, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0))"
+
+
+def _batch(spark, sf_dir, k):
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"), F.col("label").alias("q_label"))
+    return vectors, asked, vector.search(vectors, asked, k, key="vec_id")
+
+
+@query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM {_BATCH} WHERE rank <= 25")
+def vector_search_batch(spark, sf_dir):
+    return _batch(spark, sf_dir, 25)[2].select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH r AS (SELECT *, label = q_label AS rel FROM {_BATCH} WHERE rank <= 10), t AS (SELECT label, count(*) AS total FROM embeddings GROUP BY label), p AS ("
+    "SELECT query_id, CAST(count(*) FILTER (WHERE rel) AS DOUBLE) / any_value(total) AS recall, coalesce(max(1.0 / rank) FILTER (WHERE rel), 0) AS rr, "
+    "coalesce(sum(1.0 / log2(rank + 1)) FILTER (WHERE rel), 0) / any_value((SELECT sum(1.0 / log2(i + 1)) FROM range(1, 1 + least(10, total)) x(i))) AS ndcg FROM r JOIN t ON t.label = r.q_label GROUP BY query_id) "
+    "SELECT count(*) AS questions, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM p"
+)
+def retrieval_metrics(spark, sf_dir):
+    """Extension: recall, reciprocal rank and nDCG at 10, with equal labels as relevant."""
+    vectors, asked, hits = _batch(spark, sf_dir, 10)
+    labelled = hits.join(vectors.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "q_label"), "query_id").withColumn("rel", F.col("label") == F.col("q_label"))
+    totals = vectors.groupBy(F.col("label").alias("q_label")).agg(F.count("*").alias("total"))
+    return evaluate.metrics(labelled.join(totals, "q_label"), 10)
+
+
+_TOKENS = f"list_filter(string_split_regex(%s, '{_WS}+'), lambda w: w <> '')"
+_BM25 = (
+    "t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM (SELECT doc_id, " + _TOKENS % "text" + " AS w FROM docs)), "
+    "d AS (SELECT doc_id, CAST(len(" + _TOKENS % "text" + ") AS DOUBLE) AS dl FROM docs), p AS (SELECT term, doc_id, CAST(dl AS DOUBLE) AS dl, CAST(count(*) AS DOUBLE) AS tf FROM t GROUP BY ALL), "
+    "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d), i0 AS (SELECT term, ln(n - count(*) + CAST(0.5 AS DOUBLE)) - ln(count(*) + CAST(0.5 AS DOUBLE)) AS idf FROM p, n GROUP BY term, n), "
+    "i AS (SELECT term, CASE WHEN idf < 0 THEN CAST(0.25 AS DOUBLE) * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0), "
+    "q AS (SELECT query_id, term, CAST(count(*) AS DOUBLE) AS times FROM (SELECT item_id AS query_id, unnest(" + _TOKENS % "text" + ") AS term FROM benchmark) GROUP BY ALL), "
+    "b AS (SELECT query_id, doc_id, sum(times * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * p.dl / (SELECT avg(dl) FROM d)))) AS s FROM q JOIN i USING (term) JOIN p USING (term) GROUP BY ALL), "
+    "z AS (SELECT item_id AS query_id, doc_id, CAST(0 AS DOUBLE) AS s FROM benchmark, (SELECT doc_id FROM d ORDER BY doc_id LIMIT 15) WHERE (item_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM b)), "
+    "kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM (SELECT * FROM b UNION ALL SELECT * FROM z) QUALIFY rank <= 15)"
+)
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+@query("WITH docs AS (SELECT doc_id, text FROM documents), " + _BM25 + " SELECT term, round(idf, 6) AS idf FROM i")
+def bm25_idf(spark, sf_dir):
+    return bm25.build(table(spark, sf_dir, "documents"), key="doc_id").vocabulary.select("term", F.round("idf", 6).alias("idf"))
+
+
+@query("WITH docs AS (SELECT doc_id, text FROM documents), " + _BM25 + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 5) AS score FROM kw")
+def bm25_topk(spark, sf_dir):
+    index = bm25.build(table(spark, sf_dir, "documents"), key="doc_id")
+    return bm25.top_k(index, _questions(spark, sf_dir)).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
+
+
+_HYBRID = (
+    "WITH docs AS (SELECT doc_id, text, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id), " + _BM25 + ", "
+    "vs AS (SELECT a.item_id AS query_id, b.doc_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM benchmark a JOIN embeddings e ON a.item_id = e.vec_id, docs b), "
+    "vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM vs) WHERE rank <= 25 AND s >= 0.25), "
+    "u AS (SELECT query_id, text, doc_id, CAST(0.65 AS DOUBLE) * s AS part, 0 AS side, rank FROM vk JOIN docs USING (doc_id) UNION ALL "
+    "SELECT kw.query_id, text, doc_id, CAST(0.35 AS DOUBLE) * (1 - (rank - 1) / CAST(c.n AS DOUBLE)), 1, rank FROM kw JOIN docs USING (doc_id) JOIN (SELECT query_id, count(*) AS n FROM kw GROUP BY 1) c ON c.query_id = kw.query_id), "
+    "f AS (SELECT query_id, text, sum(part) AS score, min(side * 1000 + rank) AS first, coalesce(max_by(doc_id, rank) FILTER (WHERE side = 0), min_by(doc_id, rank) FILTER (WHERE side = 1)) AS doc_id FROM u GROUP BY ALL), "
+    "h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first) AS rank FROM f QUALIFY rank <= 10) "
+)
+
+
+def _hybrid(spark, sf_dir) -> DataFrame:
+    """Documents paired with the embedding of equal id stand for chunks; a benchmark item asks with its text and the embedding of its id."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    chunks = docs.join(vectors.select(F.col("vec_id").alias("v"), "embedding"), F.col("doc_id") == F.col("v")).select("doc_id", "text", "source", "embedding")
+    asked = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("q_embedding")), F.col("query_id") == F.col("v"))
+    near = vector.search(chunks, asked, 25, key="doc_id").where(F.col("score") >= 0.25)
+    words = bm25.top_k(bm25.build(chunks, key="doc_id"), asked)
+    facts = chunks.select("doc_id", "text", "source")
+    beside = lambda df: df.join(facts, "doc_id").select("query_id", "rank", F.col("score"), "text", "doc_id", "source")
+    return fusion.fuse(beside(near), beside(words))
+
+
+@query(_HYBRID + "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM h")
+def hybrid_fuse(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("query_id", F.col("doc.doc_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
+
+
+def _flat(spark, sf_dir) -> DataFrame:
+    hits = _hybrid(spark, sf_dir)
+    text_of = lambda c: F.col(c).cast("string")
+    return hits.select("query_id", "rank", "text", F.concat(F.lit("doc "), text_of("doc.doc_id")).alias("title"), F.col("doc.source").alias("category"), F.lit("").alias("source"), F.concat(F.lit("doc-"), text_of("doc.doc_id")).alias("doc_id"), F.lit("documents").alias("kind"), F.array().cast("array<string>").alias("referenced_by"))
+
+
+@query(_HYBRID + "SELECT h.query_id, md5(string_agg('[' || rank || '] doc ' || h.doc_id || CASE WHEN d.source <> '' THEN ' (' || d.source || ')' ELSE '' END || chr(10) || h.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM h JOIN docs d ON d.doc_id = h.doc_id GROUP BY h.query_id")
+def context_format(spark, sf_dir):
+    return context.format_context(_flat(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query(_HYBRID + "SELECT query_id, CAST(rank AS INTEGER) AS index, 'doc ' || h.doc_id AS title, d.source AS category, 'doc-' || h.doc_id AS doc_id FROM h JOIN docs d ON d.doc_id = h.doc_id")
+def source_items(spark, sf_dir):
+    return context.source_items(_flat(spark, sf_dir)).select("query_id", F.explode("sources").alias("s")).select("query_id", "s.index", "s.title", "s.category", "s.doc_id")
+
+
+_SET = "list_distinct(list_filter(string_split_regex(lower(%s), '\\s+'), lambda w: w <> ''))"
+
+
+@query(
+    _HYBRID + ", r AS (SELECT h.query_id, h.doc_id, h.rank AS old, CAST(len(list_intersect(" + _SET % "b.text" + ", " + _SET % "h.text" + ")) AS DOUBLE) / greatest(len(" + _SET % "b.text" + "), 1) AS s FROM h JOIN benchmark b ON b.item_id = h.query_id) "
+    "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, old) AS rank FROM r) WHERE rank <= 6"
+)
+def rerank_overlap(spark, sf_dir):
+    hits = _hybrid(spark, sf_dir).select("query_id", "rank", "text", F.col("doc.doc_id").alias("doc_id")).join(_questions(spark, sf_dir), "query_id")
+    best = fusion.rerank(hits, adapters.overlap_score(F.col("question"), F.col("text")), 10, 6)
+    return best.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("score"))

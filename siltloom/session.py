@@ -6,8 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -35,3 +36,21 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.addPyFile(shutil.make_archive(os.path.join(folder, "siltloom"), "zip", os.path.dirname(package), os.path.basename(package)))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        return "file:///tmp/checkpoints/siltloom"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siltloom_scratch"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/core-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
