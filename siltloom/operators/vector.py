@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructType
 
 METRICS = ("cosine", "l2", "inner")
 #: Questions whose vectors are sent to the tasks at once; more are asked in several blocks.
@@ -41,8 +43,9 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return dot / np.sqrt(qq * xx)
 
 
-def _block(vectors: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, key: str, vec: str, query: str, kinds: tuple[str, str]) -> DataFrame:
+def _block(vectors: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, key: str, vec: str, query: str, kinds) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    id_type = to_arrow_type(kinds[0])
 
     def run(batches):
         ids, q = shared.value
@@ -64,9 +67,9 @@ def _block(vectors: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, ke
         if kind is not None:
             for i, (s, n) in enumerate(best):
                 if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(s)), pa.array(n.tolist(), kind), pa.array(s)], names=[query, key, "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(s), id_type), pa.array(n.tolist(), kind), pa.array(s)], names=[query, key, "score"])
 
-    return vectors.select(key, vec).mapInArrow(run, f"`{query}` {kinds[0]}, `{key}` {kinds[1]}, score double")
+    return vectors.select(key, vec).mapInArrow(run, StructType().add(query, kinds[0]).add(key, kinds[1]).add("score", DoubleType()))
 
 
 def search(vectors: DataFrame, questions: DataFrame, k: int = 25, metric: str = "cosine", key: str = "chunk_id", vec: str = "embedding", query: str = "query_id", q_vec: str = "q_embedding") -> DataFrame:
@@ -77,7 +80,7 @@ def search(vectors: DataFrame, questions: DataFrame, k: int = 25, metric: str =
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
-    kinds = (questions.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString())
+    kinds = (questions.schema[query].dataType, vectors.schema[key].dataType)
     found, held = None, []
 
     def ask(rows):
@@ -94,6 +97,6 @@ def search(vectors: DataFrame, questions: DataFrame, k: int = 25, metric: str =
             block = ask(held)
             found = block if found is None else found.unionByName(block)
         else:
-            found = vectors.sparkSession.createDataFrame([], f"`{query}` {kinds[0]}, `{key}` {kinds[1]}, score double")
+            found = vectors.sparkSession.createDataFrame([], StructType().add(query, kinds[0]).add(key, kinds[1]).add("score", DoubleType()))
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

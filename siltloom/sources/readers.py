@@ -10,9 +10,10 @@ from ..functions import html as H
 from ..functions import text as T
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per JSON file below ``path``, with its path; corrupt files dropped."""
-    files = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """One row per JSON file below ``path``, or per line of files in partitions, with its path; corrupt ones dropped."""
+    reader = spark.read.schema(f"{schema}, _corrupt_record string").option("pathGlobFilter", "*.json")
+    files = (reader if lines else reader.option("multiLine", True).option("recursiveFileLookup", True)).json(path)
     return files.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name")).where("_corrupt_record is null").drop("_corrupt_record")
 
 
@@ -118,9 +119,12 @@ def external(log: DataFrame, stored: DataFrame, extract, include_skipped: bool =
     )
 
 
-def cleaned(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Documents of a cleaned folder of JSON files, in path order, without its manifest."""
-    docs = _json(spark, path, schemas.DOCUMENT).where("file_name <> 'manifest.json'").where(_has_text("content"))
+def cleaned(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Documents of a cleaned folder, in path order, without its manifest.
+
+    The folder holds a JSON file per document or, with ``lines``, what the documents sink writes.
+    """
+    docs = _json(spark, path, schemas.DOCUMENT, lines).where("file_name <> 'manifest.json'").where(_has_text("content"))
     docs = docs.withColumns({"title": T.strip(F.coalesce("title", F.lit(""))), "content": T.strip(F.col("content")), "source_id": F.coalesce("source_id", F.lit("")), "referenced_by": F.coalesce("referenced_by", F.array().cast("array<string>"))})
     docs = docs.orderBy("file_path").drop("file_name")
     return docs.limit(limit) if limit else docs
