@@ -292,7 +292,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     # round 2: all that the windows of an anchor can cover
     shape = "c bigint, c2 int, left bigint, right bigint, doc bigint, at bigint"
-    light = scratch.cut(_sorted_bounds(marked(alike.where("not heavy")).mapInArrow(_context_rows, shape), "c", "c2").select("left", "right", "doc", "at", (F.col("lo") < F.col("doc")).alias("covered")))
+    covered = F.col("lo") < F.col("doc")
+    sorted_contexts = _sorted_bounds(marked(alike.where("not heavy")).mapInArrow(_context_rows, shape), "c", "c2")
+    light = scratch.cut(sorted_contexts.select(*(F.when(~covered, F.col(c)).alias(c) for c in ("left", "right")), "doc", "at", covered.alias("covered")))
     # of a heavy context only the first document's anchors aren't covered; their lists are summed, not joined
     own = marked(alike.where("heavy")).mapInArrow(_context_rows, shape).groupBy("c", "c2", "doc").agg(F.collect_list(F.struct("left", "right", "at")).alias("own"))
     first = own.groupBy("c", "c2").agg(F.min_by(F.struct("doc", "own"), "doc").alias("f")).select("f.doc", F.explode("f.own").alias("x"))
