@@ -55,7 +55,7 @@ def scores(index: Index, questions: DataFrame, query: str = "query_id", text: st
 
 
 def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_id", text: str = "question") -> DataFrame:
-    """query, key, score and rank of each question's k best chunks, ties to the smaller key.
+    """query, key, score and rank of each question's k best chunks, ties (to nine places) to the smaller key.
 
     Always k rows if the collection has as many: chunks without a hit score 0, those of smallest key first.
     """
@@ -63,5 +63,5 @@ def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_i
     fill = index.documents.select(index.key).orderBy(index.key).limit(k)
     zeros = questions.select(query).distinct().join(F.broadcast(fill)).select(query, index.key, F.lit(0.0).alias("score"))
     zeros = zeros.join(hits.select(query, index.key), [query, index.key], "left_anti")
-    best = Window.partitionBy(query).orderBy(F.desc("score"), index.key)
+    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), index.key)
     return hits.unionByName(zeros).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

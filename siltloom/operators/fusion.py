@@ -11,7 +11,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.65, key
 
     Both inputs have query, rank (from 1), score, text and like columns beside. Hits of equal text are one:
     scores add up, the raw similarity for vectors and 1 - place / hits for keywords. It is represented
-    by its last vector hit, else its first keyword hit; ties go to what was seen first.
+    by its last vector hit, else its first keyword hit; ties, to nine places, go to what was seen first.
     """
     beside = [c for c in vector.columns if c in keyword.columns and c not in (query, "rank", "score", text)]
     n = keyword.groupBy(query).agg(F.count("*").alias("__n"))
@@ -22,7 +22,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.65, key
     doc = F.struct(*beside) if beside else F.struct(F.lit(None).cast("string").alias("none"))
     choice = F.struct((-F.col("side")).alias("a"), F.when(F.col("side") == 0, F.col("seq")).otherwise(-F.col("seq")).alias("b"))
     summed = both.groupBy(query, text).agg(F.sum("part").alias("score"), F.max_by(doc, choice).alias("doc"), F.min(F.struct("side", "seq")).alias("first"))
-    best = Window.partitionBy(query).orderBy(F.desc("score"), "first")
+    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), "first")
     return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("first")
 
 

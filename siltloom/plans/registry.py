@@ -285,8 +285,11 @@ def queue_pop_first(spark, sf_dir):
 _CHILD = f"(SELECT DISTINCT {_SCHEME} || '://' || {_HOST} || href AS url, url AS parent FROM {_LINKS} WHERE href LIKE '/%')"
 
 
+_READ = f"(SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS n FROM {_canonical('pages')}) WHERE n = 1)"
+
+
 @query(
-    f"WITH l0 AS (SELECT DISTINCT substr(md5(canonical), 1, 16) AS h FROM {_canonical('pages')}), c AS (SELECT substr(md5(canonical), 1, 16) AS h FROM {_canonical(f'(SELECT {_SCHEME} || chr(58) || chr(47) || chr(47) || {_HOST} || href AS url FROM {_LINKS})')}) "
+    f"WITH l0 AS (SELECT DISTINCT substr(md5(canonical), 1, 16) AS h FROM {_canonical('pages')}), c AS (SELECT substr(md5(canonical), 1, 16) AS h FROM {_canonical(f'(SELECT {_SCHEME} || chr(58) || chr(47) || chr(47) || {_HOST} || href AS url FROM {_LINKS} WHERE page_id IN {_READ})')}) "
     "SELECT CAST(0 AS INTEGER) AS level, (SELECT count(*) FROM l0) AS visits, (SELECT count(*) FROM c WHERE h NOT IN (SELECT h FROM l0)) AS new_links UNION ALL SELECT 1, (SELECT count(DISTINCT h) FROM c WHERE h NOT IN (SELECT h FROM l0)), 0"
 )
 def frontier_crawl(spark, sf_dir):
