@@ -14,7 +14,7 @@ overlap asked for. In an index entry, pivots drawn by hash, sixteen times as man
 meet members of other components only, until all have been pivots, so no proposed link is lost:
 a large group of near copies is connected after a few pivots, and texts with too many edits of
 their own, which are rare, meet no one. At the similarity asked for, the bands miss a pair with a
-chance of 2e-12 (85 %) or 5e-8 (80 %).
+chance of 6e-11 (85 %) or 5e-8 (80 %).
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; so do rows
 with a null id. Texts with fewer words than a shingle count as one. Rows that repeat an id are one

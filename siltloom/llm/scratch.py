@@ -6,11 +6,13 @@ folder under /tmp/checkpoints and a cluster the warehouse, which its machines sh
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, without a trailing slash."""
@@ -30,11 +32,22 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
+    @contextmanager
+    def swept(self):
+        """Within, the shuffle files of a query go as soon as it has ended, not when the driver collects garbage."""
+        old = self.spark.conf.get(SWEEP, None)
+        self.spark.conf.set(SWEEP, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(SWEEP, old) if old is not None else self.spark.conf.unset(SWEEP)
+
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` to the shared folder and return a reader of what was written."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        with self.swept():
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siltloom_path = path
         return out
@@ -47,8 +60,3 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files of finished jobs before the next large shuffle."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()

@@ -269,8 +269,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     rows = rows.repartition(n, "doc_id").withColumn("sub", F.when(F.col("doc_id").isNull(), 0).otherwise(F.row_number().over(again) - 1).cast("int"))
-    rows.select("doc_id", "sub", "text").write.bucketBy(n, "doc_id").option("compression", "zstd").saveAsTable(laid)
-    scratch.release()
+    with scratch.swept():
+        rows.select("doc_id", "sub", "text").write.bucketBy(n, "doc_id").option("compression", "zstd").saveAsTable(laid)
     table = spark.table(laid)
     known = table.where("doc_id is not null")
     shape = "key bigint, doc bigint, at bigint, heavy boolean"
@@ -282,7 +282,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     group = Window.partitionBy("key")
     ranked = known.mapInArrow(_anchor_rows(heavy_keys), shape).withColumns({"lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
     alike = scratch.cut(ranked.where("heavy or lo < hi").select("doc", "at", "heavy"))
-    scratch.release()
 
     def marked(*marks: DataFrame) -> DataFrame:
         out = table
@@ -299,7 +298,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = marked(alike.where("heavy")).mapInArrow(_context_rows, shape).groupBy("c", "c2", "doc").agg(F.collect_list(F.struct("left", "right", "at")).alias("own"))
     first = own.groupBy("c", "c2").agg(F.min_by(F.struct("doc", "own"), "doc").alias("f")).select("f.doc", F.explode("f.own").alias("x"))
     first = scratch.cut(first.select("x.left", "x.right", "doc", "x.at"))
-    scratch.release()
 
     # round 3: 33 bytes on either side of what isn't settled
     def sides(rows: DataFrame) -> DataFrame:
@@ -308,7 +306,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     near = scratch.cut(_sorted_bounds(sides(light.where("not covered")), "key").where("lo < hi").select("doc", "at", "is_left"))
     heavy_near = scratch.cut(_joined_bounds(sides(first), "key").select("doc", "at", "is_left"))
-    scratch.release()
 
     # round 4: whole windows
     def windows(rows: DataFrame) -> DataFrame:
@@ -316,7 +313,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return both.mapInArrow(_window_rows, "k bigint, k2 int, doc bigint, at bigint")
 
     single = scratch.cut(_sorted_bounds(windows(near), "k", "k2").where("lo < doc").select("doc", "at"))
-    scratch.release()
     heavy_windows = scratch.cut(windows(heavy_near))
     single = single.unionByName(_joined_bounds(heavy_windows, "k", "k2").where("lo < doc").select("doc", "at"))
 
