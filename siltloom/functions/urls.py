@@ -162,3 +162,8 @@ def is_html_reply(data: Column, least_bytes: int = 1000) -> Column:
     """Whether downloaded bytes are too few or start like a web page instead of a file."""
     head = F.lower(F.decode(F.substring(data, 1, 100), "ISO-8859-1"))
     return (F.length(data) < least_bytes) | F.contains(head, F.lit("<html")) | F.contains(head, F.lit("<!doctype html"))
+
+
+def with_slash(base: Column) -> Column:
+    """A base URL that ends in one slash."""
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"))

@@ -59,3 +59,8 @@ def download_log(df: DataFrame, path: str) -> None:
     """Records of downloads, whole and with counts by provider and status."""
     df.write.mode("overwrite").json(f"{path}/log")
     stats.status_counts(df, "provider", "status").write.mode("overwrite").json(f"{path}/stats")
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """Rows as JSON text, times in ISO form, nested records included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("value"))

@@ -245,3 +245,40 @@ def test_config(tmp_path, monkeypatch):
     assert config.database_url() == "jdbc:postgresql://db:5432/rag"
     with pytest.raises(FileNotFoundError):
         config.load_yaml(str(tmp_path / "no.yaml"))
+
+
+def test_downloads(spark):
+    from siltloom.sources import downloads
+
+    links = spark.createDataFrame([("google_drive", "https://d/file/d/Q/a.pdf", "1", "c", "t" * 80), ("sharepoint", "http://s/old.pdf", "2", "c", "x"), ("sharepoint", "http://s/web.pdf", "3", "c", "x"), ("sharepoint", "http://s/down.pdf", "4", "c", "x")], "provider string, url string, source_id string, category string, title string")
+    listing = spark.createDataFrame([("2_old.pdf", 5000), ("4_down.pdf", 10)], "file_name string, length bigint")
+
+    def fetch(url):
+        if "down" in url:
+            raise OSError("down")
+        return 200, (b"<html>" if "web" in url else b"%PDF") + b"x" * 2000
+
+    planned = downloads.plan(links, listing)
+    assert {r.source_id: r.file_id for r in planned.collect()}["1"] == "Q"
+    got = {r.source_id: r for r in downloads.download(planned, fetch).collect()}
+    assert {k: (r.status, r.reason) for k, r in got.items()} == {"1": ("ok", None), "2": ("skipped", None), "3": ("failed", "not a file"), "4": ("failed", "down")}
+    assert got["1"].size == 2004 and len(got["1"].title) == 60 and got["1"].file == "1_a.pdf" and got["3"].content is None
+
+
+def test_json_and_base_urls(spark):
+    from siltloom.functions import urls
+
+    row = sinks.as_json(spark.sql("SELECT timestamp'2024-01-02 03:04:05' AS t, array(named_struct('u', 'é')) AS a")).first()
+    assert json.loads(row.value) == {"t": "2024-01-02T03:04:05", "a": [{"u": "é"}]}
+    assert spark.range(1).select(urls.with_slash(F.lit("http://h//"))).first()[0] == "http://h/"
+
+
+def test_command_line(spark, raw, tmp_path, capsys):
+    from siltloom.__main__ import main
+
+    clean, index = str(tmp_path / "c"), str(tmp_path / "i")
+    assert {r.kind for r in main(["clean", f"file://{raw}", clean])} == {"news", "attachment", "external", None}
+    assert main(["index", clean, index, "--dry-run"])[0].n == 5
+    main(["index", clean, index, "--clear"])
+    assert main(["status", index])[0].chunks == 5
+    assert "external text" in main(["ask", index, "external", "text"])[0].answer
