@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .sampling import smallest_hashes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -36,7 +37,8 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def windows(raw: np.ndarray) -> np.ndarray:
-    """All windows of one text, as rows."""
+    """All windows of one text, A-Z folded, as rows."""
+    raw = words.FOLD[raw]
     if len(raw) <= WINDOW:
         return np.concatenate([raw, np.full(WINDOW - len(raw), 32, np.uint8)])[None]
     full = raw[: len(raw) // WINDOW * WINDOW].reshape(-1, WINDOW)
@@ -132,13 +134,10 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, least
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Network | None:
     """Train on labelled rows of ``docs`` with crc32(id) mod 4 other than 2, by smallest hash of their id."""
-    chosen = (
-        docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(F.crc32(F.col(key).cast("string")) % 4 != 2, F.lit(False)))
-        .select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(lang).alias("lang"), *(F.expr(f"substring(`{text}`, cast(1 + pmod({i}, greatest(length(`{text}`) - {WINDOW}, 1)) as int), {WINDOW})").alias(f"w{n}") for n, i in enumerate(_window_seeds(key))))
-        .orderBy("h", "lang", "w0")
-        .limit(max_rows)
-        .toArrow()
-    )
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(F.crc32(F.col(key).cast("string")) % 4 != 2, F.lit(False)))
+    parts = (F.expr(f"substring(`{text}`, cast(1 + pmod({seed}, greatest(length(`{text}`) - {WINDOW}, 1)) as int), {WINDOW})").alias(f"w{n}") for n, seed in enumerate(_window_seeds(key)))
+    rows = known.select(F.col(key).cast("string").alias("id"), F.col(lang).alias("lang"), *parts)
+    chosen = smallest_hashes(rows, F.col("id"), max_rows, "lang", "w0").toArrow()
     langs = sorted(set(chosen["lang"].to_pylist()))
     if not langs:
         return None

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .sampling import smallest_hashes
 from .scratch import Scratch
 
 #: Labelled rows that a model is fitted on, at most.
@@ -251,12 +252,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
 
     The fold is crc32(id) mod 5 = 0. The ids, whose number is bounded, are broadcast to the texts.
     """
-    chosen = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
-        .select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id", "__label")
-        .limit(max_rows)
-    )
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
+    rows = known.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label"))
+    chosen = smallest_hashes(rows, F.col("__id"), max_rows, "__id", "__label")
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
     return texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("text", F.col("__label").alias("label"))
 
