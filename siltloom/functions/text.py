@@ -24,6 +24,7 @@ INLINE_JUNK = (
     "tại đường link", "theo đường link", "link bên dưới", "link phía dưới", "đính kèm bên dưới", "file đính kèm bên dưới",
 )
 LINE_JUNK = ("TẠI ĐÂY", "tại đây", "xem tại đây", "<<[^\n]*>>", "\u00b7", r"\.", "-", r"\|", r"\d{1,2}")
+JUNK_LETTERS = "[đĐ\u1ea0-\u1ef9]|(?iu:lòng)"
 ZERO_WIDTH = tuple(c for c, _ in CHAR_REPLACEMENTS[:4])
 
 
@@ -58,10 +59,14 @@ def replace_chars(text: Column, zero_width: str = "parity") -> Column:
 
 
 def remove_inline_junk(text: Column) -> Column:
-    """Each phrase in turn; earlier ones may cut later, longer ones short."""
+    """Each phrase in turn; earlier ones may cut later, longer ones short.
+
+    Every phrase has a letter of JUNK_LETTERS or the word in it; texts without any are passed over.
+    """
+    cleaned = text
     for phrase in INLINE_JUNK:
-        text = F.regexp_replace(text, quoted(phrase), "")
-    return text
+        cleaned = F.regexp_replace(cleaned, quoted(phrase), "")
+    return F.when(text.rlike(JUNK_LETTERS), cleaned).otherwise(text)
 
 
 def weld(text: Column) -> Column:
@@ -95,11 +100,12 @@ def clean_text(df: DataFrame, text: str, into: str, zero_width: str = "parity",
     source = nfc(F.col(text)) if normalize else F.col(text)
     return (
         df.withColumn("__t0", source)
-        .withColumn("__t1", weld(remove_inline_junk(replace_chars(F.col("__t0"), zero_width))))
+        .withColumn("__r", replace_chars(F.col("__t0"), zero_width))
+        .withColumn("__t1", weld(remove_inline_junk(F.col("__r"))))
         .withColumn("__lines", drop_junk_lines(split_lines(F.col("__t1"))))
         .withColumn("__kept", dedup_short_lines("__lines"))
         .withColumn(into, strip(F.array_join("__kept", "\n")))
-        .drop("__t0", "__t1", "__lines", "__kept")
+        .drop("__t0", "__r", "__t1", "__lines", "__kept")
     )
 
 
