@@ -2,7 +2,7 @@
 
 zstandard's ratio (bytes in per byte out, level 3) of the whole text and of fixed chunks of
 ``CHUNK`` bytes must lie in a band that depends on length: repetitive text compresses too well,
-random text too badly. A text is rejected if its whole ratio leaves its band, or if more than
+random text too badly. Chunks cover a longer text whole, the last one aligned to its end. A text is rejected if its whole ratio leaves its band, or if more than
 ``BAD_CHUNKS`` of its chunks leave theirs.
 
 Beside the verdict come the base measures: counts of words, characters in words, symbols, repeated
@@ -41,7 +41,7 @@ def ratio_verdict(raw: bytes, packer: zstandard.ZstdCompressor) -> tuple[float,
     low, high = next((a, b) for n, a, b in BANDS if len(raw) <= n)
     bad = full = 0
     if len(raw) > CHUNK:
-        for at in range(0, len(raw) - CHUNK + 1, CHUNK):
+        for at in (*range(0, len(raw) - CHUNK, CHUNK), len(raw) - CHUNK):
             r = CHUNK / len(packer.compress(raw[at : at + CHUNK]))
             full += 1
             bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]

@@ -58,6 +58,23 @@ def test_quality_rejects_repetition_and_noise():
     assert base64.b64encode(rnd.randbytes(9)) and quality_bands.ratio_verdict(b"", packer)[2]
 
 
+def test_quality_judges_the_tail():
+    import random
+
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    rnd = random.Random(1)
+    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(2000)).encode()
+    head = prose[: quality_bands.CHUNK]
+    noise = bytes(rnd.randrange(33, 127) for _ in range(4000))
+    assert quality_bands.ratio_verdict(prose[:8000], packer)[1:] == (0.0, True)
+    for tail in (noise, b"=" * 2000):
+        assert quality_bands.ratio_verdict(head + tail, packer)[1:] == (0.5, False)
+    assert quality_bands.ratio_verdict(prose[:8192], packer)[1] == 0.0
+    assert quality_bands.ratio_verdict(head + noise + prose[:96], packer)[1] == 0.5
+
+
 def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST] &lt; &amp; <|end|>\n<|turn|>assistant"
     rows = [
