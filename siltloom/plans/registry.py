@@ -398,10 +398,10 @@ def vector_threshold(spark, sf_dir):
 _BATCH = f"(SELECT query_id, vec_id, label, q_label, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, b.label, a.label AS q_label, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0))"
 
 
-def _batch(spark, sf_dir, k):
+def _batch(spark, sf_dir, k, metric="cosine"):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"), F.col("label").alias("q_label"))
-    return vectors, asked, vector.search(vectors, asked, k, key="vec_id")
+    return vectors, asked, vector.search(vectors, asked, k, metric, key="vec_id")
 
 
 @query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM {_BATCH} WHERE rank <= 25")
@@ -409,6 +409,30 @@ def vector_search_batch(spark, sf_dir):
     return _batch(spark, sf_dir, 25)[2].select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def _every_question(score: str, where: str = "") -> str:
+    return f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM {_BATCH.replace(_COS, score)} WHERE rank <= 25{where}"
+
+
+def _nearest_batch(spark, sf_dir, metric):
+    return _batch(spark, sf_dir, 25, metric)[2].select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(_every_question(_L2))
+def vector_search_batch_l2(spark, sf_dir):
+    return _nearest_batch(spark, sf_dir, "l2")
+
+
+@query(_every_question(_DOT))
+def vector_search_batch_inner(spark, sf_dir):
+    return _nearest_batch(spark, sf_dir, "inner")
+
+
+@query(_every_question(_COS, " AND s >= 0.25"))
+def vector_search_batch_threshold(spark, sf_dir):
+    hits = _batch(spark, sf_dir, 25)[2].where("score >= 0.25")
+    return hits.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(
     f"WITH r AS (SELECT *, label = q_label AS rel FROM {_BATCH} WHERE rank <= 10), t AS (SELECT label, count(*) AS total FROM embeddings GROUP BY label), p AS ("
     "SELECT query_id, CAST(count(*) FILTER (WHERE rel) AS DOUBLE) / any_value(total) AS recall, coalesce(max(1.0 / rank) FILTER (WHERE rel), 0) AS rr, "
