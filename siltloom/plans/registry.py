@@ -486,11 +486,18 @@ _HYBRID = (
 )
 
 
-def _hybrid(spark, sf_dir) -> DataFrame:
-    """Documents paired with the embedding of equal id stand for chunks; a benchmark item asks with its text and the embedding of its id."""
+#: The same over all documents: those without an embedding are found by their words.
+_HYBRID_ALL = _HYBRID.replace("documents JOIN embeddings", "documents LEFT JOIN embeddings").replace(", docs b),", ", docs b WHERE b.embedding IS NOT NULL),")
+
+
+def _hybrid(spark, sf_dir, how: str = "inner") -> DataFrame:
+    """Documents paired with the embedding of equal id stand for chunks; a benchmark item asks with its text and the embedding of its id.
+
+    how: "left" keeps documents and items without an embedding, for the keyword side.
+    """
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    chunks = docs.join(vectors.select(F.col("vec_id").alias("v"), "embedding"), F.col("doc_id") == F.col("v")).select("doc_id", "text", "source", "embedding")
-    asked = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("q_embedding")), F.col("query_id") == F.col("v"))
+    chunks = docs.join(vectors.select(F.col("vec_id").alias("v"), "embedding"), F.col("doc_id") == F.col("v"), how).select("doc_id", "text", "source", "embedding")
+    asked = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("q_embedding")), F.col("query_id") == F.col("v"), how)
     near = vector.search(chunks, asked, 25, key="doc_id").where(F.col("score") >= 0.25)
     words = bm25.top_k(bm25.build(chunks, key="doc_id"), asked)
     facts = chunks.select("doc_id", "text", "source")
@@ -499,24 +506,24 @@ def _hybrid(spark, sf_dir) -> DataFrame:
 
 
 @query(_HYBRID + "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM h")
-def hybrid_fuse(spark, sf_dir):
-    return _hybrid(spark, sf_dir).select("query_id", F.col("doc.doc_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
+def hybrid_fuse(spark, sf_dir, how="inner"):
+    return _hybrid(spark, sf_dir, how).select("query_id", F.col("doc.doc_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
 
 
-def _flat(spark, sf_dir) -> DataFrame:
-    hits = _hybrid(spark, sf_dir)
+def _flat(spark, sf_dir, how: str = "inner") -> DataFrame:
+    hits = _hybrid(spark, sf_dir, how)
     text_of = lambda c: F.col(c).cast("string")
     return hits.select("query_id", "rank", "text", F.concat(F.lit("doc "), text_of("doc.doc_id")).alias("title"), F.col("doc.source").alias("category"), F.lit("").alias("source"), F.concat(F.lit("doc-"), text_of("doc.doc_id")).alias("doc_id"), F.lit("documents").alias("kind"), F.array().cast("array<string>").alias("referenced_by"))
 
 
 @query(_HYBRID + "SELECT h.query_id, md5(string_agg('[' || rank || '] doc ' || h.doc_id || CASE WHEN d.source <> '' THEN ' (' || d.source || ')' ELSE '' END || chr(10) || h.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM h JOIN docs d ON d.doc_id = h.doc_id GROUP BY h.query_id")
-def context_format(spark, sf_dir):
-    return context.format_context(_flat(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
+def context_format(spark, sf_dir, how="inner"):
+    return context.format_context(_flat(spark, sf_dir, how)).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 @query(_HYBRID + "SELECT query_id, CAST(rank AS INTEGER) AS index, 'doc ' || h.doc_id AS title, d.source AS category, 'doc-' || h.doc_id AS doc_id FROM h JOIN docs d ON d.doc_id = h.doc_id")
-def source_items(spark, sf_dir):
-    return context.source_items(_flat(spark, sf_dir)).select("query_id", F.explode("sources").alias("s")).select("query_id", "s.index", "s.title", "s.category", "s.doc_id")
+def source_items(spark, sf_dir, how="inner"):
+    return context.source_items(_flat(spark, sf_dir, how)).select("query_id", F.explode("sources").alias("s")).select("query_id", "s.index", "s.title", "s.category", "s.doc_id")
 
 
 _SET = "list_distinct(list_filter(string_split_regex(lower(%s), '\\s+'), lambda w: w <> ''))"
@@ -526,7 +533,31 @@ _SET = "list_distinct(list_filter(string_split_regex(lower(%s), '\\s+'), lambda
     _HYBRID + ", r AS (SELECT h.query_id, h.doc_id, h.rank AS old, CAST(len(list_intersect(" + _SET % "b.text" + ", " + _SET % "h.text" + ")) AS DOUBLE) / greatest(len(" + _SET % "b.text" + "), 1) AS s FROM h JOIN benchmark b ON b.item_id = h.query_id) "
     "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, old) AS rank FROM r) WHERE rank <= 6"
 )
-def rerank_overlap(spark, sf_dir):
-    hits = _hybrid(spark, sf_dir).select("query_id", "rank", "text", F.col("doc.doc_id").alias("doc_id")).join(_questions(spark, sf_dir), "query_id")
+def rerank_overlap(spark, sf_dir, how="inner"):
+    hits = _hybrid(spark, sf_dir, how).select("query_id", "rank", "text", F.col("doc.doc_id").alias("doc_id")).join(_questions(spark, sf_dir), "query_id")
     best = fusion.rerank(hits, adapters.overlap_score(F.col("question"), F.col("text")), 10, 6)
     return best.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("score"))
+
+
+def _all_documents(name: str) -> str:
+    return ORACLE[name].replace(_HYBRID, _HYBRID_ALL)
+
+
+@query(_all_documents("hybrid_fuse"))
+def hybrid_fuse_all(spark, sf_dir):
+    return hybrid_fuse(spark, sf_dir, "left")
+
+
+@query(_all_documents("context_format"))
+def context_format_all(spark, sf_dir):
+    return context_format(spark, sf_dir, "left")
+
+
+@query(_all_documents("source_items"))
+def source_items_all(spark, sf_dir):
+    return source_items(spark, sf_dir, "left")
+
+
+@query(_all_documents("rerank_overlap"))
+def rerank_overlap_all(spark, sf_dir):
+    return rerank_overlap(spark, sf_dir, "left")

@@ -19,3 +19,23 @@ def test_every_question_is_asked(spark, sf_dir, name, metric, least):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert len({k[0] for k in got}) == (ids % 20 == 0).sum() > 1
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("name", ["hybrid_fuse_all", "context_format_all", "source_items_all", "rerank_overlap_all"])
+def test_documents_without_an_embedding_are_found(spark, tmp_path, name):
+    texts = ["alpha beta", "gamma delta", "filler one", "filler two", "filler three", "needle thread", "needle eye"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "needle"), (5, "thread")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = entry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in rows} == {0, 5}
+    if name == "context_format_all":
+        import duckdb
+
+        con = duckdb.connect()
+        for t in ("documents", "embeddings", "benchmark"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        assert {(r.query_id, r.digest) for r in rows} == set(con.sql(entry.oracle_sql()[name]).fetchall())
+    else:
+        found = {(r.query_id, str(r.doc_id).removeprefix("doc-")) for r in rows}
+        assert {(0, "5"), (0, "6"), (5, "5")} <= found
