@@ -44,6 +44,8 @@ HALF = 17
 #: One document in SAMPLE shows heavy anchors, those that HEAVY sampled documents or more hold; at most MOST are kept.
 SAMPLE, HEAVY, MOST = 64, 32, 1 << 16
 SUB = 1 << 40  # rows that repeat an id are told apart above the position
+#: Low bits of a word that hold a position while anchors are found; longer blocks are worked through in pieces.
+PLACE_BITS = 24
 _FACTORS = [[np.uint64(int(x) | 1) for x in np.random.default_rng(s).integers(0, 2**63, 16)] for s in (5, 6)]
 _BYTES = [np.random.default_rng(s).integers(0, 2**64, 256, dtype=np.uint64) for s in (7, 8)]
 
@@ -61,7 +63,14 @@ def doubled(data: np.ndarray, family: int) -> dict[int, np.ndarray]:
 
 def anchors_of_windows(ranks: np.ndarray, n: int) -> np.ndarray:
     """Position of the anchor of each of the n - LENGTH + 1 windows, as if the block were one text."""
-    low = np.uint64((1 << 24) - 1)
+    piece = 1 << PLACE_BITS  # grams of one piece; the windows of two neighbours share SPREAD grams
+    step = piece - SPREAD
+    found = [_anchors_of_piece(ranks[at : at + piece]) + at for at in range(0, max(len(ranks) - SPREAD, 1), step)]
+    return np.concatenate(found)
+
+
+def _anchors_of_piece(ranks: np.ndarray) -> np.ndarray:
+    low = np.uint64((1 << PLACE_BITS) - 1)
     w = (words.mix(ranks) & ~low) | np.arange(len(ranks), dtype=np.uint64)
     size, width = 1, SPREAD + 1
     while size * 2 <= width:

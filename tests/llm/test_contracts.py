@@ -217,6 +217,20 @@ def test_suffix_dedup_heavy_ranks(spark, prose, monkeypatch):
     assert got == sorted(suffix_dedup.brute_force(prose))
 
 
+@pytest.mark.parametrize("bits", [6, 7, 24])
+def test_suffix_anchors_of_a_text_longer_than_a_piece(monkeypatch, bits):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", bits)
+    rnd = np.random.default_rng(4)
+    passage = rnd.integers(97, 123, 90)
+    data = np.concatenate([passage, rnd.integers(97, 123, 700), np.tile([97, 98], 100), passage, rnd.integers(97, 123, 33), passage]).astype(np.uint8)
+    ranks = suffix_dedup.doubled(data, 0)[suffix_dedup.GRAM]
+    hashed = suffix_dedup.words.mix(ranks) >> np.uint64(24)
+    want = [p + int(hashed[p : p + suffix_dedup.SPREAD + 1].argmin()) for p in range(len(data) - suffix_dedup.LENGTH + 1)]
+    assert suffix_dedup.anchors_of_windows(ranks, len(data)).tolist() == want
+
+
 def test_suffix_dedup_edges(spark, edge_docs):
     got = suffix_dedup.remove_repeats(edge_docs)
     rows = got.collect()
