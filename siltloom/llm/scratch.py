@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.made: list[DataFrame] = []
 
     @contextmanager
     def swept(self):
@@ -42,6 +44,26 @@ class Scratch:
         finally:
             self.spark.conf.set(SWEEP, old) if old is not None else self.spark.conf.unset(SWEEP)
 
+    @contextmanager
+    def batches(self, rows: int):
+        """Within, an Arrow batch holds at most so many rows; Spark also bounds its bytes."""
+        old = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(rows))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(BATCH, old)
+
+    @contextmanager
+    def dropping(self, *names: str):
+        """Afterwards, with an error or without, the tables cut here but those kept are deleted, and the named ones of the catalog."""
+        try:
+            yield
+        finally:
+            self.drop(*self.made)
+            for name in names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` to the shared folder and return a reader of what was written."""
         self.n += 1
@@ -50,6 +72,13 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siltloom_path = path
+        self.made.append(out)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written like the others, but left for whoever reads the operator's result."""
+        out = self.cut(df)
+        self.made.pop()
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -1,34 +1,42 @@
 """Removal of repeated byte strings by distributed prefix doubling over sampled suffixes.
 
 A byte goes if some string of ``LENGTH`` bytes covers it that also starts in a document with a smaller
-id. Prefix doubling ranks suffixes by their first h bytes, then by pairs of ranks at offset h; a suffix
-whose rank is unique drops out, and nothing past the threshold matters. Two things keep it
-from touching every position at every length:
+id. Spark ranks suffixes by their first bytes, then sorts pairs of (rank, what stands at a growing
+offset) and ranks them anew; a suffix whose rank is unique drops out, and so does one whose rank
+repeats past the threshold, since its answer is known.
 
 * Sampling. Every window of LENGTH bytes is stood for by the least hashed ``GRAM``-byte prefix in it
   (leftmost on ties), its anchor. Equal windows have equal anchors at equal offsets, so a repeat can
-  only hide where anchors repeat. About one position in 18 is an anchor.
-* Local doubling. Ranks are 64-bit hashes, and a hash of 2h bytes is made from those of its halves where
-  the text is, for h = 1, 2, 4, 8 and on. Spark sorts the ranks; that is where documents meet.
+  only hide where anchors repeat. About one position in 18 is an anchor; only anchors are ranked.
+* Partners. The position h bytes on is seldom an anchor and so has no rank of Spark's. Its name, a 64-bit
+  hash of the bytes there, is made where the text is and takes the rank's place in the pair.
 
-Rounds, each on what the one before left: 16 bytes at every anchor; 84 bytes around an anchor, all
-that its windows can cover, which settles the inside of long repeats; 33 bytes to the left and to the
-right of what isn't settled, as any window holds one of the two; at last the windows themselves.
-Decisions to remove rest on 96 bits of hash.
+Rounds, each on what the one before left:
 
-Heavy ranks: a sample of documents finds anchors that very many documents share. Those skip the
-sorted rounds, are summed before the shuffle and joined back, which Spark can split; which way a
-rank goes doesn't change the result. Texts are laid out once by id in a bucketed table.
+1. (16 bytes) at every anchor. Unique anchors drop out.
+2. (rank, name of up to 34 bytes before and 34 bytes after): all that the anchor's windows can cover.
+   If the pair is in an earlier document, all these windows go and the anchor is past the threshold.
+3. (rank, 17 bytes before) and (rank, 17 bytes after): 33 bytes, one of which every window holds.
+4. (rank of the 33 bytes, name of the window): 50 bytes, the threshold. Windows of an earlier document go.
+
+Sorting. A round sorts its pairs by (pair, document) over slots whose borders are quantiles of a sample
+of documents, so a pair that repeats very often spreads over several slots. Within a slot a rank is the
+place of its pair in the order. A pair that is a border has rows in several slots; there are no more of
+those than slots, and their parts are summed afterwards. Borders decide only where rows go.
+
+Texts are laid out once by id in a bucketed table, read in pieces of ``PIECE`` bytes. Memory of a task
+grows with its longest text by the text itself and its removed runs only.
 
 Null texts count as empty. Documents with a null id neither remove nor lose anything. Rows that
-repeat an id never remove from each other. Equal windows inside one document don't count. Extra
-columns are ignored; an empty table gives an empty result.
+repeat an id never remove from each other. Equal windows inside one document don't count. Texts of
+any length are taken whole. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -41,37 +49,36 @@ from .scratch import Scratch
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM  # an anchor stands at most this far into its window
 HALF = 17
-#: One document in SAMPLE shows heavy anchors, those that HEAVY sampled documents or more hold; at most MOST are kept.
-SAMPLE, HEAVY, MOST = 64, 32, 1 << 16
 SUB = 1 << 40  # rows that repeat an id are told apart above the position
-#: Low bits of a word that hold a position while anchors are found; longer blocks are worked through in pieces.
-PLACE_BITS = 24
-_FACTORS = [[np.uint64(int(x) | 1) for x in np.random.default_rng(s).integers(0, 2**63, 16)] for s in (5, 6)]
-_BYTES = [np.random.default_rng(s).integers(0, 2**64, 256, dtype=np.uint64) for s in (7, 8)]
-
-
-def doubled(data: np.ndarray, family: int) -> dict[int, np.ndarray]:
-    """Ranks of the first 1, 2, 4, 8, 16, 17, 32, 33 and 50 bytes at every position that has so many."""
-    f = _FACTORS[family]
-    r = {1: _BYTES[family][data]}
-    for i, (new, left) in enumerate(((2, 1), (4, 2), (8, 4), (16, 8), (17, 16), (32, 16), (33, 16), (50, 32))):
+#: Bytes of text, and marks, that are worked on at once. Positions within a piece take PLACE_BITS bits.
+PIECE, MARKS, PLACE_BITS = 1 << 20, 1 << 16, 24
+#: Sampled rows for each border between slots.
+PER_BORDER = 200
+RANKS = 1 << 40  # ranks of one slot
+_FACTORS = [np.uint64(int(x) | 1) for x in np.random.default_rng(5).integers(0, 2**63, 16)]
+_BYTES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+_STEPS = ((2, 1), (4, 2), (8, 4), (16, 8), (17, 16), (32, 16), (50, 32))
+
+
+def doubled(data: np.ndarray, most: int = LENGTH) -> dict[int, np.ndarray]:
+    """Names of the first 1, 2, 4, 8, 16, 17, 32 and 50 bytes, up to ``most``, at every position that has so many."""
+    r = {1: _BYTES[data]}
+    for i, (new, left) in enumerate(_STEPS):
+        if new > most:
+            break
         right = new - left
         n = max(len(data) - new + 1, 0)
-        r[new] = r[left][:n] * f[i] + r[right][left : left + n] if right in r else r[left][:n] * f[i] + words.mix(r[16][left : left + n] + r[16][left + right - 16 : left + right - 16 + n] * f[i + 1])
+        if right in r:
+            r[new] = r[left][:n] * _FACTORS[i] + r[right][left : left + n]
+        else:  # 18 bytes as 16 and the last 16 of them
+            r[new] = r[left][:n] * _FACTORS[i] + words.mix(r[16][left : left + n] + r[16][left + right - 16 : left + right - 16 + n] * _FACTORS[i + 1])
     return r
 
 
-def anchors_of_windows(ranks: np.ndarray, n: int) -> np.ndarray:
-    """Position of the anchor of each of the n - LENGTH + 1 windows, as if the block were one text."""
-    piece = 1 << PLACE_BITS  # grams of one piece; the windows of two neighbours share SPREAD grams
-    step = piece - SPREAD
-    found = [_anchors_of_piece(ranks[at : at + piece]) + at for at in range(0, max(len(ranks) - SPREAD, 1), step)]
-    return np.concatenate(found)
-
-
-def _anchors_of_piece(ranks: np.ndarray) -> np.ndarray:
+def anchors_of_windows(names: np.ndarray) -> np.ndarray:
+    """Position of the anchor of each window of a piece, as if the piece were one text."""
     low = np.uint64((1 << PLACE_BITS) - 1)
-    w = (words.mix(ranks) & ~low) | np.arange(len(ranks), dtype=np.uint64)
+    w = (words.mix(names) & ~low) | np.arange(len(names), dtype=np.uint64)
     size, width = 1, SPREAD + 1
     while size * 2 <= width:
         w = np.minimum(w[:-size], w[size:])
@@ -82,62 +89,94 @@ def _anchors_of_piece(ranks: np.ndarray) -> np.ndarray:
 
 
 def _windows(offsets: np.ndarray, n: int) -> np.ndarray:
-    """Whether a window starting at a byte of the block stays in its text."""
-    ok = np.zeros(max(n - LENGTH + 1, 0), np.int64)
+    """Starts of the windows that stay in one text."""
     edge = np.zeros(n + 1, np.int64)
     long = np.flatnonzero(np.diff(offsets) >= LENGTH)
     np.add.at(edge, offsets[long], 1)
     np.add.at(edge, offsets[long + 1] - LENGTH + 1, -1)
-    ok = np.cumsum(edge)[: len(ok)]
-    return np.flatnonzero(ok > 0)
+    return np.flatnonzero(np.cumsum(edge)[: max(n - LENGTH + 1, 0)] > 0)
 
 
-def _blocks_of(batch: pa.RecordBatch, text: int):
-    data, offsets = words.column_bytes(batch.column(text))
-    for i, j in words.blocks(offsets, 1 << 20):
-        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        if len(part) >= LENGTH:
-            yield i, part, off
+def _pieces(batch: pa.RecordBatch, text: int):
+    """First row, bytes, offsets and place in the text: texts together up to PIECE bytes, or a part of a longer one.
 
-
-def _anchor_rows(heavy: np.ndarray):
-    """rank, doc, at, heavy of each anchor."""
+    Parts overlap by LENGTH - 1 bytes, so that each window is in one of them.
+    """
+    data, offsets = words.column_bytes(batch.column(text))
+    for i, j in words.blocks(offsets, PIECE):
+        start, end = int(offsets[i]), int(offsets[j])
+        if end - start <= PIECE:
+            yield i, data[start:end], offsets[i : j + 1] - start, 0
+            continue
+        for at in range(start, max(end - LENGTH + 1, start + 1), PIECE):
+            part = data[at : min(at + PIECE + LENGTH - 1, end)]
+            yield i, part, np.array([0, len(part)]), at - start
+
+
+Borders = list[tuple[int, ...]]
+
+
+def slots(columns: list[np.ndarray], borders: Borders) -> tuple[np.ndarray, np.ndarray]:
+    """Slot of each row, and whether all but its last column equal those of a border; both in the order of the columns."""
+    n = len(columns[0])
+    if not borders:
+        return np.zeros(n, np.int32), np.zeros(n, bool)
+    code, marks, same = np.zeros(n, np.int64), np.zeros(len(borders), np.int64), np.zeros(n, bool)
+    for k, x in enumerate(columns):
+        if k == len(columns) - 1:
+            seen = np.unique(marks)
+            same = seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] == code
+        y = np.array([b[k] for b in borders], np.int64)
+        steps = np.unique(y)
+        at = np.searchsorted(steps, x)
+        # of up to three columns: fits 64 bits with a million borders
+        code = code * (2 * len(steps) + 1) + 2 * at + (steps[np.minimum(at, len(steps) - 1)] == x)
+        marks = marks * (2 * len(steps) + 1) + 2 * np.searchsorted(steps, y) + 1
+    return np.searchsorted(marks, code, "right").astype(np.int32), same
+
+
+def _batch(borders: Borders, keys: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """A batch of the columns, of which the first ``keys`` and ``doc`` make the order, with slot and edge."""
+    arrays = {k: v.view(np.int64) if v.dtype == np.uint64 else v for k, v in columns.items()}
+    slot, edge = slots([*list(arrays.values())[:keys], arrays["doc"]], borders)
+    out = [x if isinstance(x, pa.Array) else pa.array(x) for x in (*arrays.values(), slot, edge)]
+    return pa.RecordBatch.from_arrays(out, names=[*arrays, "slot", "edge"])
+
+
+def _anchor_rows(borders: Borders):
+    """name, doc, at of each anchor."""
 
     def run(batches):
         for batch in batches:
-            docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, part, off in _blocks_of(batch, 2):
-                ranks = doubled(part, 0)
+            docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            for i, part, off, base in _pieces(batch, 2):
                 own = _windows(off, len(part))
-                of = anchors_of_windows(ranks[GRAM], len(part))[own]
-                if not len(of):
+                if not len(own):
                     continue
+                names = doubled(part, GRAM)[GRAM]
+                of = anchors_of_windows(names)[own]
                 a = of[np.concatenate([[True], of[1:] != of[:-1]])]
                 row = np.searchsorted(off, a, "right") - 1
-                key = words.mix(ranks[GRAM][a])
-                hot = np.isin(key, heavy) if len(heavy) else np.zeros(len(a), bool)
-                at = (a - off[row]) + subs[i + row].astype(np.int64) * SUB
-                key = np.where(hot, words.mix(key + a.astype(np.uint64) * words.BASE + docs[i + row].astype(np.uint64)), key)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[i + row]), pa.array(at), pa.array(hot)], names=["key", "doc", "at", "heavy"])
+                yield _batch(borders, 1, name=words.mix(names[a]), doc=docs[i + row], at=a - off[row] + base + subs[i + row] * SUB)
 
     return run
 
 
-def _marked(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and position of the marks that a list column gives each row, sorted."""
+def _marked(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and rank of the marks that a list column gives each row, sorted."""
     lists = batch.column(column)
     n = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     n = np.where(lists.is_valid().to_numpy(zero_copy_only=False), n, 0)
     row = np.repeat(np.arange(len(lists)), n)
-    at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at, rank = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "rank"))
     mine = at // SUB == batch.column(1).to_numpy()[row]
-    row, pos = row[mine], at[mine] % SUB
+    row, pos, rank = row[mine], at[mine] % SUB, rank[mine]
     order = np.lexsort((pos, row))
-    return row[order], pos[order]
+    return row[order], pos[order], rank[order]
 
 
 def _packed(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy(F.col("doc").alias(f"{name}_doc")).agg(F.collect_list("at").alias(name))
+    return df.groupBy(F.col("doc").alias(f"{name}_doc")).agg(F.collect_list(F.struct("at", "rank")).alias(name))
 
 
 class _Regions:
@@ -156,117 +195,144 @@ class _Regions:
         self.a, self.lo, self.hi = a - self.shift[self.of], lo - self.shift[self.of], hi - self.shift[self.of]
 
 
-def _each_block(batch: pa.RecordBatch, marks: list[tuple[np.ndarray, np.ndarray]]):
-    """First row, bytes, offsets and, per kind of mark, rows and places in the block."""
-    for i, part, off in _blocks_of(batch, 2):
+def _each_block(batch: pa.RecordBatch, marks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """First row, bytes, offsets, and the marks in the block: rows, places, and a rank for each kind (-1: not of that kind)."""
+    data, offsets = words.column_bytes(batch.column(2))
+    for i, j in words.blocks(offsets, PIECE):
+        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         here = []
-        for row, pos in marks:
-            x, y = np.searchsorted(row, [i, i + len(off) - 1])
-            here.append((row[x:y] - i, off[row[x:y] - i] + pos[x:y]))
-        yield i, part, off, here
+        for row, pos, rank in marks:
+            x, y = np.searchsorted(row, [i, j])
+            here.append((off[row[x:y] - i] + pos[x:y], rank[x:y]))
+        a = np.unique(np.concatenate([m[0] for m in here]))
+        ranks = np.full((len(here), len(a)), -1, np.int64)
+        for k, (places, rank) in enumerate(here):
+            ranks[k, np.searchsorted(a, places)] = rank
+        r = np.searchsorted(off, a, "right") - 1
+        for x in range(0, len(a), MARKS):
+            yield i, part, off, r[x : x + MARKS], a[x : x + MARKS], ranks[:, x : x + MARKS]
 
 
-def _context_rows(batches):
-    """Ranks of what surrounds each marked anchor: up to 84 bytes (c, c2), 33 to the left, 33 to the right."""
-    for batch in batches:
-        docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        for i, part, off, [(r, a)] in _each_block(batch, [_marked(batch, 3)]):
-            if not len(a):
-                continue
-            x = _Regions(part, off, r, a)
-            one, two = doubled(x.data, 0), doubled(x.data, 1)
-            last = x.hi - LENGTH
-            shape = words.mix(((x.a - x.lo) * 256 + (last - x.lo)).astype(np.uint64))
-            c = words.mix(one[50][x.lo] * words.BASE + one[50][last] + shape)
-            c2 = words.mix(two[50][x.lo] * words.BASE + two[50][last] + shape) >> np.uint64(33)
-            left_ok, right_ok = x.a - HALF >= x.lo, x.a + 33 <= x.hi
-            left = words.mix(one[33][np.maximum(x.a - HALF, 0)] + np.uint64(1)).view(np.int64)
-            right = words.mix(one[33][np.minimum(x.a, len(one[33]) - 1)] + np.uint64(2)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.view(np.int64)), pa.array(c2.astype(np.int32)), pa.array(left, mask=~left_ok), pa.array(right, mask=~right_ok), pa.array(docs[i + r]), pa.array(a - off[r] + subs[i + r] * SUB)],
-                names=["c", "c2", "left", "right", "doc", "at"],
-            )
-
-
-def _window_rows(batches):
-    """Rank (k, k2) of each window whose anchor is marked on the window's side."""
-    for batch in batches:
-        docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        for i, part, off, sides in _each_block(batch, [_marked(batch, 3), _marked(batch, 4)]):
-            a, at = np.unique(np.concatenate([m[1] for m in sides]), return_index=True)
-            if not len(a):
-                continue
-            x = _Regions(part, off, np.concatenate([m[0] for m in sides])[at], a)
-            flags = np.zeros((2, len(x.data)), bool)
-            for side, (_, places) in enumerate(sides):
-                k = np.searchsorted(a, places)
-                flags[side, x.a[k]] = True
-            one = doubled(x.data, 0)
-            own = _windows(x.offsets, len(x.data))
-            of = anchors_of_windows(one[GRAM], len(x.data))[own]
-            shift = of - own
-            p = own[(flags[0, of] & (shift >= HALF)) | (flags[1, of] & (shift <= SPREAD - HALF))]
-            if not len(p):
-                continue
-            two = doubled(x.data, 1)
-            place = x.source[p]
-            r = np.searchsorted(off, place, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words.mix(one[50][p]).view(np.int64)), pa.array((words.mix(two[50][p]) >> np.uint64(33)).astype(np.int32)), pa.array(docs[i + r]), pa.array(place - off[r] + subs[i + r] * SUB)],
-                names=["k", "k2", "doc", "at"],
-            )
+def _context_rows(borders: Borders):
+    """(rank, context) of each marked anchor, with names of its left and right 17 bytes (null where its windows can't hold them)."""
 
+    def run(batches):
+        for batch in batches:
+            docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            for i, part, off, r, a, ranks in _each_block(batch, [_marked(batch, 3)]):
+                x = _Regions(part, off, r, a)
+                names = doubled(x.data)
+                last = x.hi - LENGTH  # 50 bytes from lo and the last 50 bytes hold the context
+                shape = words.mix(((x.a - x.lo) * 256 + (last - x.lo)).astype(np.uint64))
+                context = words.mix(names[50][x.lo] * words.BASE + names[50][last] + shape)
+                side = [words.mix(names[HALF][np.clip(p, 0, len(names[HALF]) - 1)] + np.uint64(k)).view(np.int64) for k, p in enumerate((x.a - HALF, x.a + GRAM))]
+                left, right = pa.array(side[0], mask=x.a - HALF < x.lo), pa.array(side[1], mask=x.a + GRAM + HALF > x.hi)
+                batch_of = _batch(borders, 2, rank=ranks[0], context=context, doc=docs[i + r], at=a - off[r] + subs[i + r] * SUB)
+                yield pa.RecordBatch.from_arrays([*batch_of.columns, left, right], names=[*batch_of.schema.names, "left", "right"])
 
-def _results(batches):
-    """Removed runs and what is left of each text.
+    return run
 
-    Marks: anchors whose windows all go (light ones), heavy anchors, those of them whose windows
-    don't all go, and single windows that go.
-    """
+
+def _side_rows(borders: Borders):
+    """(rank, name of a side) of each anchor that isn't settled."""
+
+    def run(batches):
+        for batch in batches:
+            x = {n: batch.column(n) for n in ("rank", "doc", "at", "left", "right")}
+            for side in ("left", "right"):
+                has = x[side].is_valid().to_numpy(zero_copy_only=False)
+                if has.any():
+                    rank, doc, at, name = (x[n].fill_null(0).to_numpy(zero_copy_only=False)[has] for n in ("rank", "doc", "at", side))
+                    yield _batch(borders, 2, old=rank, name=name, doc=doc, at=at, is_left=np.full(len(at), side == "left"))
+
+    return run
+
+
+def _window_rows(borders: Borders):
+    """(rank of its side, name) of each window: the left 33 bytes' rank if it holds them, else the right ones'."""
+
+    def run(batches):
+        for batch in batches:
+            docs, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            for i, part, off, r, a, ranks in _each_block(batch, [_marked(batch, 3), _marked(batch, 4)]):
+                x = _Regions(part, off, r, a)
+                names = doubled(x.data)
+                side = np.full((2, len(x.data)), -1, np.int64)
+                side[:, x.a] = ranks
+                own = _windows(x.offsets, len(x.data))
+                of = anchors_of_windows(names[GRAM])[own]
+                rank = np.where(of - own >= HALF, side[0, of], side[1, of])
+                p, rank = own[rank >= 0], rank[rank >= 0]
+                place = x.source[p]
+                row = np.searchsorted(off, place, "right") - 1
+                yield _batch(borders, 2, rank=rank, name=words.mix(names[50][p]), doc=docs[i + row], at=place - off[row] + subs[i + row] * SUB)
+
+    return run
+
+
+def _results(batches):
+    """Removed runs and what is left of each text: settled anchors (column 3), single windows (column 4)."""
     for batch in batches:
         data, offsets = words.column_bytes(batch.column(2))
-        light, heavy, first, single = (_marked(batch, k) for k in (3, 4, 5, 6))
-        code = lambda m: m[0] * SUB + m[1]
-        around = np.sort(np.concatenate([code(light), np.setdiff1d(code(heavy), code(first))]))
-        ends = np.searchsorted(around // SUB, np.arange(batch.num_rows + 1)), np.searchsorted(single[0], np.arange(batch.num_rows + 1))
-        a_pos, s_pos = around % SUB, single[1]
+        (a_row, a, _), (w_row, w, _) = _marked(batch, 3), _marked(batch, 4)
+        rows = np.arange(batch.num_rows + 1)
+        ends = np.searchsorted(a_row, rows), np.searchsorted(w_row, rows)
         removed, spans, shas, where = [], [], [], []
         for r in range(batch.num_rows):
             raw = data[offsets[r] : offsets[r + 1]]
-            a, s = a_pos[ends[0][r] : ends[0][r + 1]], s_pos[ends[1][r] : ends[1][r + 1]]
-            n = len(raw)
-            if len(a) or len(s):
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, np.concatenate([np.maximum(a - SPREAD, 0), s]), 1)
-                np.add.at(edge, np.concatenate([np.minimum(a + LENGTH, n), s + LENGTH]), -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                change = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                starts, stops = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-                raw = raw[~gone]
-                removed.append(int(gone.sum()))
-                spans.append(len(starts))
-                where.append([{"start": int(x), "end": int(y)} for x, y in zip(starts, stops)])
-            else:
-                removed.append(0)
-                spans.append(0)
-                where.append([])
-            shas.append(hashlib.sha256(raw.tobytes()).hexdigest())
+            around, single = a[ends[0][r] : ends[0][r + 1]], w[ends[1][r] : ends[1][r + 1]]
+            start = np.concatenate([np.maximum(around - SPREAD, 0), single])
+            stop = np.concatenate([np.minimum(around + LENGTH, len(raw)), single + LENGTH])
+            order = np.argsort(start, kind="stable")
+            start, stop = start[order], np.maximum.accumulate(stop[order])
+            if len(start):
+                first = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
+                start, stop = start[first], np.maximum.reduceat(stop, first)
+            digest, at = hashlib.sha256(), 0
+            for x, y in zip(start.tolist(), stop.tolist()):
+                digest.update(raw[at:x])
+                at = y
+            digest.update(raw[at:])
+            removed.append(int((stop - start).sum()))
+            spans.append(len(start))
+            where.append([{"start": x, "end": y} for x, y in zip(start.tolist(), stop.tolist())])
+            shas.append(digest.hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
         )
 
 
-def _sorted_bounds(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` with lo and hi, the least and greatest doc among rows of equal keys, which are sorted together."""
-    group = Window.partitionBy(*keys)
-    return rows.withColumns({"lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
-
-
-def _joined_bounds(rows: DataFrame, *keys: str) -> DataFrame:
-    """The same for heavy ranks: bounds are summed before the shuffle and joined, which Spark can split."""
-    sums = rows.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    return rows.join(sums, [F.col(k) == F.col(f"{k}_") for k in keys]).drop(*(f"{k}_" for k in keys))
+class _Sorter:
+    """Rounds of sorting and ranking over slots; ``sampled`` and ``one_in`` fix what borders are drawn from."""
+
+    def __init__(self, scratch: Scratch, n_slots: int, n_bytes: int):
+        self.scratch, self.n = scratch, n_slots
+        share = min(1.0, PER_BORDER * n_slots * (SPREAD + 2) / 2 / max(n_bytes, 1))  # of an anchor in about 18 bytes
+        docs = min(1.0, 64 * share)
+        self.sampled = lambda doc: F.pmod(F.xxhash64(doc, F.lit("sample")), F.lit(1 << 20)) < int(docs * (1 << 20)) + 1
+        self.one_in = max(1, round(docs / share))
+
+    def borders(self, source: DataFrame, rows: Callable, shape: str, doc: str, order: list[str]) -> Borders:
+        """Up to n - 1 borders, quantiles of a sample of about PER_BORDER rows each."""
+        made = source.where(self.sampled(doc)).mapInArrow(rows([]), shape)
+        drawn = made.where(F.pmod(F.xxhash64(*order, "at"), F.lit(self.one_in)) == 0).select(*order).collect()
+        drawn = sorted(tuple(r) for r in drawn)
+        return sorted({drawn[k * len(drawn) // self.n] for k in range(1, self.n)}) if drawn else []
+
+    def ranked(self, source: DataFrame, rows: Callable, shape: str, doc: str, keys: list[str], keep: str) -> DataFrame:
+        """The rows with lo and hi, the least and greatest doc of their pair, and new_rank; those outside ``keep`` may be left out."""
+        shape += ", slot int, edge boolean" if "slot" not in shape else ""
+        borders = self.borders(source, rows, shape, doc, [*keys, "doc"])
+        group, order = Window.partitionBy("slot", *keys), Window.partitionBy("slot").orderBy(*keys)
+        placed = source.mapInArrow(rows(borders), shape).repartitionById(self.n, "slot")
+        placed = placed.withColumn("new_rank", F.col("slot") * F.lit(RANKS) + F.dense_rank().over(order)).withColumns({"lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
+        written = self.scratch.cut(placed.where(f"edge or ({keep})").drop("slot"))
+        # at most one pair for each border
+        parts = written.where("edge").groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("lo").alias("lo_"), F.max("hi").alias("hi_"), F.min("new_rank").alias("head_"))
+        joined = written.join(F.broadcast(parts), [F.col(k) == F.col(f"{k}_") for k in keys] + [F.col("edge")], "left")
+        whole = joined.withColumns({"lo": F.coalesce("lo_", "lo"), "hi": F.coalesce("hi_", "hi"), "new_rank": F.coalesce("head_", "new_rank")})
+        return whole.where(keep).drop("lo_", "hi_", "head_", "edge", *(f"{k}_" for k in keys))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,62 +344,39 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     rows = rows.repartition(n, "doc_id").withColumn("sub", F.when(F.col("doc_id").isNull(), 0).otherwise(F.row_number().over(again) - 1).cast("int"))
-    with scratch.swept():
-        rows.select("doc_id", "sub", "text").write.bucketBy(n, "doc_id").option("compression", "zstd").saveAsTable(laid)
-    table = spark.table(laid)
-    known = table.where("doc_id is not null")
-    shape = "key bigint, doc bigint, at bigint, heavy boolean"
-
-    # round 1: 16 bytes at every anchor
-    sampled = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_anchor_rows(np.empty(0, np.uint64)), shape)
-    heavy = sampled.groupBy("key").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "key").limit(MOST).collect()
-    heavy_keys = np.sort(np.array([r["key"] for r in heavy], np.int64).view(np.uint64))
-    group = Window.partitionBy("key")
-    ranked = known.mapInArrow(_anchor_rows(heavy_keys), shape).withColumns({"lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
-    alike = scratch.cut(ranked.where("heavy or lo < hi").select("doc", "at", "heavy"))
-
-    def marked(*marks: DataFrame) -> DataFrame:
-        out = table
-        for i, m in enumerate(marks):
-            out = out.join(_packed(m, f"m{i}"), F.col("doc_id") == F.col(f"m{i}_doc"), "left")
-        return out.where(" or ".join(f"m{i} is not null" for i in range(len(marks)))).select("doc_id", "sub", "text", *(f"m{i}" for i in range(len(marks))))
-
-    # round 2: all that the windows of an anchor can cover
-    shape = "c bigint, c2 int, left bigint, right bigint, doc bigint, at bigint"
-    covered = F.col("lo") < F.col("doc")
-    sorted_contexts = _sorted_bounds(marked(alike.where("not heavy")).mapInArrow(_context_rows, shape), "c", "c2")
-    light = scratch.cut(sorted_contexts.select(*(F.when(~covered, F.col(c)).alias(c) for c in ("left", "right")), "doc", "at", covered.alias("covered")))
-    # of a heavy context only the first document's anchors aren't covered; their lists are summed, not joined
-    own = marked(alike.where("heavy")).mapInArrow(_context_rows, shape).groupBy("c", "c2", "doc").agg(F.collect_list(F.struct("left", "right", "at")).alias("own"))
-    first = own.groupBy("c", "c2").agg(F.min_by(F.struct("doc", "own"), "doc").alias("f")).select("f.doc", F.explode("f.own").alias("x"))
-    first = scratch.cut(first.select("x.left", "x.right", "doc", "x.at"))
-
-    # round 3: 33 bytes on either side of what isn't settled
-    def sides(rows: DataFrame) -> DataFrame:
-        two = F.array(F.struct(F.col("left").alias("key"), F.lit(True).alias("is_left")), F.struct(F.col("right").alias("key"), F.lit(False).alias("is_left")))
-        return rows.select("doc", "at", F.explode(two).alias("s")).select("doc", "at", "s.key", "s.is_left").where("key is not null")
-
-    near = scratch.cut(_sorted_bounds(sides(light.where("not covered")), "key").where("lo < hi").select("doc", "at", "is_left"))
-    heavy_near = scratch.cut(_joined_bounds(sides(first), "key").select("doc", "at", "is_left"))
-
-    # round 4: whole windows
-    def windows(rows: DataFrame) -> DataFrame:
-        both = marked(rows.where("is_left").select("doc", "at"), rows.where("not is_left").select("doc", "at"))
-        return both.mapInArrow(_window_rows, "k bigint, k2 int, doc bigint, at bigint")
-
-    single = scratch.cut(_sorted_bounds(windows(near), "k", "k2").where("lo < doc").select("doc", "at"))
-    heavy_windows = scratch.cut(windows(heavy_near))
-    single = single.unionByName(_joined_bounds(heavy_windows, "k", "k2").where("lo < doc").select("doc", "at"))
-
-    marks = [light.where("covered").select("doc", "at"), alike.where("heavy").select("doc", "at"), first.select("doc", "at"), single]
-    out = table
-    for i, m in enumerate(marks):
-        out = out.join(_packed(m, f"m{i}"), F.col("doc_id") == F.col(f"m{i}_doc"), "left")
-    out = out.select("doc_id", "sub", "text", *(f"m{i}" for i in range(len(marks))))
-    out = scratch.cut(out.mapInArrow(_results, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>"))
-    spark.sql(f"DROP TABLE {laid}")
-    scratch.drop(alike, light, first, near, heavy_near, heavy_windows)
-    return out
+    with scratch.dropping(laid), scratch.batches(512):
+        with scratch.swept():
+            rows.select("doc_id", "sub", "text").write.bucketBy(n, "doc_id").option("compression", "zstd").saveAsTable(laid)
+        table = spark.table(laid)
+        known = table.where("doc_id is not null")
+        sorter = _Sorter(scratch, n, known.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+        def marked(*marks: DataFrame, every: bool = False) -> DataFrame:
+            """The texts, beside the table's buckets, with lists of marks (doc, at, rank)."""
+            out = table
+            for i, m in enumerate(marks):
+                out = out.join(_packed(m, f"m{i}"), F.col("doc_id") == F.col(f"m{i}_doc"), "left")
+            some = " or ".join(f"m{i} is not null" for i in range(len(marks)))
+            return out.where("true" if every else some).select("doc_id", "sub", "text", *(f"m{i}" for i in range(len(marks))))
+
+        shape = "name bigint, doc bigint, at bigint"
+        alike = sorter.ranked(known, _anchor_rows, shape, "doc_id", ["name"], "lo < hi").select("doc", "at", F.col("new_rank").alias("rank"))
+
+        shape = "rank bigint, context bigint, doc bigint, at bigint, slot int, edge boolean, left bigint, right bigint"
+        contexts = sorter.ranked(marked(alike), _context_rows, shape, "doc_id", ["rank", "context"], "true")
+        settled = contexts.where("lo < doc").select("doc", "at", F.lit(0).cast("bigint").alias("rank"))
+
+        shape = "old bigint, name bigint, doc bigint, at bigint, is_left boolean"
+        with scratch.batches(1 << 16):
+            sides = sorter.ranked(contexts.where("lo = doc"), _side_rows, shape, "doc", ["old", "name"], "lo < hi")
+        sides = sides.select("doc", "at", F.col("new_rank").alias("rank"), "is_left")
+
+        shape = "rank bigint, name bigint, doc bigint, at bigint"
+        windows = marked(sides.where("is_left").drop("is_left"), sides.where("not is_left").drop("is_left"))
+        single = sorter.ranked(windows, _window_rows, shape, "doc_id", ["rank", "name"], "lo < doc").select("doc", "at", F.lit(0).cast("bigint").alias("rank"))
+
+        out = marked(settled, single, every=True).mapInArrow(_results, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>")
+        return scratch.keep(out)
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:

@@ -210,25 +210,62 @@ def test_suffix_dedup_matches_brute_force(spark, prose):
     assert got == sorted(suffix_dedup.brute_force(prose))
 
 
-def test_suffix_dedup_heavy_ranks(spark, prose, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
-    monkeypatch.setattr(suffix_dedup, "HEAVY", 2)
-    got = sorted(tuple(r)[:5] for r in suffix_dedup.remove_repeats(as_docs(spark, prose)).collect())
-    assert got == sorted(suffix_dedup.brute_force(prose))
+@pytest.mark.parametrize("share", [1, 200])
+def test_suffix_dedup_hot_ranks_are_split(spark, monkeypatch, share):
+    """One line in every text: its ranks are borders, and spread over several slots."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "PER_BORDER", share)
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("aeioulmnrst ") for _ in range(n))
+    line, half = word(90), word(40)
+    rows = [(i, word(rnd.randint(0, 60)) + (line if i % 2 else half + word(3) + half) + word(rnd.randint(0, 60))) for i in range(300)]
+    got = sorted(tuple(r)[:5] for r in suffix_dedup.remove_repeats(as_docs(spark, rows)).collect())
+    assert got == sorted(suffix_dedup.brute_force(rows))
+
+
+def test_suffix_slots_keep_the_order():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 4, 500), rng.integers(-3, 3, 500), rng.integers(0, 9, 500)]
+    rows = list(zip(*(c.tolist() for c in columns)))
+    borders = sorted({rows[k] for k in range(0, 500, 40)})
+    slot, edge = suffix_dedup.slots(columns, borders)
+    for row, s, e in zip(rows, slot.tolist(), edge.tolist()):
+        assert s == sum(b <= row for b in borders)
+        assert e == (row[:2] in {b[:2] for b in borders})
+
+
+@pytest.mark.parametrize("piece", [150, 1 << 20])
+def test_suffix_dedup_in_pieces(spark, prose, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "MARKS", 3)
+    got = [list(suffix_dedup._anchor_rows([])([b])) for b in _suffix_batches(prose)]
+    whole = {(r["name"], r["doc"], r["at"]) for bs in got for b in bs for r in b.to_pylist()}
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 20)
+    want = {(r["name"], r["doc"], r["at"]) for b in _suffix_batches(prose) for x in suffix_dedup._anchor_rows([])([b]) for r in x.to_pylist()}
+    assert whole == want
+
+
+def _suffix_batches(rows):
+    import pyarrow as pa
+
+    ids = pa.array([i for i, _ in rows], pa.int64())
+    yield pa.RecordBatch.from_arrays([ids, pa.array([0] * len(rows), pa.int32()), pa.array([t for _, t in rows])], names=["doc_id", "sub", "text"])
 
 
-@pytest.mark.parametrize("bits", [6, 7, 24])
-def test_suffix_anchors_of_a_text_longer_than_a_piece(monkeypatch, bits):
+def test_suffix_dedup_of_a_text_over_16_mib(spark):
+    """A short text that also ends one of more than 2**24 bytes goes there, and nothing else does."""
     import numpy as np
 
-    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", bits)
-    rnd = np.random.default_rng(4)
-    passage = rnd.integers(97, 123, 90)
-    data = np.concatenate([passage, rnd.integers(97, 123, 700), np.tile([97, 98], 100), passage, rnd.integers(97, 123, 33), passage]).astype(np.uint8)
-    ranks = suffix_dedup.doubled(data, 0)[suffix_dedup.GRAM]
-    hashed = suffix_dedup.words.mix(ranks) >> np.uint64(24)
-    want = [p + int(hashed[p : p + suffix_dedup.SPREAD + 1].argmin()) for p in range(len(data) - suffix_dedup.LENGTH + 1)]
-    assert suffix_dedup.anchors_of_windows(ranks, len(data)).tolist() == want
+    rng = np.random.default_rng(9)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage, long = letters(4000), letters((1 << 24) + 2000)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(as_docs(spark, [(1, passage), (2, long + passage)])).collect()}
+    assert got[1].n_removed == 0
+    assert (got[2].n_bytes, got[2].n_removed, got[2].n_spans) == (len(long) + 4000, 4000, 1)
+    assert got[2].kept_sha256 == sha(long)
 
 
 def test_suffix_dedup_edges(spark, edge_docs):
