@@ -11,7 +11,8 @@ repeats past the threshold, since its answer is known.
 * Partners. The position h bytes on is seldom an anchor and so has no rank of Spark's. Its name, a 64-bit
   hash of the bytes there, is made where the text is and takes the rank's place in the pair.
 
-Rounds, each on what the one before left:
+Rounds, each on what the one before left; pairs are written and sorted partner first, as names differ
+more than ranks:
 
 1. (16 bytes) at every anchor. Unique anchors drop out.
 2. (rank, name of up to 34 bytes before and 34 bytes after): all that the anchor's windows can cover.
@@ -20,8 +21,8 @@ Rounds, each on what the one before left:
 4. (rank of the 33 bytes, name of the window): 50 bytes, the threshold. Windows of an earlier document go.
 
 Sorting. A round sorts its pairs by (pair, document) over slots whose borders are quantiles of a sample
-of documents, so a pair that repeats very often spreads over several slots. Within a slot a rank is the
-place of its pair in the order. A pair that is a border has rows in several slots; there are no more of
+of documents, so a pair that repeats very often spreads over several slots. A rank is the place of the
+first row of its pair in the order. A pair that is a border has rows in several slots; there are no more of
 those than slots, and their parts are summed afterwards. Borders decide only where rows go.
 
 Texts are laid out once by id in a bucketed table, read in pieces of ``PIECE`` bytes. Memory of a task
@@ -54,7 +55,6 @@ SUB = 1 << 40  # rows that repeat an id are told apart above the position
 PIECE, MARKS, PLACE_BITS = 1 << 20, 1 << 16, 24
 #: Sampled rows for each border between slots.
 PER_BORDER = 200
-RANKS = 1 << 40  # ranks of one slot
 _FACTORS = [np.uint64(int(x) | 1) for x in np.random.default_rng(5).integers(0, 2**63, 16)]
 _BYTES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 _STEPS = ((2, 1), (4, 2), (8, 4), (16, 8), (17, 16), (32, 16), (50, 32))
@@ -227,7 +227,7 @@ def _context_rows(borders: Borders):
                 context = words.mix(names[50][x.lo] * words.BASE + names[50][last] + shape)
                 side = [words.mix(names[HALF][np.clip(p, 0, len(names[HALF]) - 1)] + np.uint64(k)).view(np.int64) for k, p in enumerate((x.a - HALF, x.a + GRAM))]
                 left, right = pa.array(side[0], mask=x.a - HALF < x.lo), pa.array(side[1], mask=x.a + GRAM + HALF > x.hi)
-                batch_of = _batch(borders, 2, rank=ranks[0], context=context, doc=docs[i + r], at=a - off[r] + subs[i + r] * SUB)
+                batch_of = _batch(borders, 2, context=context, old=ranks[0], doc=docs[i + r], at=a - off[r] + subs[i + r] * SUB)
                 yield pa.RecordBatch.from_arrays([*batch_of.columns, left, right], names=[*batch_of.schema.names, "left", "right"])
 
     return run
@@ -238,12 +238,12 @@ def _side_rows(borders: Borders):
 
     def run(batches):
         for batch in batches:
-            x = {n: batch.column(n) for n in ("rank", "doc", "at", "left", "right")}
+            x = {n: batch.column(n) for n in ("old", "doc", "at", "left", "right")}
             for side in ("left", "right"):
                 has = x[side].is_valid().to_numpy(zero_copy_only=False)
                 if has.any():
-                    rank, doc, at, name = (x[n].fill_null(0).to_numpy(zero_copy_only=False)[has] for n in ("rank", "doc", "at", side))
-                    yield _batch(borders, 2, old=rank, name=name, doc=doc, at=at, is_left=np.full(len(at), side == "left"))
+                    rank, doc, at, name = (x[n].fill_null(0).to_numpy(zero_copy_only=False)[has] for n in ("old", "doc", "at", side))
+                    yield _batch(borders, 2, name=name, old=rank, doc=doc, at=at, is_left=np.full(len(at), side == "left"))
 
     return run
 
@@ -265,7 +265,7 @@ def _window_rows(borders: Borders):
                 p, rank = own[rank >= 0], rank[rank >= 0]
                 place = x.source[p]
                 row = np.searchsorted(off, place, "right") - 1
-                yield _batch(borders, 2, rank=rank, name=words.mix(names[50][p]), doc=docs[i + row], at=place - off[row] + subs[i + row] * SUB)
+                yield _batch(borders, 2, name=words.mix(names[50][p]), old=rank, doc=docs[i + row], at=place - off[row] + subs[i + row] * SUB)
 
     return run
 
@@ -320,19 +320,30 @@ class _Sorter:
         drawn = sorted(tuple(r) for r in drawn)
         return sorted({drawn[k * len(drawn) // self.n] for k in range(1, self.n)}) if drawn else []
 
-    def ranked(self, source: DataFrame, rows: Callable, shape: str, doc: str, keys: list[str], keep: str) -> DataFrame:
-        """The rows with lo and hi, the least and greatest doc of their pair, and new_rank; those outside ``keep`` may be left out."""
+    def ranked(self, source: DataFrame, rows: Callable, shape: str, doc: str, keys: list[str], hit: str, ranks: bool = True, settle: tuple[str, ...] | None = None) -> DataFrame:
+        """The rows whose pair fulfils ``hit``, said of doc, lo and hi, the least and greatest doc of the pair; with new_rank.
+
+        With ``settle``, all rows are left, beside the answer as ``hit``; the columns named then go where it is true.
+        """
         shape += ", slot int, edge boolean" if "slot" not in shape else ""
         borders = self.borders(source, rows, shape, doc, [*keys, "doc"])
-        group, order = Window.partitionBy("slot", *keys), Window.partitionBy("slot").orderBy(*keys)
-        placed = source.mapInArrow(rows(borders), shape).repartitionById(self.n, "slot")
-        placed = placed.withColumn("new_rank", F.col("slot") * F.lit(RANKS) + F.dense_rank().over(order)).withColumns({"lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
-        written = self.scratch.cut(placed.where(f"edge or ({keep})").drop("slot"))
-        # at most one pair for each border
-        parts = written.where("edge").groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("lo").alias("lo_"), F.max("hi").alias("hi_"), F.min("new_rank").alias("head_"))
-        joined = written.join(F.broadcast(parts), [F.col(k) == F.col(f"{k}_") for k in keys] + [F.col("edge")], "left")
-        whole = joined.withColumns({"lo": F.coalesce("lo_", "lo"), "hi": F.coalesce("hi_", "hi"), "new_rank": F.coalesce("head_", "new_rank")})
-        return whole.where(keep).drop("lo_", "hi_", "head_", "edge", *(f"{k}_" for k in keys))
+        group = Window.partitionBy(*keys, "slot")  # in this order, so that rows are sorted by a name first
+        placed = source.mapInArrow(rows(borders), shape).repartitionById(self.n, "slot").sortWithinPartitions(*keys, "slot").withColumn("place", F.monotonically_increasing_id())
+        placed = placed.withColumns({"new_rank": F.min("place").over(group), "lo": F.min("doc").over(group), "hi": F.max("doc").over(group)})
+        placed = placed.withColumn("hit", F.expr(hit))
+        own = [c for c in placed.columns if c in (settle or ()) or c not in (*keys, "slot", "place", "new_rank", "lo", "hi")]
+        gone = F.col("hit") & ~F.col("edge")
+        kept = [F.when(~gone, F.col(c)).alias(c) if c in (settle or ()) else F.col(c) for c in own]
+        rank = ["new_rank"] if ranks else []
+        # pairs that aren't borders have their answer; of the others, each slot has its part
+        part = [F.when(F.col("edge"), F.col(c)).alias(f"{c}_") for c in (*keys, "lo", "hi")]
+        written = self.scratch.cut(placed.where("true" if settle is not None else "edge or hit").select(*kept, *rank, *part))
+        # no more border pairs than slots
+        names = [f"{k}_" for k in keys]
+        sums = written.where("edge").groupBy(*(F.col(c).alias(f"{c}2") for c in names)).agg(F.min("lo_").alias("lo"), F.max("hi_").alias("hi"), *(F.min(c).alias("head") for c in rank))
+        whole = written.join(F.broadcast(sums), [F.col("edge"), *(F.col(c) == F.col(f"{c}2") for c in names)], "left")
+        whole = whole.withColumns({"hit": F.when(F.col("edge"), F.expr(hit)).otherwise(F.col("hit"))} | {c: F.coalesce("head", c) for c in rank})
+        return whole.where("true" if settle is not None else "hit").select(*own, *rank)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,18 +373,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         shape = "name bigint, doc bigint, at bigint"
         alike = sorter.ranked(known, _anchor_rows, shape, "doc_id", ["name"], "lo < hi").select("doc", "at", F.col("new_rank").alias("rank"))
 
-        shape = "rank bigint, context bigint, doc bigint, at bigint, slot int, edge boolean, left bigint, right bigint"
-        contexts = sorter.ranked(marked(alike), _context_rows, shape, "doc_id", ["rank", "context"], "true")
-        settled = contexts.where("lo < doc").select("doc", "at", F.lit(0).cast("bigint").alias("rank"))
+        shape = "context bigint, old bigint, doc bigint, at bigint, slot int, edge boolean, left bigint, right bigint"
+        contexts = sorter.ranked(marked(alike), _context_rows, shape, "doc_id", ["context", "old"], "lo < doc", ranks=False, settle=("old", "left", "right"))
+        settled = contexts.where("hit").select("doc", "at", F.lit(0).cast("bigint").alias("rank"))
 
-        shape = "old bigint, name bigint, doc bigint, at bigint, is_left boolean"
+        shape = "name bigint, old bigint, doc bigint, at bigint, is_left boolean"
         with scratch.batches(1 << 16):
-            sides = sorter.ranked(contexts.where("lo = doc"), _side_rows, shape, "doc", ["old", "name"], "lo < hi")
+            sides = sorter.ranked(contexts.where("not hit"), _side_rows, shape, "doc", ["name", "old"], "lo < hi")
         sides = sides.select("doc", "at", F.col("new_rank").alias("rank"), "is_left")
 
-        shape = "rank bigint, name bigint, doc bigint, at bigint"
+        shape = "name bigint, old bigint, doc bigint, at bigint"
         windows = marked(sides.where("is_left").drop("is_left"), sides.where("not is_left").drop("is_left"))
-        single = sorter.ranked(windows, _window_rows, shape, "doc_id", ["rank", "name"], "lo < doc").select("doc", "at", F.lit(0).cast("bigint").alias("rank"))
+        single = sorter.ranked(windows, _window_rows, shape, "doc_id", ["name", "old"], "lo < doc", ranks=False).select("doc", "at", F.lit(0).cast("bigint").alias("rank"))
 
         out = marked(settled, single, every=True).mapInArrow(_results, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>")
         return scratch.keep(out)
