@@ -11,6 +11,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Spark's writers leave last.
+SUCCESS = "_SUCCESS"
 SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -25,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siltloom_scratch"
 
 
+def under(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any file system that Spark reads, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(x.getPath().toString() for x in found or ())
+
+
 class Scratch:
     """Intermediate Parquet tables of one operator call."""
 
@@ -61,6 +70,7 @@ class Scratch:
             yield
         finally:
             self.drop(*self.made)
+            self.made.clear()
             for name in names:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 

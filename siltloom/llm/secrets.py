@@ -1,27 +1,33 @@
 """Secret scans with an incremental blob ledger, in DataFrame operations only.
 
-Every version of a text is addressed by the SHA-256 of its bytes. The ledger lists the (blob, rule,
-rule version) triples that were scanned; only blobs with an unseen triple are scanned, once however
-many paths hold them, and only for the rules they haven't seen. Findings belong to blobs and are
-joined back to every path.
+Every version of a text is addressed by the SHA-256 of its bytes. The ledger has, for each scan, a row per
+blob with the (rule, version) pairs that were scanned and the findings with theirs; only blobs with an
+unseen pair are scanned, once however many paths hold them, and only for the rules they haven't seen.
+Findings belong to blobs and are joined back to every path. Those of superseded versions stay in the
+ledger and aren't reported.
+
+A scan is one folder that counts once its marker of success is there, so what was scanned and what was
+found appear together or not at all. Earlier scans are never rewritten; two scans at once may both
+look at a blob, whose findings then count once.
 
 A rule's matches are leftmost and don't overlap; matches that fail the rule's length are dropped but
 have used up their text. Positions are code points, ends exclusive. The text between matches and the
 matches themselves alternate, so running sums of their lengths give the positions.
 
 Null texts count as empty and have no findings. Repeated rows get the same findings; two kinds may
-find the same span, and both are listed, in the order of the rules. Extra columns are kept by
-``scan_paths``; an empty table gives an empty result.
+find the same span, and both are listed, in the order of the rules. Texts of any length are scanned
+whole, one in one task. Extra columns are kept by ``scan_paths``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import SUCCESS, shared_dir, under
 
 
 @dataclass(frozen=True)
@@ -56,48 +62,69 @@ MORE_RULES = (
 )
 RULES = (*BASE_RULES, *MORE_RULES)
 SPAN = "struct<start: bigint, rule: int, kind: string, end: bigint>"
+#: A row of the ledger: scanned holds kind@version.
+ENTRY = "blob string, scanned array<string>, spans array<struct<start: bigint, end: bigint, kind: string, version: int>>"
 
 
 def blob_of(text: str):
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def scan_blobs(blobs: DataFrame, seen: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings (blob, spans) of ``blobs`` (blob, text, unique), for triples outside ``seen`` (blob, rule, version).
+class Ledger:
+    """The scans in a folder that driver and executors share."""
 
-    ``spans`` are sorted by start, then rule. Blobs without findings have no row.
-    """
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def load(self) -> DataFrame | None:
+        """Rows of all finished scans, or None before the first."""
+        scans = [p for p in under(self.spark, f"{self.path}/scan-*/{SUCCESS}")]
+        return self.spark.read.schema(ENTRY).parquet(*(p.removesuffix(f"/{SUCCESS}") for p in scans)) if scans else None
+
+    def commit(self, scan: DataFrame) -> None:
+        scan.write.option("compression", "zstd").parquet(f"{self.path}/scan-{uuid.uuid4().hex}")
+
+
+def _rule_of(rules: tuple[Rule, ...], kind, version):
+    """Place of a (kind, version) among the rules, from 1; 0 if it isn't one of them."""
+    return F.array_position(F.array(*(F.lit(r.key) for r in rules)), F.concat_ws("@", kind, version.cast("string"))).cast("int")
+
+
+def scan_blobs(blobs: DataFrame, seen: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows of the ledger for ``blobs`` (blob, text, unique) that hold a pair which ``seen``, rows of the ledger, lacks."""
+    keys = [r.key for r in rules]
     if seen is not None:
-        had = seen.groupBy(F.col("blob").alias("b2")).agg(F.collect_set(F.concat_ws("@", "rule", F.col("version").cast("string"))).alias("had"))
-        blobs = blobs.join(had, blobs.blob == had.b2, "left").drop("b2")
-        fresh = lambda rule: ~F.array_contains(F.coalesce("had", F.array().cast("array<string>")), rule.key)
+        had = seen.groupBy(F.col("blob").alias("b2")).agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("had"))
+        blobs = blobs.join(had, blobs.blob == had.b2, "left").select("blob", "text", F.array_except(F.array(*map(F.lit, keys)), F.coalesce("had", F.array().cast("array<string>"))).alias("scanned"))
+        blobs = blobs.where(F.size("scanned") > 0)
     else:
-        fresh = lambda rule: F.lit(True)
+        blobs = blobs.select("blob", "text", F.array(*map(F.lit, keys)).alias("scanned"))
     # a run too short can't be followed by a match within itself, so least may go into these patterns
     narrow = {"hex": "[0-9a-f]{16,}", "access": "AKIA[A-Z0-9]{14,}"}
     pattern = lambda r: narrow.get(r.kind, r.pattern) if r in BASE_RULES else r.pattern
-    hits = blobs.select("blob", "text", *(F.when(fresh(r), F.regexp_extract_all("text", F.lit(pattern(r)), F.lit(0))).alias(f"h{i}") for i, r in enumerate(rules)))
-    some = hits.where(" OR ".join(f"size(h{i}) > 0" for i in range(len(rules))))
-    per_rule = some.select(
+    hits = blobs.select("blob", "text", "scanned", *(F.when(F.array_contains("scanned", r.key), F.regexp_extract_all("text", F.lit(pattern(r)), F.lit(0))).alias(f"h{i}") for i, r in enumerate(rules)))
+    per_rule = hits.select(
         "blob",
-        F.explode(
+        "scanned",
+        F.explode_outer(
             F.filter(
                 F.array(*(F.when(F.size(f"h{i}") > 0, F.struct(F.lit(i).alias("rule"), F.col(f"h{i}").alias("hits"), F.transform(F.split("text", pattern(r), -1), F.length).alias("gaps"))) for i, r in enumerate(rules))),
                 lambda x: x.isNotNull(),
             )
         ).alias("r"),
     )
-    each = per_rule.select("blob", "r.rule", F.posexplode(F.arrays_zip(F.col("r.hits").alias("hit"), F.col("r.gaps").alias("gap")))).where("col.hit is not null")
-    each = each.select("blob", "rule", "pos", F.col("col.hit").alias("hit"), F.length("col.hit").cast("bigint").alias("n"), F.col("col.gap").cast("bigint").alias("gap"))
+    each = per_rule.select("blob", "scanned", "r.rule", F.posexplode_outer(F.arrays_zip(F.col("r.hits").alias("hit"), F.col("r.gaps").alias("gap")))).where("rule is null or col.hit is not null")
+    each = each.select("blob", "scanned", "rule", "pos", F.col("col.hit").alias("hit"), F.length("col.hit").cast("bigint").alias("n"), F.col("col.gap").cast("bigint").alias("gap"))
     sofar = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("n")).over(sofar)
     counted = F.lit(None).cast("int")
     for i, r in enumerate(rules):
         counted = F.when(F.col("rule") == i, F.length(F.regexp_extract("hit", r.pattern, r.group)) if r.group else F.col("n")).otherwise(counted)
-    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("rule") + 1)
-    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("rule") + 1)
-    found = each.select("blob", "rule", kind.alias("kind"), (end - F.col("n")).alias("start"), end.alias("end"), (counted >= least).alias("ok")).where("ok")
-    return found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "kind", "end"))).alias("spans"))
+    of_rule = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("rule") + 1)
+    ok = counted >= of_rule([r.least for r in rules])
+    span = F.struct((end - F.col("n")).alias("start"), end.alias("end"), of_rule([r.kind for r in rules]).alias("kind"), of_rule([r.version for r in rules]).alias("version"))
+    found = each.select("blob", "scanned", F.when(ok, span).alias("span"))
+    return found.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def unique_blobs(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -105,27 +132,24 @@ def unique_blobs(versions: DataFrame, text: str = "text") -> DataFrame:
     return versions.where(F.length(text) > 0).select(blob_of(text).alias("blob"), F.col(text).alias("text")).dropDuplicates(["blob"])
 
 
-def scan_paths(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_paths(versions: DataFrame, text: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` with ``spans`` (array, empty where nothing is found); a column of that name is replaced.
 
-    ``ledger`` and ``findings``: what ``update_ledger`` and earlier scans left; only what they lack is scanned.
+    What ``ledger`` lacks is scanned and committed to it; without one, a new ledger is made in the shared folder.
     """
-    found = scan_blobs(unique_blobs(versions, text), ledger, rules)
-    if findings is not None:
-        found = findings.select("blob", "spans").unionByName(found).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    found = Scratch(versions.sparkSession, "secrets").cut(found).select(F.col("blob").alias("__blob2"), F.col("spans").alias("__spans"))
+    spark = versions.sparkSession
+    ledger = ledger or Ledger(spark, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    ledger.commit(scan_blobs(unique_blobs(versions, text), ledger.load(), rules))
+    current = lambda s: _rule_of(rules, s["kind"], s["version"])
+    spans = F.filter(F.array_distinct(F.flatten(F.collect_list("spans"))), lambda s: current(s) > 0)
+    found = ledger.load().where(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob2")).agg(spans.alias("s"))
+    spans = F.array_sort(F.transform("s", lambda s: F.struct(s["start"].alias("start"), (current(s) - 1).alias("rule"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    found = found.select("__blob2", spans.alias("__spans"))
     paths = versions.drop("spans").withColumn("__blob", blob_of(text))
     joined = paths.join(found, F.col("__blob") == F.col("__blob2"), "left")
     return joined.select(*(c for c in versions.columns if c != "spans"), F.coalesce("__spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger after a scan of ``versions``: (blob, rule, version), each once."""
-    names = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-    new = versions.where(F.length(text) > 0).select(blob_of(text).alias("blob")).distinct().select("blob", F.explode(names).alias("r")).select("blob", "r.rule", "r.version")
-    return (new if ledger is None else ledger.select("blob", "rule", "version").unionByName(new)).distinct()
-
-
 def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """The digest columns per path."""
     is_base = lambda s: s["rule"] < len(BASE_RULES)
