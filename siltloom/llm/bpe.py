@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 SCAN_LIMIT = 128
 #: Words kept per Python worker; the store is emptied when full, which only costs time.
 CACHE_WORDS = 300_000
+#: Characters of a cached word or chunk, at most; longer ones are encoded each time.
+CACHE_CHARS = 64
 #: Letters and numbers that Unicode 16 added to what unicodedata 15.1 knows.
 NEW_LETTERS = [
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
@@ -142,7 +144,7 @@ class ByteBPE:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
             got = np.asarray(self.merge(word.encode()), "<u4").tobytes()
-            if len(word) <= 64:
+            if len(word) <= CACHE_CHARS:
                 self.words[word] = got
         return got
 
@@ -158,9 +160,11 @@ class ByteBPE:
         chunks = self.chunks
         if len(chunks) >= CACHE_WORDS:
             chunks.clear()
+        long = {}
         for chunk in set(rest).difference(chunks):
-            chunks[chunk] = b"".join(map(self._word, self.pattern.findall(" " + chunk)))
-        return b"".join([*map(self._word, self.pattern.findall(head)), *map(chunks.__getitem__, rest)])
+            (chunks if len(chunk) <= CACHE_CHARS else long)[chunk] = b"".join(map(self._word, self.pattern.findall(" " + chunk)))
+        found = (lambda c: long[c] if c in long else chunks[c]) if long else chunks.__getitem__
+        return b"".join([*map(self._word, self.pattern.findall(head)), *map(found, rest)])
 
     def encode(self, text: str | None) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
