@@ -6,8 +6,8 @@ embeddings; each filter's maximum over the window feeds a softmax. A text's prob
 mean over its windows. Because a byte has one of 256 embeddings, a filter's response is a sum of
 table entries, which inference looks up by byte pairs.
 
-Training (numpy, on the driver) uses at most ``MAX_TRAIN_ROWS`` texts and ``TEXT_WINDOWS`` windows of
-each. Null texts and texts without a letter get ``und`` and score 0. Rows with a null language aren't
+Training (numpy, on the driver) uses at most ``MAX_TRAIN_ROWS`` windows, those of smallest hash among all
+windows of all labelled texts, which are cut as those of the texts to be judged. Null texts and texts without a letter get ``und`` and score 0. Rows with a null language aren't
 learned from; with no labelled text at all every text is ``und``. Equal texts get equal results,
 equal probabilities go to the first language in order, extra columns are ignored, and an empty table
 gives an empty result.
@@ -23,15 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .sampling import smallest_hashes
+from .sampling import RANGE
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: Labelled texts that a network is trained on, and windows taken of each, at most.
-MAX_TRAIN_ROWS = 6000
-TEXT_WINDOWS = 2
+#: Windows of labelled texts that a network is trained on, at most.
+MAX_TRAIN_ROWS = 12000
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -133,24 +132,21 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, least
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Network | None:
-    """Train on labelled rows of ``docs`` with crc32(id) mod 4 other than 2, by smallest hash of their id."""
+    """Train on windows of the labelled rows of ``docs`` with crc32(id) mod 4 other than 2."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(F.crc32(F.col(key).cast("string")) % 4 != 2, F.lit(False)))
-    parts = (F.expr(f"substring(`{text}`, cast(1 + pmod({seed}, greatest(length(`{text}`) - {WINDOW}, 1)) as int), {WINDOW})").alias(f"w{n}") for n, seed in enumerate(_window_seeds(key)))
-    rows = known.select(F.col(key).cast("string").alias("id"), F.col(lang).alias("lang"), *parts)
-    chosen = smallest_hashes(rows, F.col("id"), max_rows, "lang", "w0").toArrow()
+    rows = known.select(F.col(key).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("raw"), F.greatest(F.ceil(F.octet_length(text) / WINDOW), F.lit(1)).cast("long").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    drawn = lambda w: F.pmod(F.xxhash64("id", w, F.lit("window")), F.lit(RANGE))
+    least = RANGE if total <= 2 * max_rows else int(RANGE * 2 * max_rows / total)
+    few = rows.select("id", "lang", "raw", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda w: drawn(w) < least)).alias("w"))
+    start = F.greatest(F.least(F.col("w") * WINDOW, F.octet_length("raw") - WINDOW), F.lit(0))
+    cut = few.select("id", "lang", F.substring("raw", start.cast("int") + 1, F.lit(WINDOW)).alias("window"), drawn(F.col("w")).alias("h"))
+    chosen = cut.orderBy("h", "id", "lang", "window").limit(max_rows).toArrow()
     langs = sorted(set(chosen["lang"].to_pylist()))
     if not langs:
         return None
-    x, y = [], []
-    for n in range(TEXT_WINDOWS):
-        for t, la in zip(chosen[f"w{n}"].to_pylist(), chosen["lang"].to_pylist()):
-            x.append(windows(np.frombuffer(t.encode(), np.uint8))[0])
-            y.append(langs.index(la))
-    return train(np.array(x), np.array(y), langs)
-
-
-def _window_seeds(key: str) -> list[str]:
-    return [f"xxhash64(cast(`{key}` as string), 'window {n}')" for n in range(TEXT_WINDOWS)]
+    x = [windows(np.frombuffer(w, np.uint8))[0] for w in chosen["window"].to_pylist()]
+    return train(np.array(x), np.array([langs.index(v) for v in chosen["lang"].to_pylist()]), langs)
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
