@@ -4,12 +4,14 @@ Features of a text are its words (runs of letters, digits and non-ASCII bytes, A
 beginnings of 4 to 8 bytes, by 64-bit hash, each found at all, or found repeatedly at one of two
 rates (``RATES``), so that a long text isn't judged by what any long text holds. The model is a logistic regression with
 non-negative weights, so clean text around an insult can't hide it, an L1 penalty, and the
-counterfactual penalty: in every labelled sentence that names a group, the name is swapped for
-others of its kind and squared changes of the score are penalised. A name that merely co-occurs
-with label 1 thus keeps no weight of its own.
-
-Fitting uses at most ``MAX_TRAIN_ROWS`` labelled rows, those with the smallest hash of their id,
-and runs on the driver; scoring covers whole texts. Null and empty texts score as no words do.
+counterfactual penalty: in every labelled sentence that names a group, each name is swapped for
+every other of its kind and squared changes of the score are penalised. A name that merely co-occurs
+with label 1 thus keeps no weight of its own. A swap changes only the counts of the two names' features,
+so equal changes are counted rather than listed, and none is left out.
+
+Fitting uses at most ``MAX_TRAIN_ROWS`` labelled ids, those with the smallest hash, and of rows that repeat
+an id the one whose text has the smallest hash. The weights are found on the driver, which gets these rows' features that
+enough rows of label 1 have; Spark counts those. Scoring covers whole texts. Null and empty texts score as no words do.
 Rows with a null label are not learned from; with no label 1 or no label 0 every score is 0.
 Repeated rows are scored alike, ties don't arise, extra columns are ignored, and an empty table
 gives an empty result.
@@ -17,13 +19,14 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -38,8 +41,6 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Words per occurrence, at most, for each level of a feature after the first; those need two occurrences.
 RATES = (250, 80)
 LEVELS = 1 + len(RATES)
-#: Swaps learned from per labelled text, at most; bounds what reaches the driver.
-MAX_SWAPS = 32
 #: Names of groups, by kind. Within a kind any name can stand for another.
 IDENTITY_TERMS = {
     "gender": "man men woman women boy boys girl girls male female homme femme hommes femmes mann frau männer frauen hombre mujer hombres mujeres".split(),
@@ -87,13 +88,43 @@ def text_features(text: str) -> Bag:
     return keys, levels(n, n_words).astype(np.uint8)
 
 
-def counterfactuals(text: str) -> Iterator[tuple[str, str]]:
-    """Sentences that name a group, each with a version that names another of its kind."""
+#: Changes of a bag by a swap: feature, level from 0 and sign of each, packed; and how often each occurs.
+Changes = dict[bytes, int]
+_CHANGE = np.dtype([("key", "<u8"), ("level", "u1"), ("sign", "i1")])
+
+
+@lru_cache(maxsize=4096)
+def _name_features(name: str) -> np.ndarray:
+    raw = np.frombuffer(name.encode(), np.uint8)
+    return features(raw, np.array([0, len(raw)]))[1]
+
+
+def counterfactuals(text: str) -> Changes:
+    """What changes when, in a sentence, a name of a group is swapped for another of its kind, for all names and others."""
+    out: Changes = {}
     for sentence in _SENTENCE.findall(text):
-        for m in _WORD.finditer(sentence):
-            for k, other in enumerate(_SWAPS.get(m[0].lower(), ())):
-                if k < 4:
-                    yield sentence, sentence[: m.start()] + other + sentence[m.end() :]
+        named: dict[str, int] = {}
+        for m in _WORD.findall(sentence):
+            if m.lower() in _SWAPS:
+                named[m] = named.get(m, 0) + 1
+        if not named:
+            continue
+        raw = np.frombuffer(sentence.encode(), np.uint8)
+        _, found, n_words = features(raw, np.array([0, len(raw)]))
+        keys, n = np.unique(found, return_counts=True)
+        for name, times in named.items():
+            for other in _SWAPS[name.lower()]:
+                less, more = _name_features(name), _name_features(other)
+                touched = np.unique(np.concatenate([less, more]))
+                at = np.minimum(np.searchsorted(keys, touched), len(keys) - 1)
+                before = np.where(keys[at] == touched, n[at], 0)
+                after = before - np.isin(touched, less) + np.isin(touched, more)
+                had, has = (np.where(k > 0, levels(k, n_words[0]), 0) for k in (before, after))
+                change = [(f, c, 1 if x > y else -1) for f, x, y in zip(touched, had, has) for c in range(min(x, y), max(x, y))]
+                if change:
+                    packed = np.array(change, _CHANGE).tobytes()
+                    out[packed] = out.get(packed, 0) + times
+    return out
 
 
 @dataclass
@@ -138,38 +169,38 @@ def _columns(bags: list[Bag], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([of[n > c] for c in range(LEVELS)]), np.concatenate([at[n > c] * LEVELS + c for c in range(LEVELS)])
 
 
-def candidates(positive: list[Bag]) -> np.ndarray:
-    """Features, in order, that enough of the rows with label 1 have."""
-    if not positive:
-        return np.empty(0, np.uint64)
-    keys, n = np.unique(np.concatenate([b[0] for b in positive]), return_counts=True)
-    return keys[n >= max(3, MIN_SUPPORT * len(positive))]
+def enough(positive: int) -> int:
+    """Rows of label 1 that must have a feature, of so many."""
+    return max(3, math.ceil(MIN_SUPPORT * positive))
 
 
-def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: float = 2e-4, fairness: float = 4.0, steps: int = 800) -> Model:
-    """Proximal gradient descent. rows: label and bag of features; swaps: bags of both sentences."""
+def fit_arrays(rows: list[tuple[int, Bag]], swaps: Changes, keys: np.ndarray, l1: float = 2e-4, fairness: float = 4.0, steps: int = 800) -> Model:
+    """Proximal gradient descent. rows: label and bag of features; swaps: changes of bags; keys: features that can matter, in order."""
     y = np.array([r[0] for r in rows], np.float64)
     pos, neg = y.sum(), (1 - y).sum()
     none = Model(np.empty(0, np.uint64), np.empty((0, LEVELS)), -40.0)
     if not pos or not neg:
         return none
-    keys = candidates([b for label, b in rows if label])
     if not len(keys):
         return none
     of, col = _columns([r[1] for r in rows], keys)
     in_pos, total = np.bincount(col, y[of], len(keys) * LEVELS), np.bincount(col, minlength=len(keys) * LEVELS)
     # weights can't be negative, so a feature must be more common under label 1 to get any
-    useful = (in_pos >= max(3, MIN_SUPPORT * pos)) & (in_pos / pos > 3 * (total - in_pos) / neg)
+    useful = (in_pos >= enough(int(pos))) & (in_pos / pos > 3 * (total - in_pos) / neg)
     n = int(useful.sum())
     if not n:
         return none
     slot = np.where(useful, np.cumsum(useful) - 1, -1)
     of, col = of[useful[col]], slot[col[useful[col]]]
-    pair_of, pair_col, pair_sign = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    for side, sign in ((0, 1.0), (1, -1.0)) if swaps else ():
-        o, c = _columns([s[side] for s in swaps], keys)
-        o, c = o[useful[c]], slot[c[useful[c]]]
-        pair_of, pair_col, pair_sign = np.concatenate([pair_of, o]), np.concatenate([pair_col, c]), np.concatenate([pair_sign, np.full(len(o), sign)])
+    changes = [np.frombuffer(x, _CHANGE) for x in swaps]
+    often = np.array(list(swaps.values()), np.float64)
+    often *= 2 * fairness / max(often.sum(), 1)
+    pair_of = np.repeat(np.arange(len(changes)), [len(x) for x in changes]).astype(np.int64)
+    change = np.concatenate([*changes, np.empty(0, _CHANGE)])
+    at = np.minimum(np.searchsorted(keys, change["key"]), len(keys) - 1)
+    pair_col = at * LEVELS + change["level"]
+    known = (keys[at] == change["key"]) & useful[pair_col]
+    pair_of, pair_col, pair_sign = pair_of[known], slot[pair_col[known]], change["sign"][known].astype(np.float64)
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)
 
     def slopes(z: np.ndarray, zb: float) -> tuple[np.ndarray, float]:
@@ -177,8 +208,8 @@ def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: fl
         r = weight * (p - y)
         g = np.bincount(col, r[of], n)
         if len(pair_of):
-            d = np.bincount(pair_of, pair_sign * z[pair_col], len(swaps))
-            g += np.bincount(pair_col, pair_sign * d[pair_of], n) * (2 * fairness / len(swaps))
+            d = often * np.bincount(pair_of, pair_sign * z[pair_col], len(swaps))
+            g += np.bincount(pair_col, pair_sign * d[pair_of], n)
         return g, float(r.sum())
 
     # the largest curvature, by power iteration on a bound of the Hessian
@@ -187,8 +218,8 @@ def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: fl
         r = weight * 0.25 * (np.bincount(of, v[col], len(rows)) + vb)
         g, gb = np.bincount(col, r[of], n), r.sum()
         if len(pair_of):
-            d = np.bincount(pair_of, pair_sign * v[pair_col], len(swaps))
-            g += np.bincount(pair_col, pair_sign * d[pair_of], n) * (2 * fairness / len(swaps))
+            d = often * np.bincount(pair_of, pair_sign * v[pair_col], len(swaps))
+            g += np.bincount(pair_col, pair_sign * d[pair_of], n)
         curve = float(np.sqrt((g * g).sum() + gb * gb)) or 1.0
         v, vb = g / curve, gb / curve
     step = 0.9 / curve
@@ -206,45 +237,40 @@ def fit_arrays(rows: list[tuple[int, Bag]], swaps: list[tuple[Bag, Bag]], l1: fl
     return Model(keys[on], full[on], float(bias))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Fit on ``labelled``, which holds at most ``max_rows`` rows (its caller chooses them)."""
-    source = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t")).limit(max_rows)
-    source = Scratch(labelled.sparkSession, "toxicity").cut(source)
-
-    def bags(keys: np.ndarray | None):
-        """Bags of the rows of a batch, cut down to ``keys`` if given."""
+def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Model:
+    """Fit on ``labelled``, whose rows its caller chooses and bounds."""
+    source = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
+    scratch = Scratch(labelled.sparkSession, "toxicity")
 
-        def pack(bag: Bag) -> dict:
-            if keys is not None:
-                known = np.isin(bag[0], keys, assume_unique=True)
-                bag = bag[0][known], bag[1][known]
-            return {"k": bag[0].tobytes(), "n": bag[1].tobytes()}
+    def found(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([text_features(t or "")[0].view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["keys"])
 
+    def bags(keys: np.ndarray):
         def run(batches):
             for batch in batches:
                 out = []
                 for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    swaps = []
-                    for k, (s, other) in enumerate(counterfactuals(t or "") if keys is not None else ()):
-                        if k >= MAX_SWAPS:
-                            break
-                        swaps.append({"a": pack(text_features(s)), "b": pack(text_features(other))})
-                    out.append({"y": y, "x": pack(text_features(t or "")), "swaps": swaps})
+                    k, n = text_features(t or "")
+                    known = np.isin(k, keys, assume_unique=True)
+                    swaps = counterfactuals(t or "")
+                    out.append({"y": y, "k": k[known].tobytes(), "n": n[known].tobytes(), "swaps": [{"change": c, "n": x} for c, x in swaps.items()]})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
         return run
 
-    bag = pa.struct([("k", pa.binary()), ("n", pa.binary())])
-    schema = pa.schema([("y", pa.int32()), ("x", bag), ("swaps", pa.list_(pa.struct([("a", bag), ("b", bag)])))])
-    kind = "struct<k: binary, n: binary>"
-    ddl = f"y int, x {kind}, swaps array<struct<a: {kind}, b: {kind}>>"
-    bag_of = lambda x: (np.frombuffer(x["k"], np.uint64), np.frombuffer(x["n"], np.uint8))
-    # what label 1 holds decides which features can matter; of all other rows only those are fetched
-    keys = candidates([bag_of(x) for x in source.where("y = 1").mapInArrow(bags(None), ddl).toArrow()["x"].to_pylist()])
-    got = source.mapInArrow(bags(keys), ddl).toArrow()
-    rows = [(int(y), bag_of(x)) for y, x in zip(got["y"].to_pylist(), got["x"].to_pylist())]
-    swaps = [(bag_of(s["a"]), bag_of(s["b"])) for x in got["swaps"].to_pylist() for s in x or ()]
-    return fit_arrays(rows, swaps)
+    schema = pa.schema([("y", pa.int32()), ("k", pa.binary()), ("n", pa.binary()), ("swaps", pa.list_(pa.struct([("change", pa.binary()), ("n", pa.int64())])))])
+    with scratch.dropping():
+        source = scratch.cut(source)
+        # what label 1 holds decides which features can matter; of all rows only those are fetched
+        positive = source.where("y = 1")
+        common = positive.mapInArrow(found, "keys array<bigint>").select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= enough(positive.count()))
+        keys = np.sort(common.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+        made = scratch.cut(source.mapInArrow(bags(keys), "y int, k binary, n binary, swaps array<struct<change: binary, n: bigint>>"))
+        got = made.select("y", "k", "n").toArrow()
+        swaps = made.select(F.explode("swaps").alias("s")).groupBy("s.change").agg(F.sum("s.n").alias("n")).orderBy("change").toArrow()
+    rows = [(int(y), (np.frombuffer(k, np.uint64), np.frombuffer(n, np.uint8))) for y, k, n in zip(got["y"].to_pylist(), got["k"].to_pylist(), got["n"].to_pylist())]
+    return fit_arrays(rows, dict(zip(swaps["change"].to_pylist(), swaps["n"].to_pylist())), keys)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
@@ -256,7 +282,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
     rows = known.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label"))
     chosen = smallest_hashes(rows, F.col("__id"), max_rows, "__id", "__label")
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("text", F.col("__label").alias("label"))
+    joined = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id"))
+    one = Window.partitionBy("__id", "__label").orderBy(F.xxhash64("text"), "text")
+    return joined.withColumn("__n", F.row_number().over(one)).where("__n = 1").select("text", F.col("__label").alias("label"))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
