@@ -13,12 +13,14 @@ rarest ones, of which two similar sets must share one early enough for the rest
 overlap asked for. In an index entry, pivots drawn by hash, sixteen times as many each round,
 meet members of other components only, until all have been pivots, so no proposed link is lost:
 a large group of near copies is connected after a few pivots, and texts with too many edits of
-their own, which are rare, meet no one. At the similarity asked for, the bands miss a pair with a
+their own, which are rare, meet no one. Entries are split by length, as texts of one length class can
+only be similar to those of the next, and a node that is in many pairs has its set sent to as many
+tasks as its pairs need (``SHARE`` for each). At the similarity asked for, the bands miss a pair with a
 chance of 6e-11 (85 %) or 5e-8 (80 %).
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; so do rows
 with a null id. Texts with fewer words than a shingle count as one. Rows that repeat an id are one
-node, with the links of all their texts. Extra columns are ignored; an empty table gives an empty result.
+node, with the links of all their texts. Texts of any length are taken whole. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Pivots of an index entry in its first round, and by how much each further round has more.
 PIVOTS, GROWTH = 8, 16
+#: Pairs of one node that meet its set in one task, about.
+SHARE = 256
 
 
 @lru_cache(maxsize=1)
@@ -137,71 +141,78 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept per row of ``docs``; links have 100 * common >= percent * union."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sketches = scratch.cut(source.mapInArrow(_sketch(size), "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"))
-    linked = sketches.where("n > 0 and id is not null")
-    classes = scratch.cut(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("node")))
-    reps = linked.join(classes.select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node"), (F.col("id") == F.col("node")) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    bands = scratch.cut(reps.select("node", "n", F.explode("bands").alias("band")))
-    groups = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("members")).where("hub < last").select(F.col("band").alias("g"), "hub", "members")
-    members = scratch.cut(bands.join(groups, F.col("band") == F.col("g")).select("band", "node", "n", "hub", "members"))
-    scratch.drop(bands)
-    wanted = members.select(F.col("node").alias("w")).distinct()
-    chosen = source.join(wanted, F.col("id") == F.col("w"), "left_semi")
-    sets = scratch.cut(chosen.mapInArrow(_full(size), "node bigint, n bigint, shingles array<bigint>, sid bigint"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough."""
-        left = sets.select(F.col("node").alias("a2"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("node").alias("b2"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        with_b = pairs.join(right, F.col("b") == F.col("b2"))
-        both = with_b.join(left, (F.col("a") == F.col("a2")) & near)
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
-
-    hubs = members.where("node = hub").select(F.col("band").alias("hb"), F.col("n").alias("hn")).groupBy("hb").agg(F.collect_set("hn").alias("hns"))
-    first = members.where("node <> hub").join(hubs, F.col("band") == F.col("hb")).where(F.exists("hns", lambda h: F.least(h, F.col("n")) * 100 >= F.greatest(h, F.col("n")) * percent))
-    links = scratch.cut(confirmed(scratch.cut(first.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())))
-    labels = components(links, scratch)
-
-    def placed(df: DataFrame) -> DataFrame:
-        """``df`` with the component c of its nodes."""
-        of = labels.select(F.col("node").alias("l"), F.col("c").alias("lc"))
-        return df.join(of, F.col("node") == F.col("l"), "left").withColumn("c", F.coalesce("lc", "node")).drop("l", "lc")
-
-    # two members have met; a larger group may hold links between members other than its smallest id
-    several = placed(members.where("members > 2").select("band", "node"))
-    open_bands = several.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("ob"))
-    left = several.join(open_bands, F.col("band") == F.col("ob"), "left_semi").select(F.col("node").alias("u")).distinct()
-    shingles = scratch.cut(sets.join(left, F.col("node") == F.col("u"), "left_semi").select("node", "n", "sid", F.explode("shingles").alias("s")))
-    counts = shingles.groupBy(F.col("s").alias("s2")).agg(F.count("*").alias("freq"))
-    ranked = shingles.join(counts, F.col("s") == F.col("s2")).groupBy("node", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("freq", "s"))).alias("t"))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    index = ranked.select("node", "n", F.posexplode(F.slice("t", F.lit(1), length)).alias("pos", "t")).where("t.freq > 1").select("node", "n", F.col("t.s").alias("s"), (F.col("n") - F.col("pos")).alias("tail"), F.pmod(F.xxhash64("node", "t.s"), F.col("t.freq")).alias("rank"))
-    active = scratch.cut(index)
-    scratch.drop(shingles)
-    lower, upper = 0, PIVOTS
-    while True:
-        near = placed(active.select("s", "node", "n", "tail", "rank"))
-        entries = near.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("s").alias("os"))
-        # a member whose rank was below an earlier bound has met all others
-        active = scratch.cut(near.join(entries, F.col("s") == F.col("os"), "left_semi").where(F.col("rank") >= lower))
-        if active.limit(1).count() == 0:
-            break
-        p, m = active.where(F.col("rank") < upper).alias("p"), active.alias("m")
-        met = F.expr(f"p.s = m.s and p.c <> m.c and (m.rank >= {upper} or p.node < m.node) and least(p.tail, m.tail) * {100 + percent} >= (p.n + m.n) * {percent}")
-        pairs = scratch.cut(p.join(m, met).select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct())
-        more = scratch.cut(confirmed(pairs))
-        if more.limit(1).count():
-            links = scratch.cut(links.unionByName(more))
-            labels = components(links, scratch)
-        lower, upper = upper, upper * GROWTH
-    of_class = classes.select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node")
-    found = placed(of_class).select("n2", "e1", "e2", "c")
-    rows = sketches.select("id", "n", "d1", "d2").join(found, (F.col("id").isNotNull()) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-    component = F.coalesce("c", "id")
-    return rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    with scratch.dropping(), scratch.batches(512):
+        source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+        sketches = scratch.cut(source.mapInArrow(_sketch(size), "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+        linked = sketches.where("n > 0 and id is not null")
+        classes = scratch.cut(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("node")))
+        reps = linked.join(classes.select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node"), (F.col("id") == F.col("node")) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+        bands = scratch.cut(reps.select("node", "n", F.explode("bands").alias("band")))
+        groups = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("members")).where("hub < last").select(F.col("band").alias("g"), "hub", "members")
+        members = scratch.cut(bands.join(groups, F.col("band") == F.col("g")).select("band", "node", "n", "hub", "members"))
+        scratch.drop(bands)
+        wanted = members.select(F.col("node").alias("w")).distinct()
+        chosen = source.join(wanted, F.col("id") == F.col("w"), "left_semi")
+        sets = scratch.cut(chosen.mapInArrow(_full(size), "node bigint, n bigint, shingles array<bigint>, sid bigint"))
+
+        def with_sets(pairs: DataFrame, node: str) -> DataFrame:
+            """``pairs`` beside n and shingles of one of their nodes; a node of many pairs has its rows spread."""
+            shares = scratch.cut(pairs.groupBy(F.col(node).alias("of")).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")))
+            spread = sets.join(shares, F.col("node") == F.col("of")).select(F.col("node").alias(f"{node}2"), F.col("n").alias(f"n{node}"), F.col("shingles").alias(f"s{node}"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias(f"x{node}"))
+            other = "b" if node == "a" else "a"
+            dealt = pairs.join(shares, F.col(node) == F.col("of")).withColumn("x", F.pmod(F.xxhash64(other), F.col("shares")).cast("int")).drop("of", "shares")
+            return dealt.join(spread, (F.col(node) == F.col(f"{node}2")) & (F.col("x") == F.col(f"x{node}"))).drop("x", f"x{node}", f"{node}2")
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            """The pairs (a, b) whose sets are similar enough."""
+            near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+            common = F.size(F.array_intersect("sa", "sb"))
+            return with_sets(with_sets(pairs, "b"), "a").where(near).where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
+
+        first = members.where("node <> hub")
+        links = scratch.cut(confirmed(scratch.cut(first.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())))
+        labels = components(links, scratch)
+
+        def placed(df: DataFrame) -> DataFrame:
+            """``df`` with the component c of its nodes."""
+            of = labels.select(F.col("node").alias("l"), F.col("c").alias("lc"))
+            return df.join(of, F.col("node") == F.col("l"), "left").withColumn("c", F.coalesce("lc", "node")).drop("l", "lc")
+
+        # two members have met; a larger group may hold links between members other than its smallest id
+        several = placed(members.where("members > 2").select("band", "node"))
+        open_bands = several.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("ob"))
+        left = several.join(open_bands, F.col("band") == F.col("ob"), "left_semi").select(F.col("node").alias("u")).distinct()
+        shingles = scratch.cut(sets.join(left, F.col("node") == F.col("u"), "left_semi").select("node", "n", "sid", F.explode("shingles").alias("s")))
+        counts = shingles.groupBy(F.col("s").alias("s2")).agg(F.count("*").alias("freq"))
+        ranked = shingles.join(counts, F.col("s") == F.col("s2")).groupBy("node", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("freq", "s"))).alias("t"))
+        length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+        index = ranked.select("node", "n", F.posexplode(F.slice("t", F.lit(1), length)).alias("pos", "t")).where("t.freq > 1").select("node", "n", F.col("t.s").alias("s"), (F.col("n") - F.col("pos")).alias("tail"), F.pmod(F.xxhash64("node", "t.s"), F.col("t.freq")).alias("rank"))
+        active = scratch.cut(index)
+        scratch.drop(shingles)
+        lower, upper = 0, PIVOTS
+        while True:
+            near = placed(active.select("s", "node", "n", "tail", "rank"))
+            entries = near.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("s").alias("os"))
+            # a member whose rank was below an earlier bound has met all others
+            active = scratch.cut(near.join(entries, F.col("s") == F.col("os"), "left_semi").where(F.col("rank") >= lower))
+            if active.limit(1).count() == 0:
+                break
+            # similar texts are of one length class or of neighbouring ones
+            classed = active.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))))
+            p = classed.where(F.col("rank") < upper).withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1))))).alias("p")
+            m = classed.alias("m")
+            met = F.expr(f"p.s = m.s and p.class = m.class and p.c <> m.c and (m.rank >= {upper} or p.node < m.node) and least(p.tail, m.tail) * {100 + percent} >= (p.n + m.n) * {percent}")
+            pairs = scratch.cut(p.join(m, met).select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct())
+            more = scratch.cut(confirmed(pairs))
+            if more.limit(1).count():
+                links = scratch.cut(links.unionByName(more))
+                labels = components(links, scratch)
+            lower, upper = upper, upper * GROWTH
+        of_class = classes.select(F.col("n").alias("n2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node")
+        found = placed(of_class).select("n2", "e1", "e2", "c")
+        rows = sketches.select("id", "n", "d1", "d2").join(found, (F.col("id").isNotNull()) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+        component = F.coalesce("c", "id")
+        return scratch.keep(rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int, percent: int) -> list[tuple[int, int, int, bool]]:
