@@ -29,11 +29,53 @@ def test_stages_on_the_smallest_tables(spark, sf_dir):
 
 
 def test_stages_on_edge_cases(spark, sf_dir, edge_docs):
-    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    """Every column of the edge cases, clashing ones included, comes back as it was."""
+    docs, before = edge_docs, {}
+    rest = [c for c in edge_docs.columns if c not in ("text", "n_chars")]
+    for r in edge_docs.select(rest).collect():
+        before.setdefault(r.doc_id, set()).add(tuple(r))
     for _, f in corpus_pipeline.STAGES[:-1]:
         docs = f(spark, docs, sf_dir).cache()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.schema == edge_docs.schema
+        assert all(tuple(r) in before[r.doc_id] for r in docs.select(rest).collect())
     assert {r.doc_id for r in docs.collect()} >= {1, 2, 3, 4, 5, 8, 11}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
     for _, f in corpus_pipeline.STAGES:
-        assert f(spark, edge_docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0), sf_dir).count() == 0
+        assert f(spark, edge_docs.limit(0), sf_dir).count() == 0
+
+
+def test_core_queries_without_what_the_rest_needs(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    for name in [n for n in sys.modules if n.startswith(("siltloom.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    core = set(entry.queries())
+    assert core and whole - core == {"pipeline", *(n for n in whole if n.startswith("op"))}
+    assert set(entry.oracle_sql()) <= core
+
+
+def test_near_dedup_recall_by_similarity(spark):
+    """Edited copies at and about the threshold: the class is what brute force over all pairs says."""
+    import random
+
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(60):
+        base = [rnd.choice(vocab) for _ in range(rnd.randint(40, 160))]
+        rows.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rnd.randint(1, max(2, len(base) // 30))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocab)
+            rows.append(copy)
+    rnd.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs).collect())
+    assert got == sorted(minhash.brute_force(rows, 5, 80))
+    assert 60 < sum(r[3] for r in got) < 240
