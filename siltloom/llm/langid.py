@@ -6,8 +6,9 @@ embeddings; each filter's maximum over the window feeds a softmax. A text's prob
 mean over its windows. Because a byte has one of 256 embeddings, a filter's response is a sum of
 table entries, which inference looks up by byte pairs.
 
-Training (numpy, on the driver) uses at most ``MAX_TRAIN_ROWS`` windows, those of smallest hash among all
-windows of all labelled texts, which are cut as those of the texts to be judged. Null texts and texts without a letter get ``und`` and score 0. Rows with a null language aren't
+Training (numpy, on the driver) uses at most ``MAX_TRAIN_ROWS`` windows of labelled texts, cut as those of
+the texts to be judged: half of them are drawn by hash from all windows of all texts, the other half
+are one window each, anywhere in its text, of texts drawn by hash, so that short texts count too. Null texts and texts without a letter get ``und`` and score 0. Rows with a null language aren't
 learned from; with no labelled text at all every text is ``und``. Equal texts get equal results,
 equal probabilities go to the first language in order, extra columns are ignored, and an empty table
 gives an empty result.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -135,13 +136,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Train on windows of the labelled rows of ``docs`` with crc32(id) mod 4 other than 2."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(F.crc32(F.col(key).cast("string")) % 4 != 2, F.lit(False)))
     rows = known.select(F.col(key).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("raw"), F.greatest(F.ceil(F.octet_length(text) / WINDOW), F.lit(1)).cast("long").alias("n"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    drawn = lambda w: F.pmod(F.xxhash64("id", w, F.lit("window")), F.lit(RANGE))
-    least = RANGE if total <= 2 * max_rows else int(RANGE * 2 * max_rows / total)
-    few = rows.select("id", "lang", "raw", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda w: drawn(w) < least)).alias("w"))
-    start = F.greatest(F.least(F.col("w") * WINDOW, F.octet_length("raw") - WINDOW), F.lit(0))
-    cut = few.select("id", "lang", F.substring("raw", start.cast("int") + 1, F.lit(WINDOW)).alias("window"), drawn(F.col("w")).alias("h"))
-    chosen = cut.orderBy("h", "id", "lang", "window").limit(max_rows).toArrow()
+    texts, total = rows.agg(F.count("*"), F.sum("n")).first()
+    half = max(1, max_rows // 2)
+    least = lambda n: RANGE if (n or 0) <= 2 * half else int(RANGE * 2 * half / n)
+    hashed = lambda *x: F.pmod(F.xxhash64("id", *x, F.lit("window")), F.lit(RANGE))
+    of_all = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda w: hashed(w) < least(total)), lambda w: F.struct(F.lit(0).alias("way"), hashed(w).alias("h"), w.alias("w")))
+    of_text = F.filter(F.array(F.struct(F.lit(1).alias("way"), hashed().alias("h"), F.pmod(F.xxhash64("id"), "n").alias("w"))), lambda x: x["h"] < least(texts))
+    few = rows.select("id", "lang", "raw", F.explode(F.concat(of_all, of_text)).alias("x"))
+    start = F.greatest(F.least(F.col("x.w") * WINDOW, F.octet_length("raw") - WINDOW), F.lit(0))
+    cut = few.select("id", "lang", F.substring("raw", start.cast("int") + 1, F.lit(WINDOW)).alias("window"), "x.way", "x.h")
+    order = Window.partitionBy("way").orderBy("h", "id", "lang", "window")
+    chosen = cut.withColumn("k", F.row_number().over(order)).where(F.col("k") <= half).orderBy("way", "k").toArrow()
     langs = sorted(set(chosen["lang"].to_pylist()))
     if not langs:
         return None
