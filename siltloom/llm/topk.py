@@ -1,11 +1,14 @@
 """Exact top-k inner products over norm-sorted blocks.
 
 Components become floor(256 * x), taken as doubles. Candidates are range-sorted by descending length
-and packed into blocks. Queries, also in blocks, first meet the longest candidates, which gives each
-a bound: the k-th best score so far. A block whose longest vector times the query's length is below
-the bound can't matter; within a block, candidates are cut off at the length that Cauchy-Schwarz
-asks for, then by the partial product over the leading SVD directions plus the product of the
-residual lengths. What survives is scored in integers.
+and packed into blocks. Queries, also in blocks, meet the blocks of candidates in passes of descending
+length (``PASSES`` blocks, then the rest). Each pass raises a query's bound, its k-th best score so far. A
+block whose longest vector times the query's length is below the bound can't matter; within a block,
+candidates are cut off at the length that Cauchy-Schwarz asks for, then by the partial product over
+the leading SVD directions plus the product of the residual lengths. What survives is scored in integers.
+
+Which blocks meet is settled on their numbers alone. Then vectors are sent to the pairs; a block in many
+pairs is sent to as many tasks as its pairs need (``SHARE`` for each), so no block gathers them in one.
 
 Scores are exact: products stay below 2**53 in doubles, else they are summed as Python integers, and
 saturate at 64 bits. Vectors that are null, empty or hold a null or non-finite component take no part,
@@ -30,6 +33,10 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 #: Leading directions whose partial products are computed before the residual bound is applied.
 LEAD_SHARE = 0.25
+#: Blocks of each pass but the last, which takes the rest.
+PASSES = (1, 8, 64)
+#: Pairs of one block in one task, about.
+SHARE = 32
 BATCH = "id bigint, dim int, norm double, vec binary"
 
 
@@ -131,65 +138,73 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vec: str =
     """query_id, rank (from 1), vec_id, score: the k best other rows of each query."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    asked = vectors.where(is_query & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), vec)
-    items = scratch.cut(vectors.select(F.col(key).cast("bigint").alias("id"), vec).mapInArrow(_integers, BATCH))
-    wanted = asked.mapInArrow(_integers, BATCH)
-    sums = items.select("dim", "vec").mapInArrow(_moments, "dim int, at bigint, v double").groupBy("dim", "at").agg(F.sum("v").alias("v")).collect()
-    rotations = {}
-    for d in {r["dim"] for r in sums}:
-        gram = np.zeros(d * d)
-        for r in sums:
-            if r["dim"] == d:
-                gram[r["at"]] = r["v"]
-        _, vectors_of = np.linalg.eigh(np.nan_to_num(gram.reshape(d, d), posinf=1e300, neginf=-1e300))
-        rotations[d] = vectors_of[:, ::-1].copy()
-    n = items.count()
-    parts = max(1, math.ceil(n / BLOCK_ROWS))
-    blocks = scratch.cut(items.repartitionByRange(parts, "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id").mapInArrow(_blocks(BLOCK_ROWS), BLOCK))
-    n_asked = scratch.cut(wanted)
-    q_parts = max(1, math.ceil(n_asked.count() / QUERY_ROWS))
-    q_blocks = scratch.cut(n_asked.repartition(q_parts).sortWithinPartitions("dim", F.desc("norm"), "id").mapInArrow(_blocks(QUERY_ROWS), BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "dim", "top_norm", "ids", "norms", "vecs"))))
-    turned = spark.sparkContext.broadcast(rotations)
-    pair_columns = ["q_ids", "q_norms", "q_vecs", "bounds", "ids", "norms", "vecs", "dim"]
-
-    def kernel(emit_bounds: bool):
-        def run(batches):
+    with scratch.dropping(), scratch.batches(512):
+        asked = vectors.where(is_query & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), vec)
+        items = scratch.cut(vectors.select(F.col(key).cast("bigint").alias("id"), vec).mapInArrow(_integers, BATCH))
+        wanted = asked.mapInArrow(_integers, BATCH)
+        sums = items.select("dim", "vec").mapInArrow(_moments, "dim int, at bigint, v double").groupBy("dim", "at").agg(F.sum("v").alias("v")).collect()
+        rotations = {}
+        for d in {r["dim"] for r in sums}:
+            gram = np.zeros(d * d)
+            for r in sums:
+                if r["dim"] == d:
+                    gram[r["at"]] = r["v"]
+            _, vectors_of = np.linalg.eigh(np.nan_to_num(gram.reshape(d, d), posinf=1e300, neginf=-1e300))
+            rotations[d] = vectors_of[:, ::-1].copy()
+        n = items.count()
+        parts = max(1, math.ceil(n / BLOCK_ROWS))
+        blocks = scratch.cut(items.repartitionByRange(parts, "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id").mapInArrow(_blocks(BLOCK_ROWS), BLOCK))
+        n_asked = scratch.cut(wanted)
+        q_parts = max(1, math.ceil(n_asked.count() / QUERY_ROWS))
+        q_blocks = scratch.cut(n_asked.repartition(q_parts).sortWithinPartitions("dim", F.desc("norm"), "id").mapInArrow(_blocks(QUERY_ROWS), BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "dim", "top_norm", "ids", "norms", "vecs"))))
+        n_queries = q_blocks.count()
+        turned = spark.sparkContext.broadcast(rotations)
+
+        def kernel(batches):
             for batch in batches:
                 for row in batch.to_pylist():
                     d = row["dim"]
                     load = lambda name, kind=np.float64: np.frombuffer(row[name], kind)  # noqa: B023, E731
-                    q_ids, c_ids = load("q_ids", np.int64), load("ids", np.int64)
-                    bound = load("bounds") if row["bounds"] else np.full(len(q_ids), -np.inf)
-                    found = best_of(q_ids, load("q_vecs").reshape(-1, d), load("q_norms"), bound, c_ids, load("vecs").reshape(-1, d), load("norms"), turned.value[d], max(1, int(d * LEAD_SHARE)), k)
-                    if emit_bounds:
-                        bound = bound.copy()
-                        for i, ids, s in found:
-                            if len(s) == k:
-                                bound[i] = s[-1]
-                        norms = np.maximum(load("q_norms"), 1e-300)
-                        yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]]), pa.array([bound.tobytes()]), pa.array([float(np.min(bound / norms))])], names=["q_block", "bounds", "least_norm"])
-                    else:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(q_ids[[f[0] for f in found]], [len(f[1]) for f in found]) if found else [], pa.int64()), pa.array(np.concatenate([f[1] for f in found]) if found else [], pa.int64()), pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.int64())],
-                            names=["query_id", "vec_id", "score"],
-                        )
-
-        return run
-
-    # one block of each dim, the one of the longest vectors, sets the bounds
-    longest = blocks.groupBy("dim").agg(F.max_by("block", F.struct("top_norm", (-F.col("block")).alias("b"))).alias("first"))
-    seeds = blocks.join(longest.select(F.col("dim").alias("d2"), "first"), (F.col("dim") == F.col("d2")) & (F.col("block") == F.col("first"))).select("dim", "ids", "norms", "vecs")
-    first = q_blocks.join(seeds, F.col("q_dim") == F.col("dim")).withColumn("bounds", F.lit(None).cast("binary"))
-    bounds = scratch.cut(first.select("q_block", *pair_columns).mapInArrow(kernel(True), "q_block bigint, bounds binary, least_norm double"))
-    # which blocks a query block needs is settled on their numbers alone; only then are vectors sent
-    names = blocks.select("block", F.col("dim").alias("b_dim"), "top_norm").repartition(max(1, parts // 8), "block")
-    every = q_blocks.select("q_block", "q_dim").join(bounds.select(F.col("q_block").alias("q2"), "least_norm"), F.col("q_block") == F.col("q2")).select("q_block", "q_dim", "least_norm")
-    pairs = names.join(every, (F.col("b_dim") == F.col("q_dim")) & (F.col("top_norm") * (1 + 1e-9) >= F.col("least_norm"))).select("block", "q_block")
-    sent = pairs.join(q_blocks.withColumnRenamed("q_block", "q3"), F.col("q_block") == F.col("q3")).join(bounds.select(F.col("q_block").alias("q4"), "bounds"), F.col("q_block") == F.col("q4"))
-    met = sent.join(blocks.withColumnRenamed("block", "b3"), F.col("block") == F.col("b3")).select("q_block", *pair_columns)
-    found = met.mapInArrow(kernel(False), "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                    q_ids, q_norms, c_ids = load("q_ids", np.int64), load("q_norms"), load("ids", np.int64)
+                    bound = np.full(len(q_ids), -np.inf)
+                    for x in row["bounds"] or ():
+                        bound[x["at"]] = x["bound"]
+                    found = best_of(q_ids, load("q_vecs").reshape(-1, d), q_norms, bound, c_ids, load("vecs").reshape(-1, d), load("norms"), turned.value[d], max(1, int(d * LEAD_SHARE)), k)
+                    at = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+                    joined = lambda i: np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)])  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["q_block"])), pa.array(at), pa.array(q_norms[at]), pa.array(q_ids[at]), pa.array(joined(1)), pa.array(joined(2))], names=["q_block", "at", "q_norm", "query_id", "vec_id", "score"])
+
+        shape = "q_block bigint, at bigint, q_norm double, query_id bigint, vec_id bigint, score bigint"
+        names = blocks.select("block", F.col("dim").alias("b_dim"), "top_norm").withColumn("place", F.row_number().over(Window.partitionBy("b_dim").orderBy(F.desc("top_norm"), "block")))
+        names = scratch.cut(names)
+        n_places = names.agg(F.max("place")).first()[0] or 0
+        spread_q, spread_b = max(1, math.ceil(n_places / SHARE)), max(1, math.ceil(n_queries / SHARE))
+        copies = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        top = Window.partitionBy("q_block", "at").orderBy(F.desc("score"), "vec_id")
+        best, bounds, start = None, None, 1
+        for size in (*PASSES, n_places):
+            if start > n_places:
+                break
+            every = q_blocks.select("q_block", "q_dim", (F.octet_length("q_ids") / 8).alias("rows"))
+            if bounds is None:
+                every = every.withColumns({"least_norm": F.lit(float("-inf")), "bounds": F.lit(None).cast("array<struct<at: bigint, bound: double>>")})
+            else:
+                every = every.join(bounds, F.col("q_block") == F.col("q2"), "left").withColumn("least_norm", F.when(F.col("n") == F.col("rows"), F.col("least")).otherwise(F.lit(float("-inf"))))
+            near = names.where(f"place >= {start} and place < {start + size}").repartition(max(1, n_places // 8), "block")
+            pairs = near.join(every, (F.col("b_dim") == F.col("q_dim")) & (F.col("top_norm") * (1 + 1e-9) >= F.col("least_norm"))).select("block", "q_block", "bounds")
+            pairs = scratch.cut(pairs.withColumns({"to_q": F.pmod(F.xxhash64("block"), F.lit(spread_q)).cast("int"), "to_b": F.pmod(F.xxhash64("q_block"), F.lit(spread_b)).cast("int")}))
+            sent = pairs.join(copies(q_blocks.withColumnRenamed("q_block", "q3"), spread_q, "x"), (F.col("q_block") == F.col("q3")) & (F.col("to_q") == F.col("x")))
+            met = sent.join(copies(blocks.withColumnRenamed("block", "b3"), spread_b, "y"), (F.col("block") == F.col("b3")) & (F.col("to_b") == F.col("y")))
+            found = met.select("q_block", "q_ids", "q_norms", "q_vecs", "bounds", "ids", "norms", "vecs", "dim").mapInArrow(kernel, shape)
+            found = found if best is None else best.unionByName(found)
+            best = scratch.cut(found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r"))
+            full = best.groupBy("q_block", "at", "q_norm").agg(F.count("*").alias("m"), F.min("score").cast("double").alias("bound")).where(F.col("m") >= k)
+            bounds = full.groupBy(F.col("q_block").alias("q2")).agg(F.count("*").alias("n"), F.min(F.col("bound") / F.greatest("q_norm", F.lit(1e-300))).alias("least"), F.collect_list(F.struct("at", "bound")).alias("bounds"))
+            start += size
+        if best is None:
+            best = spark.createDataFrame([], shape)
+        rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return scratch.keep(best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
 def brute_force(rows: list[tuple[int, list[float] | None]], is_query, k: int = 5) -> list[tuple[int, int, int, int]]:

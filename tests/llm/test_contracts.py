@@ -342,6 +342,8 @@ def test_topk_blocks_and_pruning(spark, monkeypatch):
 
     monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    monkeypatch.setattr(topk, "SHARE", 2)
+    monkeypatch.setattr(topk, "PASSES", (1, 3))
     rnd = random.Random(4)
     rows = [(i, [rnd.gauss(0, 1) * 2 ** (-(i % 9)) for _ in range(8)]) for i in range(1500)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
