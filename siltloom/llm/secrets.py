@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import SUCCESS, shared_dir, under
+from .scratch import SUCCESS, Scratch, shared_dir, under
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,8 @@ def scan_paths(versions: DataFrame, text: str = "text", ledger: Ledger | None =
     spans = F.filter(F.array_distinct(F.flatten(F.collect_list("spans"))), lambda s: current(s) > 0)
     found = ledger.load().where(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob2")).agg(spans.alias("s"))
     spans = F.array_sort(F.transform("s", lambda s: F.struct(s["start"].alias("start"), (current(s) - 1).alias("rule"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    found = found.select("__blob2", spans.alias("__spans"))
+    # written, so that the join below stands on two plain shuffles and Spark can split a blob of very many paths
+    found = Scratch(spark, "secrets").keep(found.select("__blob2", spans.alias("__spans")))
     paths = versions.drop("spans").withColumn("__blob", blob_of(text))
     joined = paths.join(found, F.col("__blob") == F.col("__blob2"), "left")
     return joined.select(*(c for c in versions.columns if c != "spans"), F.coalesce("__spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
