@@ -42,6 +42,8 @@ COORDINATES = BANDS * ROWS
 PIVOTS, GROWTH = 8, 16
 #: Pairs of one node that meet its set in one task, about.
 SHARE = 256
+#: Tasks over which the rows of one band or entry are spread where it is looked up.
+DEAL = 32
 
 
 @lru_cache(maxsize=1)
@@ -138,6 +140,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def within(rows: DataFrame, few: DataFrame, key: str, of: str) -> DataFrame:
+    """``rows`` whose ``key`` is among those of ``few``, a column ``of``; rows of one key are spread by their node."""
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEAL)).cast("int"))
+    copies = few.select(of, F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("copy"))
+    return dealt.join(copies, (F.col(key) == F.col(of)) & (F.col("deal") == F.col("copy")), "left_semi").drop("deal")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept per row of ``docs``; links have 100 * common >= percent * union."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -181,7 +190,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         # two members have met; a larger group may hold links between members other than its smallest id
         several = placed(members.where("members > 2").select("band", "node"))
         open_bands = several.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("band").alias("ob"))
-        left = several.join(open_bands, F.col("band") == F.col("ob"), "left_semi").select(F.col("node").alias("u")).distinct()
+        left = within(several, open_bands, "band", "ob").select(F.col("node").alias("u")).distinct()
         shingles = scratch.cut(sets.join(left, F.col("node") == F.col("u"), "left_semi").select("node", "n", "sid", F.explode("shingles").alias("s")))
         counts = shingles.groupBy(F.col("s").alias("s2")).agg(F.count("*").alias("freq"))
         ranked = shingles.join(counts, F.col("s") == F.col("s2")).groupBy("node", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("freq", "s"))).alias("t"))
@@ -194,7 +203,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             near = placed(active.select("s", "node", "n", "tail", "rank"))
             entries = near.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("s").alias("os"))
             # a member whose rank was below an earlier bound has met all others
-            active = scratch.cut(near.join(entries, F.col("s") == F.col("os"), "left_semi").where(F.col("rank") >= lower))
+            active = scratch.cut(within(near, entries, "s", "os").where(F.col("rank") >= lower))
             if active.limit(1).count() == 0:
                 break
             # similar texts are of one length class or of neighbouring ones
