@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how pages write a date, day first.
 _DATE = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
 
 

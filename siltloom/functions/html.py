@@ -13,9 +13,10 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from . import text as T
 
 MARK = "\ue000"
-# Elements without text, blocks that break lines, and elements that never close.
+# Elements without text, blocks that break lines, elements that end an open paragraph, and elements that never close.
 DROPPED = ("script", "style", "nav", "footer", "noscript")
-BLOCKS = frozenset(
+BLOCKS = frozenset("div p br li ul ol table tr td th h1 h2 h3 h4 h5 h6 blockquote pre section article header footer hr dt dd".split())
+END_PARAGRAPH = frozenset(
     "address article aside blockquote center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -92,7 +93,7 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#root")
 
     def handle_starttag(self, tag, attrs):
-        if self.at.tag in self.CLOSES.get(tag, ()) or (self.at.tag == "p" and tag in BLOCKS):
+        if self.at.tag in self.CLOSES.get(tag, ()) or (self.at.tag == "p" and tag in END_PARAGRAPH):
             self.at = self.at.parent
         node = Node(tag, self.at, attrs)
         self.at.children.append(node)

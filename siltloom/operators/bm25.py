@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
+from ..session import cut, delete, scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of questions that are sought in the files; of more, all files are read.
+FEW = 200
 
 
 def terms(text: Column) -> Column:
@@ -19,37 +22,65 @@ def terms(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (term, key, tf, dl), vocabulary (term, idf) and documents (key, dl)."""
+    """Stored tables: postings (term, key, tf, dl) in order of term, vocabulary (term, idf), documents (key, dl), and the mean dl."""
 
     postings: DataFrame
     vocabulary: DataFrame
     documents: DataFrame
+    mean_length: float
     key: str
 
 
-def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon: float = EPSILON) -> Index:
-    """The index of a collection. Negative inverse frequencies become ``epsilon`` times the mean over all terms."""
-    words = chunks.select(key, terms(F.coalesce(text, F.lit(""))).alias("w")).withColumn("dl", F.size("w").cast("double"))
-    documents = words.select(key, "dl")
-    postings = words.select(key, "dl", F.explode("w").alias("term")).groupBy("term", key, "dl").agg(F.count("*").cast("double").alias("tf"))
-    n = documents.agg(F.count("*").cast("double").alias("n_docs"))
-    df = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    raw = df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    vocabulary = raw.join(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")).alias("idf"))
-    return Index(postings, vocabulary, documents, key)
+def _counted(words: Column) -> Column:
+    """(term, tf) of an array of terms, from its sorted runs: no row of a document leaves its task."""
+    ordered = F.array_sort(words)
+    starts = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+    runs = lambda w, s: F.transform(s, lambda i, k: F.struct(F.get(w, i - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - i).cast("double").alias("tf")))
+    # each step is an array of one, so that the next reads its value instead of computing it again
+    return F.when(F.size(words) > 0, F.transform(F.array(ordered), lambda w: F.transform(F.array(starts(w)), lambda s: runs(w, s))[0])[0])
+
+
+def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon: float = EPSILON, path: str | None = None) -> Index:
+    """The index of a collection, stored in ``path`` (else in the shared folder) and read from there by every question.
+
+    The collection is read once. Negative inverse frequencies become ``epsilon`` times the mean over all terms.
+    """
+    spark = chunks.sparkSession
+    root = path or scratch(spark, "bm25")
+    split = terms(F.coalesce(text, F.lit("")))
+    forward = cut(chunks.select(key, split.alias("w")).select(key, F.size("w").cast("double").alias("dl"), _counted(F.col("w")).alias("terms")), f"{root}/forward")
+    every = forward.select(key, "dl", F.explode("terms").alias("t")).select("t.term", key, "t.tf", "dl")
+    # by term and key: a term of very many chunks spreads over several files
+    every.repartitionByRange("term", key).sortWithinPartitions("term", key).write.option("compression", "zstd").parquet(f"{root}/postings")
+    forward.select(key, "dl").write.option("compression", "zstd").parquet(f"{root}/documents")
+    n, length = forward.agg(F.count("*"), F.avg("dl")).first()
+    spark.createDataFrame([(float(n), float(length or 0))], "n double, mean_length double").coalesce(1).write.parquet(f"{root}/size")
+    df = spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    raw = cut(df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), f"{root}/raw")
+    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
+    raw.select("term", F.when(F.col("idf") < 0, F.lit(mean * epsilon)).otherwise(F.col("idf")).alias("idf")).write.option("compression", "zstd").parquet(f"{root}/vocabulary")
+    for name in ("forward", "raw"):
+        delete(spark, f"{root}/{name}")
+    return load(spark, root, key)
+
+
+def load(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
+    """A stored index."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("postings"), read("vocabulary"), read("documents"), read("size").first()["mean_length"], key)
 
 
 def scores(index: Index, questions: DataFrame, query: str = "query_id", text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
     """Score of every chunk that shares a term with a question; repeated terms of a question count each time.
 
-    Only the postings of the questions' terms meet them; Spark broadcasts the terms if they are few.
+    Only the postings of the questions' terms meet them. Few terms are sought in the files, which are in
+    order of term; of more, Spark joins all postings with the terms.
     """
     asked = questions.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
-    asked = asked.join(index.vocabulary, "term")
-    mean = index.documents.agg(F.avg("dl").alias("avgdl"))
-    hits = index.postings.join(asked, "term").join(F.broadcast(mean))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    sought = [r[0] for r in asked.select("term").distinct().limit(FEW + 1).collect()]
+    postings, vocabulary = (t.where(F.col("term").isin(sought)) if len(sought) <= FEW else t for t in (index.postings, index.vocabulary))
+    hits = postings.join(asked.join(vocabulary, "term"), "term")
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return hits.groupBy(query, index.key).agg(F.sum(part).alias("score"))
 
@@ -59,7 +90,7 @@ def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_i
 
     Always k rows if the collection has as many: chunks without a hit score 0, those of smallest key first.
     """
-    hits = scores(index, questions, query, text)
+    hits = cut(scores(index, questions, query, text))
     fill = index.documents.select(index.key).orderBy(index.key).limit(k)
     zeros = questions.select(query).distinct().join(F.broadcast(fill)).select(query, index.key, F.lit(0.0).alias("score"))
     zeros = zeros.join(hits.select(query, index.key), [query, index.key], "left_anti")

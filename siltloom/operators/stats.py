@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def length_stats(df: DataFrame, text: str, *by: str) -> DataFrame:
-    """n, min_len, max_len, avg_len (whole number) and total_len of a text column."""
+def length_stats(df: DataFrame, text: str, *by: str, empty: bool = True) -> DataFrame:
+    """n, min_len, max_len, avg_len (whole number) and total_len of a text column; without ``empty``, of texts that aren't empty or null.
+
+    Empty texts are left out within the sums: a filter would be evaluated below the steps that compute the text.
+    """
     n = F.length(text).cast("bigint")
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(n).alias("min_len"), F.max(n).alias("max_len"), F.sum(n).alias("total_len"))
+    count = F.count("*")
+    if not empty:
+        n = F.nullif(n, F.lit(0).cast("bigint"))
+        count = F.count(n)
+    out = df.groupBy(*by).agg(count.alias("n"), F.min(n).alias("min_len"), F.max(n).alias("max_len"), F.sum(n).alias("total_len"))
+    out = out if empty else out.where("n > 0")
     return out.withColumn("avg_len", F.expr("total_len div n"))
 
 

@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructType
 
 METRICS = ("cosine", "l2", "inner")
-#: Questions whose vectors are sent to the tasks at once; more are asked in several blocks.
-QUESTION_BLOCK = 4096
+#: Questions, and vectors, of a block.
+QUESTION_BLOCK, VECTOR_BLOCK = 1024, 4096
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -43,60 +43,71 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return dot / np.sqrt(qq * xx)
 
 
-def _block(vectors: DataFrame, ids: list, q: np.ndarray, k: int, metric: str, key: str, vec: str, query: str, kinds) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
-    id_type = to_arrow_type(kinds[0])
+def _packed(kind, rows: int, name: str):
+    """Packs (key, vector) rows of a task into rows of keys and one binary, by dimension; invalid vectors are left out."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def flush(d):
+            keys, parts = zip(*held.pop(d))
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([list(keys)], pa.list_(kind)), pa.array([b"".join(parts)], pa.binary())], names=[f"{name}_dim", f"{name}_keys", f"{name}_vecs"])
+
+        for batch in batches:
+            for key, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if v.is_valid and len(v) and v.values.null_count == 0:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    held.setdefault(len(x), []).append((key, x.tobytes()))
+                    if len(held[len(x)]) == rows:
+                        yield flush(len(x))
+        for d in list(held):
+            yield flush(d)
+
+    return run
+
+
+def _kernel(k: int, metric: str, query: str, key: str, kinds):
+    """Of each question of a block its k best vectors of a block."""
 
     def run(batches):
-        ids, q = shared.value
-        best: list[tuple] = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
-        kind = None
         for batch in batches:
-            kind = batch.schema.field(0).type
-            lists = batch.column(1)
-            ok = [i for i, v in enumerate(lists) if v.is_valid and len(v) == q.shape[1] and v.values.null_count == 0]
-            if not ok:
-                continue
-            x = np.array([lists[i].values.to_numpy(zero_copy_only=False) for i in ok], np.float64)
-            keys = np.array(batch.column(0).to_pylist())[ok]
-            for i, s in enumerate(_scores(q, x, metric)):
-                near = np.flatnonzero(~np.isnan(s))
-                s, n = np.concatenate([best[i][0], s[near]]), np.concatenate([best[i][1].astype(keys.dtype) if len(best[i][1]) else np.empty(0, keys.dtype), keys[near]])
-                order = np.lexsort((n, -s))[:k]
-                best[i] = s[order], n[order]
-        if kind is not None:
-            for i, (s, n) in enumerate(best):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(s), id_type), pa.array(n.tolist(), kind), pa.array(s)], names=[query, key, "score"])
-
-    return vectors.select(key, vec).mapInArrow(run, StructType().add(query, kinds[0]).add(key, kinds[1]).add("score", DoubleType()))
+            for row in batch.to_pylist():
+                d = row["q_dim"]
+                q, x = (np.frombuffer(row[c], np.float64).reshape(-1, d) for c in ("q_vecs", "x_vecs"))
+                names = np.array(row["x_keys"])
+                place = np.argsort(names, kind="stable").argsort(kind="stable")
+                asked, found, scores = [], [], []
+                for i, s in enumerate(_scores(q, x, metric)):
+                    near = np.flatnonzero(~np.isnan(s))
+                    best = near[np.lexsort((place[near], -s[near]))[:k]]
+                    asked += [row["q_keys"][i]] * len(best)
+                    found += [row["x_keys"][j] for j in best]
+                    scores.append(s[best])
+                yield pa.RecordBatch.from_arrays([pa.array(asked, kinds[0]), pa.array(found, kinds[1]), pa.array(np.concatenate([np.empty(0), *scores]))], names=[query, key, "score"])
+
+    return run
 
 
 def search(vectors: DataFrame, questions: DataFrame, k: int = 25, metric: str = "cosine", key: str = "chunk_id", vec: str = "embedding", query: str = "query_id", q_vec: str = "q_embedding") -> DataFrame:
     """query, key, score and rank of each question's k nearest vectors, ties to the smaller key.
 
-    Question vectors are read in blocks of bounded size and sent to the tasks; each task returns its
-    k best per question. Vectors that are null, of another dimension or without length take no part.
+    Questions and vectors are packed into blocks where they are. Each block of questions is dealt to as many
+    groups as there are groups of vectors, so a vector is sent once for each block of questions and
+    none passes the driver; a pair of blocks gives k rows per question at most. Vectors that are null, of another
+    dimension or without length take no part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
+    spark = vectors.sparkSession
     kinds = (questions.schema[query].dataType, vectors.schema[key].dataType)
-    found, held = None, []
-
-    def ask(rows):
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-        return _block(vectors, ids, q, k, metric, key, vec, query, kinds)
-
-    for row in questions.select(query, q_vec).where(F.col(q_vec).isNotNull()).toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == QUESTION_BLOCK:
-            block = ask(held)
-            found, held = block if found is None else found.unionByName(block), []
-    if held or found is None:
-        if held:
-            block = ask(held)
-            found = block if found is None else found.unionByName(block)
-        else:
-            found = vectors.sparkSession.createDataFrame([], StructType().add(query, kinds[0]).add(key, kinds[1]).add("score", DoubleType()))
+    arrow = tuple(to_arrow_type(x) for x in kinds)
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shape = lambda name, x: StructType().add(f"{name}_dim", IntegerType()).add(f"{name}_keys", ArrayType(x)).add(f"{name}_vecs", BinaryType())
+    # few rows of questions in many small tasks would make many small blocks
+    asked = questions.select(query, q_vec).where(F.col(q_vec).isNotNull()).coalesce(max(1, groups // 4)).mapInArrow(_packed(arrow[0], QUESTION_BLOCK, "q"), shape("q", kinds[0]))
+    asked = asked.withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    items = vectors.select(key, vec).mapInArrow(_packed(arrow[1], VECTOR_BLOCK, "x"), shape("x", kinds[1])).withColumn("x_group", F.pmod(F.xxhash64("x_vecs"), F.lit(groups)).cast("int"))
+    pairs = asked.join(items, (F.col("q_group") == F.col("x_group")) & (F.col("q_dim") == F.col("x_dim"))).select("q_dim", "q_keys", "q_vecs", "x_keys", "x_vecs")
+    found = pairs.mapInArrow(_kernel(k, metric, query, key, arrow), StructType().add(query, kinds[0]).add(key, kinds[1]).add("score", DoubleType()))
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.chunk import explode_chunks
 from ..operators import stats
-from ..session import ship
+from ..session import cut, ship
 from ..sources import adapters, readers, sinks
 from ..sources.extract import extract_udf
 
@@ -49,6 +49,7 @@ def build_index(docs: DataFrame, path: str, collection: str, embedder: adapters.
     config = config or Config()
     chunks = chunk_documents(docs.limit(limit) if limit else docs, config)
     if not dry_run:
+        chunks = cut(chunks)  # chunked once, for the collection and for the statistics
         sinks.chunks(adapters.embed(chunks, "text", embedder, batch=config.embedding.batch_size), path, collection, clear)
     return stats.length_stats(chunks, "text")
 

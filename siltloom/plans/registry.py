@@ -124,8 +124,8 @@ def clean_text_hash(spark, sf_dir):
     "CAST(sum(length(content)) // count(*) AS BIGINT) AS avg_len FROM cleaned JOIN documents USING (doc_id) WHERE content <> '' GROUP BY lang"
 )
 def clean_text_stats(spark, sf_dir):
-    docs = text.clean_text(table(spark, sf_dir, "documents").select("lang", "text"), "text", "content").where(F.length("content") > 0)
-    return stats.length_stats(docs, "content", "lang")
+    docs = text.clean_text(table(spark, sf_dir, "documents").select("lang", "text"), "text", "content")
+    return stats.length_stats(docs, "content", "lang", empty=False)
 
 
 _SLUG = _strip("lower(regexp_extract(text, '^[^\\n]*'))")
@@ -159,11 +159,36 @@ def html_to_text(spark, sf_dir):
     return pages.select("page_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.length("content").cast("bigint").alias("n_chars"))
 
 
-@query()
+@query(
+    _page_text() + f" SELECT page_id, '' AS title, length({_strip(f'regexp_replace(t, {_q(_WS + chr(43))}, {_q(chr(32))}, {_q(chr(103))})')}) AS n_chars, CAST(0 AS BIGINT) AS n_links, CAST(NULL AS VARCHAR) AS published FROM joined"
+)
 def page_facts(spark, sf_dir):
-    """One parse per page: title, block text, anchors, date."""
+    """One parse per page: title, block text, anchors outside navigation, date. These pages have no detail layout: their text is one line."""
     pages = table(spark, sf_dir, "pages").withColumn("f", html.page(F.col("html")))
-    return pages.select("page_id", F.col("f.title").alias("title"), F.length("f.content_text").cast("bigint").alias("n_chars"), F.size("f.links").cast("bigint").alias("n_links"), html.published(F.col("f")).alias("published_at"))
+    return pages.select("page_id", F.col("f.title").alias("title"), F.length("f.content_text").cast("bigint").alias("n_chars"), F.size("f.links").cast("bigint").alias("n_links"), F.date_format(html.published(F.col("f")), "yyyy-MM-dd").alias("published"))
+
+
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_BLOCK_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: {_strip(f'regexp_replace(l, {_q(_WS + chr(43))}, {_q(chr(32))}, {_q(chr(103))})')}), lambda l: l <> '')"
+
+
+@query(
+    f"SELECT doc_id, 'Doc ' || doc_id AS title, md5(array_to_string({_BLOCK_LINES}, chr(10)) || CASE WHEN len({_BLOCK_LINES}) = 0 THEN '' ELSE chr(10) END || 'see file and more ' || doc_id) AS digest, "
+    "CAST(2 AS BIGINT) AS n_links, '/files/' || doc_id || '.pdf' AS first_link, strftime(make_date(2020, CAST(doc_id % 12 + 1 AS INTEGER), CAST(doc_id % 28 + 1 AS INTEGER)), '%Y-%m-%d') AS published FROM documents WHERE text IS NOT NULL"
+)
+def page_blocks(spark, sf_dir):
+    """Detail pages made of the documents, a line per block or break, with what a page's layout adds: it must go."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    plain = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    wrap = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("<p>"), x, F.lit("</p>"))).when(i % 4 == 1, F.concat(F.lit("<ul><li>"), x, F.lit("</li></ul>"))).when(i % 4 == 2, F.concat(F.lit("<br>"), x, F.lit("<br/>"))).otherwise(F.concat(F.lit("<div><span>"), x, F.lit("</span></div>")))
+    lines = F.array_join(F.transform(F.split(plain, "\n", -1), wrap), "")
+    key, day = F.col("doc_id").cast("string"), F.concat((F.col("doc_id") % 28 + 1).cast("string"), F.lit("/"), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("/2020"))
+    page = F.concat(
+        F.lit('<html><body><nav><a href="/n">n</a></nav><a class="title_topicdisplay x"> Doc <b>'), key, F.lit('</b></a><div class="divmain"><div class="bgtitle">bg</div><form>f</form><div class="share">s</div>'),
+        lines, F.lit('<p>see <a href=" /files/'), key, F.lit('.pdf ">file</a> and <a href="/News/Detail/1">more</a> '), key, F.lit("</p></div><i>on "), day, F.lit("</i><footer>31/12/1999</footer></body></html>"),
+    )
+    found = docs.select("doc_id", html.page(page).alias("f"))
+    return found.select("doc_id", F.col("f.title").alias("title"), F.md5(F.col("f.content_text").cast("binary")).alias("digest"), F.size("f.links").cast("bigint").alias("n_links"), F.col("f.links")[0]["href"].alias("first_link"), F.date_format(html.published(F.col("f")), "yyyy-MM-dd").alias("published"))
 
 
 _LINKS = "(SELECT page_id, url, pos - 1 AS pos, regexp_replace(links[pos], '^\\s+|\\s+$', '', 'g') AS href FROM (SELECT page_id, url, links, unnest(range(1, len(links) + 1)) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS links FROM pages)))"
@@ -215,11 +240,21 @@ def url_join(spark, sf_dir):
     return links.select("page_id", F.col("pos").cast("bigint").alias("pos"), urls.join(F.col("url"), F.col("href")).alias("target"))
 
 
-@query(f"SELECT CASE WHEN regexp_matches(lower(href), '\\.(pdf|doc|docx|xls|xlsx|zip|rar)$') AND NOT regexp_matches(href, '^(#|mailto:)') THEN 'attachment' WHEN regexp_matches(href, '^/News/Detail/\\d+(/.*)?$') THEN 'detail' ELSE 'other' END AS kind, count(*) AS n FROM {_LINKS} GROUP BY 1")
+_MORE_LINKS = ("/News/Detail/{}", "/News/Detail/{}/more", "/files/{}.PDF", "/files/{}.docx", "#{}.zip", "mailto:{}@x.pdf", "/files/{}.pdf?v=1", "/News/Detail/x{}")
+
+
+@query(
+    "WITH l AS (SELECT page_id, href FROM " + _LINKS + " UNION ALL SELECT page_id, replace(h, '{}', CAST(page_id AS VARCHAR)) FROM pages, (SELECT unnest([" + ", ".join(map(_q, _MORE_LINKS)) + "]) AS h)) "
+    "SELECT CASE WHEN regexp_matches(lower(href), '\\.(pdf|doc|docx|xls|xlsx|zip|rar)$') AND NOT regexp_matches(href, '^(#|mailto:)') THEN 'attachment' WHEN regexp_matches(href, '^/News/Detail/\\d+(/.*)?$') THEN 'detail' ELSE 'other' END AS kind, "
+    "count(*) AS n, min(href) AS first FROM l GROUP BY 1"
+)
 def link_kinds(spark, sf_dir):
-    links = frontier.page_links(table(spark, sf_dir, "pages"))
+    """The pages' own links, all in navigation, and links of each kind made of their ids."""
+    pages = table(spark, sf_dir, "pages")
+    more = pages.select(F.explode(F.array(*(F.replace(F.lit(x), F.lit("{}"), F.col("page_id").cast("string")) for x in _MORE_LINKS))).alias("href"))
+    links = frontier.page_links(pages).select("href").unionByName(more)
     kind = F.when(urls.is_attachment(F.col("href")), "attachment").when(urls.is_detail_link(F.col("href")), "detail").otherwise("other")
-    return links.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return links.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("href").alias("first"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS found FROM orders")
@@ -270,11 +305,21 @@ def dim_left_join_default(spark, sf_dir):
     return lookup.with_default(docs, labels.withColumn("quality", F.col("quality").cast("string")), "doc_id", "quality", "label")
 
 
-@query("SELECT min(page_id) AS id, url FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM pages) GROUP BY url")
+@query(
+    "SELECT min(page_id) AS id, url FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM pages UNION ALL SELECT page_id + 2000000, url || '#new' || page_id % 7 FROM pages) GROUP BY url"
+)
 def queue_insert_or_ignore(spark, sf_dir):
+    """Offered again: every waiting URL, which is ignored, and new ones, some of them twice."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     queue = dedup.first_wins(pages, ["url"], "id").select("id", "url")
-    return lookup.insert_or_ignore(queue, pages.withColumn("id", F.col("id") + 1000000), "url")
+    new = pages.select((F.col("id") + 2000000).alias("id"), F.concat("url", F.lit("#new"), (F.col("id") % 7).cast("string")).alias("url"))
+    return lookup.insert_or_ignore(queue, pages.withColumn("id", F.col("id") + 1000000).unionByName(new), "url")
+
+
+@query("SELECT page_id AS id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def queue_delete(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    return lookup.delete(pages, pages.where("id % 3 = 0"), "url")
 
 
 @query("SELECT id, url FROM (SELECT page_id AS id, url FROM pages) ORDER BY id LIMIT 10")
@@ -365,36 +410,6 @@ _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding A
 _L2 = "0.0 - list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-def _one_question(score: str, where: str = "") -> str:
-    return f"SELECT vec_id, round(s, 6) AS score FROM (SELECT b.vec_id, {score} AS s FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY s DESC, b.vec_id LIMIT 25) {where}"
-
-
-def _nearest(spark, sf_dir, metric):
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
-    return vector.search(vectors, asked, 25, metric, key="vec_id").select("vec_id", (F.round("score", 6) + 0.0).alias("score"))
-
-
-@query(_one_question(_COS))
-def vector_topk_cosine(spark, sf_dir):
-    return _nearest(spark, sf_dir, "cosine")
-
-
-@query(_one_question(_L2))
-def vector_topk_l2(spark, sf_dir):
-    return _nearest(spark, sf_dir, "l2")
-
-
-@query(_one_question(_DOT))
-def vector_topk_inner(spark, sf_dir):
-    return _nearest(spark, sf_dir, "inner")
-
-
-@query(_one_question(_COS, "WHERE s >= 0.25"))
-def vector_threshold(spark, sf_dir):
-    return _nearest(spark, sf_dir, "cosine").where("score >= 0.25")
-
-
 _BATCH = f"(SELECT query_id, vec_id, label, q_label, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, b.label, a.label AS q_label, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0))"
 
 
@@ -404,31 +419,31 @@ def _batch(spark, sf_dir, k, metric="cosine"):
     return vectors, asked, vector.search(vectors, asked, k, metric, key="vec_id")
 
 
-@query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM {_BATCH} WHERE rank <= 25")
-def vector_search_batch(spark, sf_dir):
-    return _batch(spark, sf_dir, 25)[2].select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
-
-
 def _every_question(score: str, where: str = "") -> str:
     return f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM {_BATCH.replace(_COS, score)} WHERE rank <= 25{where}"
 
 
-def _nearest_batch(spark, sf_dir, metric):
+def _nearest(spark, sf_dir, metric):
     return _batch(spark, sf_dir, 25, metric)[2].select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), (F.round("score", 6) + 0.0).alias("score"))
 
 
+@query(_every_question(_COS))
+def vector_topk_cosine(spark, sf_dir):
+    return _nearest(spark, sf_dir, "cosine")
+
+
 @query(_every_question(_L2))
-def vector_search_batch_l2(spark, sf_dir):
-    return _nearest_batch(spark, sf_dir, "l2")
+def vector_topk_l2(spark, sf_dir):
+    return _nearest(spark, sf_dir, "l2")
 
 
 @query(_every_question(_DOT))
-def vector_search_batch_inner(spark, sf_dir):
-    return _nearest_batch(spark, sf_dir, "inner")
+def vector_topk_inner(spark, sf_dir):
+    return _nearest(spark, sf_dir, "inner")
 
 
 @query(_every_question(_COS, " AND s >= 0.25"))
-def vector_search_batch_threshold(spark, sf_dir):
+def vector_threshold(spark, sf_dir):
     hits = _batch(spark, sf_dir, 25)[2].where("score >= 0.25")
     return hits.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -464,7 +479,10 @@ def _questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-@query("WITH docs AS (SELECT doc_id, text FROM documents), " + _BM25 + " SELECT term, round(idf, 6) AS idf FROM i")
+@query(
+    "WITH t AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(" + _TOKENS % "text" + ")) AS term FROM documents) GROUP BY term), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), "
+    "i AS (SELECT term, ln(n - df + CAST(0.5 AS DOUBLE)) - ln(df + CAST(0.5 AS DOUBLE)) AS idf FROM t, n), m AS (SELECT avg(idf) AS mean FROM i) SELECT term, round(CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END, 6) AS idf FROM i, m"
+)
 def bm25_idf(spark, sf_dir):
     return bm25.build(table(spark, sf_dir, "documents"), key="doc_id").vocabulary.select("term", F.round("idf", 6).alias("idf"))
 
@@ -476,8 +494,8 @@ def bm25_topk(spark, sf_dir):
 
 
 _HYBRID = (
-    "WITH docs AS (SELECT doc_id, text, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id), " + _BM25 + ", "
-    "vs AS (SELECT a.item_id AS query_id, b.doc_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM benchmark a JOIN embeddings e ON a.item_id = e.vec_id, docs b), "
+    "WITH docs AS (SELECT doc_id, text, source, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id), " + _BM25 + ", "
+    "vs AS (SELECT a.item_id AS query_id, b.doc_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM benchmark a JOIN embeddings e ON a.item_id = e.vec_id, docs b WHERE b.embedding IS NOT NULL), "
     "vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM vs) WHERE rank <= 25 AND s >= 0.25), "
     "u AS (SELECT query_id, text, doc_id, CAST(0.65 AS DOUBLE) * s AS part, 0 AS side, rank FROM vk JOIN docs USING (doc_id) UNION ALL "
     "SELECT kw.query_id, text, doc_id, CAST(0.35 AS DOUBLE) * (1 - (rank - 1) / CAST(c.n AS DOUBLE)), 1, rank FROM kw JOIN docs USING (doc_id) JOIN (SELECT query_id, count(*) AS n FROM kw GROUP BY 1) c ON c.query_id = kw.query_id), "
@@ -486,18 +504,14 @@ _HYBRID = (
 )
 
 
-#: The same over all documents: those without an embedding are found by their words.
-_HYBRID_ALL = _HYBRID.replace("documents JOIN embeddings", "documents LEFT JOIN embeddings").replace(", docs b),", ", docs b WHERE b.embedding IS NOT NULL),")
+def _hybrid(spark, sf_dir) -> DataFrame:
+    """Documents stand for chunks, with the embedding of equal id; a benchmark item asks with its text and the embedding of its id.
 
-
-def _hybrid(spark, sf_dir, how: str = "inner") -> DataFrame:
-    """Documents paired with the embedding of equal id stand for chunks; a benchmark item asks with its text and the embedding of its id.
-
-    how: "left" keeps documents and items without an embedding, for the keyword side.
+    Documents and items without an embedding take part in the keyword side.
     """
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    chunks = docs.join(vectors.select(F.col("vec_id").alias("v"), "embedding"), F.col("doc_id") == F.col("v"), how).select("doc_id", "text", "source", "embedding")
-    asked = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("q_embedding")), F.col("query_id") == F.col("v"), how)
+    chunks = docs.join(vectors.select(F.col("vec_id").alias("v"), "embedding"), F.col("doc_id") == F.col("v"), "left").select("doc_id", "text", "source", "embedding")
+    asked = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("q_embedding")), F.col("query_id") == F.col("v"), "left")
     near = vector.search(chunks, asked, 25, key="doc_id").where(F.col("score") >= 0.25)
     words = bm25.top_k(bm25.build(chunks, key="doc_id"), asked)
     facts = chunks.select("doc_id", "text", "source")
@@ -506,24 +520,24 @@ def _hybrid(spark, sf_dir, how: str = "inner") -> DataFrame:
 
 
 @query(_HYBRID + "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM h")
-def hybrid_fuse(spark, sf_dir, how="inner"):
-    return _hybrid(spark, sf_dir, how).select("query_id", F.col("doc.doc_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
+def hybrid_fuse(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("query_id", F.col("doc.doc_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
 
 
-def _flat(spark, sf_dir, how: str = "inner") -> DataFrame:
-    hits = _hybrid(spark, sf_dir, how)
+def _flat(spark, sf_dir) -> DataFrame:
+    hits = _hybrid(spark, sf_dir)
     text_of = lambda c: F.col(c).cast("string")
     return hits.select("query_id", "rank", "text", F.concat(F.lit("doc "), text_of("doc.doc_id")).alias("title"), F.col("doc.source").alias("category"), F.lit("").alias("source"), F.concat(F.lit("doc-"), text_of("doc.doc_id")).alias("doc_id"), F.lit("documents").alias("kind"), F.array().cast("array<string>").alias("referenced_by"))
 
 
 @query(_HYBRID + "SELECT h.query_id, md5(string_agg('[' || rank || '] doc ' || h.doc_id || CASE WHEN d.source <> '' THEN ' (' || d.source || ')' ELSE '' END || chr(10) || h.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM h JOIN docs d ON d.doc_id = h.doc_id GROUP BY h.query_id")
-def context_format(spark, sf_dir, how="inner"):
-    return context.format_context(_flat(spark, sf_dir, how)).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
+def context_format(spark, sf_dir):
+    return context.format_context(_flat(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 @query(_HYBRID + "SELECT query_id, CAST(rank AS INTEGER) AS index, 'doc ' || h.doc_id AS title, d.source AS category, 'doc-' || h.doc_id AS doc_id FROM h JOIN docs d ON d.doc_id = h.doc_id")
-def source_items(spark, sf_dir, how="inner"):
-    return context.source_items(_flat(spark, sf_dir, how)).select("query_id", F.explode("sources").alias("s")).select("query_id", "s.index", "s.title", "s.category", "s.doc_id")
+def source_items(spark, sf_dir):
+    return context.source_items(_flat(spark, sf_dir)).select("query_id", F.explode("sources").alias("s")).select("query_id", "s.index", "s.title", "s.category", "s.doc_id")
 
 
 _SET = "list_distinct(list_filter(string_split_regex(lower(%s), '\\s+'), lambda w: w <> ''))"
@@ -533,31 +547,7 @@ _SET = "list_distinct(list_filter(string_split_regex(lower(%s), '\\s+'), lambda
     _HYBRID + ", r AS (SELECT h.query_id, h.doc_id, h.rank AS old, CAST(len(list_intersect(" + _SET % "b.text" + ", " + _SET % "h.text" + ")) AS DOUBLE) / greatest(len(" + _SET % "b.text" + "), 1) AS s FROM h JOIN benchmark b ON b.item_id = h.query_id) "
     "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, old) AS rank FROM r) WHERE rank <= 6"
 )
-def rerank_overlap(spark, sf_dir, how="inner"):
-    hits = _hybrid(spark, sf_dir, how).select("query_id", "rank", "text", F.col("doc.doc_id").alias("doc_id")).join(_questions(spark, sf_dir), "query_id")
+def rerank_overlap(spark, sf_dir):
+    hits = _hybrid(spark, sf_dir).select("query_id", "rank", "text", F.col("doc.doc_id").alias("doc_id")).join(_questions(spark, sf_dir), "query_id")
     best = fusion.rerank(hits, adapters.overlap_score(F.col("question"), F.col("text")), 10, 6)
     return best.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("score"))
-
-
-def _all_documents(name: str) -> str:
-    return ORACLE[name].replace(_HYBRID, _HYBRID_ALL)
-
-
-@query(_all_documents("hybrid_fuse"))
-def hybrid_fuse_all(spark, sf_dir):
-    return hybrid_fuse(spark, sf_dir, "left")
-
-
-@query(_all_documents("context_format"))
-def context_format_all(spark, sf_dir):
-    return context_format(spark, sf_dir, "left")
-
-
-@query(_all_documents("source_items"))
-def source_items_all(spark, sf_dir):
-    return source_items(spark, sf_dir, "left")
-
-
-@query(_all_documents("rerank_overlap"))
-def rerank_overlap_all(spark, sf_dir):
-    return rerank_overlap(spark, sf_dir, "left")

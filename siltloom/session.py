@@ -48,9 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siltloom_scratch"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that its lineage ends there."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)  # only what is there is deleted on exit
+    fs.deleteOnExit(p)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, or to ``path``, and read again, so that its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/core-{uuid.uuid4().hex}"
+    path = path or f"{scratch(spark, 'core')}/t"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

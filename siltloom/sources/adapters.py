@@ -32,6 +32,14 @@ def http_fetch(timeout: int = 20) -> Fetch:
     return fetch
 
 
+def numbered_site(url: str) -> tuple[int, bytes]:
+    """Offline site: what it answers hangs on the number that ends a URL's name."""
+    n = int(url.rsplit("-", 1)[1].split(".")[0])
+    if n % 4 == 3:
+        raise OSError("down")
+    return ((200, b"%PDF" + b"x" * (2000 + n % 10)), (404, b""), (200, b"<html>" + b"x" * 2000))[n % 4]
+
+
 def with_retry(fetch: Fetch, attempts: int = 3, backoff: float = 2.0, sleep=time.sleep) -> Fetch:
     """Tries again on connection errors and retryable statuses, waiting twice as long each time."""
 

@@ -27,9 +27,19 @@ def _object(spark: SparkSession, path: str, value: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("key", "value"))
 
 
-def news(spark: SparkSession, path: str, zero_width: str = "parity", limit: int | None = None) -> DataFrame:
-    """Cleaned documents of kind 'news', in path order."""
-    raw = _json(spark, path, schemas.RAW_NEWS)
+def with_text(df: DataFrame, c: str) -> DataFrame:
+    """Rows whose text, a computed column, isn't blank. A filter would be evaluated below the steps that compute it, and repeat them."""
+    others = [x for x in df.columns if x != c]
+    kept = F.filter(F.array(c), lambda x: F.length(T.strip(F.coalesce(x, F.lit("")))) > 0)
+    return df.select(*others, F.explode(kept).alias(c)).select(*df.columns)
+
+
+def news(spark: SparkSession, path: str, zero_width: str = "parity", limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Cleaned documents of kind 'news'; with ``limit``, the first in path order.
+
+    The folder holds a JSON file per article or, with ``lines``, what the news sink writes.
+    """
+    raw = _json(spark, path, schemas.RAW_NEWS, lines)
     html = H.clean_html(raw, "content_html", "from_html", zero_width)
     both = T.clean_text(html, "content_text", "from_text", zero_width)
     content = F.when(_has_text("content_html"), F.col("from_html")).otherwise(F.coalesce("from_text", F.lit("")))
@@ -44,9 +54,9 @@ def news(spark: SparkSession, path: str, zero_width: str = "parity", limit: int
         F.array().cast("array<string>").alias("referenced_by"),
         F.create_map(F.lit("published_at"), "published_at", F.lit("type_id"), "type_id").alias("metadata"),
         "file_path",
-    ).where(_has_text("content"))
-    out = out.orderBy("file_path")
-    return out.limit(limit) if limit else out
+    )
+    out = with_text(out, "content")
+    return out.orderBy("file_path").limit(limit) if limit else out
 
 
 def attachment_index(spark: SparkSession, path: str) -> DataFrame:
@@ -120,14 +130,14 @@ def external(log: DataFrame, stored: DataFrame, extract, include_skipped: bool =
 
 
 def cleaned(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
-    """Documents of a cleaned folder, in path order, without its manifest.
+    """Documents of a cleaned folder without its manifest; with ``limit``, the first in path order.
 
     The folder holds a JSON file per document or, with ``lines``, what the documents sink writes.
     """
     docs = _json(spark, path, schemas.DOCUMENT, lines).where("file_name <> 'manifest.json'").where(_has_text("content"))
     docs = docs.withColumns({"title": T.strip(F.coalesce("title", F.lit(""))), "content": T.strip(F.col("content")), "source_id": F.coalesce("source_id", F.lit("")), "referenced_by": F.coalesce("referenced_by", F.array().cast("array<string>"))})
-    docs = docs.orderBy("file_path").drop("file_name")
-    return docs.limit(limit) if limit else docs
+    docs = docs.drop("file_name")
+    return docs.orderBy("file_path").limit(limit) if limit else docs
 
 
 def collection(spark: SparkSession, path: str, name: str) -> DataFrame:

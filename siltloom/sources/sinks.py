@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,28 +24,30 @@ def attachments(df: DataFrame, path: str) -> None:
 
 
 def snapshot(df: DataFrame, path: str) -> str:
-    """A new version of a table beside the old ones, then the pointer to it; readers never see half a write."""
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{path}/v-{version}")
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    """A new version of a table beside the old ones.
+
+    A version counts once its writer's marker of success is there, and the newest that counts is current:
+    there is no pointer to overwrite, so readers see the old version or the new one, whole.
+    """
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
     return version
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The current version of a table; empty if there is none."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
-    version = spark.read.text(f"{path}/current").first()[0]
-    return spark.read.schema(schema).parquet(f"{path}/v-{version}")
+    marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v-*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    versions = sorted(x.getPath().getParent().toString() for x in found or ())
+    return spark.read.schema(schema).parquet(versions[-1]) if versions else spark.createDataFrame([], schema)
 
 
 def documents(df: DataFrame, path: str) -> DataFrame:
     """The cleaned tier, replaced as a whole and laid out by kind, and its manifest, which is returned."""
     stamped = df.withColumn("cleaned_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
     stamped.write.mode("overwrite").partitionBy("kind").json(f"{path}/documents")
-    manifest = stats.manifest(stamped)
+    # from what was written: extraction and cleaning don't run again
+    manifest = stats.manifest(df.sparkSession.read.schema("kind string, content string").json(f"{path}/documents"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return manifest
 

@@ -94,7 +94,9 @@ def test_dates(spark):
 
 HTML = [
     ("<div><p>A</p><p>B</p></div>", "A B", "A\nB"), ("<div>x<!-- c -->y</div>", "x c y", "x c y"), ("<div><span><p>A</p><p>B</p></span></div>", "A B", "A B"),
-    ("<div>Kế hoạch <span>61</span><span>/KH</span></div>", "Kế hoạch 61/KH", "Kế hoạch 61 /KH"), ("<div>a<p>b<p>c<br>d</div>", "a b c d", "a\nb\nc d"),
+    ("<div>Kế hoạch <span>61</span><span>/KH</span></div>", "Kế hoạch 61/KH", "Kế hoạch 61 /KH"), ("<div>a<p>b<p>c<br>d</div>", "a b c d", "a\nb\nc\nd"),
+    ("<div>one<br>two<br/>three</div>", "one two three", "one\ntwo\nthree"), ("<div>a<span>b<br>c</span>d</div>", "a b c d", "a b c d"),
+    ("<div>a<main>b</main><aside>c</aside>d<address>e</address></div>", "a b c d e", "a b c d e"), ("<p>x<br>y</p>", "x y", "x\ny"), ("<b>x<br>y</b>", "x y", "x y"),
 ]
 
 

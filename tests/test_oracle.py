@@ -35,5 +35,5 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 
 def test_entry_and_other_queries(spark, sf_dir):
     assert entry.entry(spark).count() > 0
-    for name in ("page_facts", "chunk_explode", "chunk_stats"):
+    for name in ("chunk_explode", "chunk_stats"):
         assert entry.queries()[name](spark, sf_dir).count() > 0
