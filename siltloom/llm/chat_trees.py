@@ -13,7 +13,7 @@ another chat template survives in them, and ``unescape`` restores every text exa
 A null parent, or one that isn't in the tree, makes a root. Nodes on a cycle hang on no root and
 are in no conversation. Null roles and texts count as empty, null scores as 0. A null tree is a
 tree of its own. Rows that repeat a (tree, node) are one node: the first by role and text.
-Extra columns are ignored; an empty table gives an empty result.
+Texts of any length are taken whole. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

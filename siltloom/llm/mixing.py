@@ -16,8 +16,8 @@ folder and joined; Spark broadcasts it where its size allows.
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. A null source is a source of its own. Sources without tokens, and
 documents of null or empty text in others, are read like the rest: documents without tokens once per
 full epoch, such sources once. Rows that repeat a key get the same copies; equal hashes are in or
-out together. Extra columns are kept; columns named like the added ones are replaced. An empty
-table gives an empty result.
+out together. Texts of any length are counted whole, and none is shuffled. Extra columns are kept;
+columns named like the added ones are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

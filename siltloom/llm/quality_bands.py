@@ -2,8 +2,9 @@
 
 zstandard's ratio (bytes in per byte out, level 3) of the whole text and of fixed chunks of
 ``CHUNK`` bytes must lie in a band that depends on length: repetitive text compresses too well,
-random text too badly. Chunks cover a longer text whole, the last one aligned to its end. A text is rejected if its whole ratio leaves its band, or if more than
-``BAD_CHUNKS`` of its chunks leave theirs.
+random text too badly. Chunks cover a longer text whole, the last one aligned to its end.
+A text is rejected if its whole ratio leaves its band, or if more than ``BAD_CHUNKS`` of its chunks
+leave theirs. Texts of any length are read whole.
 
 Beside the verdict come the base measures: counts of words, characters in words, symbols, repeated
 lines and words in repeated five-word windows. Null and empty texts have no words and fail the base

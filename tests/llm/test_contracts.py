@@ -58,6 +58,50 @@ def test_quality_rejects_repetition_and_noise():
     assert base64.b64encode(rnd.randbytes(9)) and quality_bands.ratio_verdict(b"", packer)[2]
 
 
+def brute_kept(text):
+    """The verdict by the rules, byte by byte."""
+    import zstandard
+
+    size = lambda b: len(zstandard.ZstdCompressor(level=quality_bands.LEVEL).compress(b))
+    raw = text.encode()
+    if base_measures(text)[-1]:
+        return False
+    low, high = next(b[1:] for b in quality_bands.BANDS if len(raw) <= b[0])
+    if not low <= len(raw) / size(raw) <= high:
+        return False
+    step = quality_bands.CHUNK
+    chunks = []
+    while len(raw) > step and step * len(chunks) + step < len(raw):
+        chunks.append(raw[step * len(chunks) : step * len(chunks) + step])
+    if chunks:
+        chunks.append(raw[-step:])
+    bad = [c for c in chunks if not quality_bands.CHUNK_BAND[0] <= len(c) / size(c) <= quality_bands.CHUNK_BAND[1]]
+    return len(bad) <= quality_bands.BAD_CHUNKS * len(chunks)
+
+
+def test_contract_queries_on_the_smallest_tables(spark, sf_dir):
+    """op1, op3, op5 and op7 as registered, against brute force or the library over whole tables."""
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text) for r in queries.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    texts = {i: t or "" for i, t in rows}
+    got = queries.op1_compression_bands(spark, sf_dir).collect()
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_measures(texts[r.doc_id])
+        assert r.kept == brute_kept(texts[r.doc_id]), r
+    assert 0 < sum(r.kept for r in got) < len(got)
+    got = queries.op3_minhash_circulant(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(minhash.brute_force(rows, 3, 85))
+    got = queries.op5_suffix_doubling(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows))
+    theirs = Tokenizer.from_file(queries.vocabulary())
+    for r in queries.op7_bpe_rank_array(spark, sf_dir).collect():
+        ids = theirs.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == sha(theirs.decode(ids, skip_special_tokens=False))
+
+
 def test_quality_judges_the_tail():
     import random
 
