@@ -1,70 +1,76 @@
-"""The text functions under SQL names."""
+"""The text functions under SQL names: temporary SQL functions, which Catalyst inlines like any expression."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-import unicodedata
-from urllib.parse import parse_qsl, urlencode, urlsplit
+from collections.abc import Callable
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from . import chunk, html, text
+from . import chunk, html, text, urls
 
 
-def clean(value: str | None) -> str | None:
-    """The cleaner in Python, for SQL callers and as a check on the expressions."""
-    if value is None:
-        return None
-    value = unicodedata.normalize("NFC", value)
-    for old, new in text.CHAR_REPLACEMENTS:
-        value = value.replace(old.encode().decode("latin-1") if old in text.ZERO_WIDTH else old, new)
-    for phrase in text.INLINE_JUNK:
-        value = re.sub(re.escape(phrase), "", value, flags=re.IGNORECASE)
-    value = re.sub(r"(?<=\d)[ \t]+(?=\d)", "", re.sub(r"/[ \t]+", "/", re.sub(r"[ \t]+/", "/", value)))
-    lines = [x for x in (re.sub(r"[ \t]+", " ", x).strip() for x in value.split("\n")) if x]
-    junk = re.compile("(?:" + "|".join(text.LINE_JUNK) + ")", re.IGNORECASE)
-    lines = [x for x in lines if not junk.fullmatch(x)]
-    return "\n".join(x for i, x in enumerate(lines) if len(x) > 3 or x not in lines[:i]).strip()
+def _s(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def canonical(url: str | None) -> str | None:
-    """The canonical form of a URL in Python."""
-    if url is None:
-        return None
-    p = urlsplit(url)
-    query = urlencode(sorted(parse_qsl(p.query)))
-    return p._replace(scheme=p.scheme.lower(), netloc=p.netloc.lower(), path=p.path or "/", query=query, fragment="").geturl()
+def _let(value: str, name: str, body: Callable[[str], str]) -> str:
+    """``body`` of a name for ``value``, so that it is evaluated once."""
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
+
+
+def _replaced(x: str, *pairs: tuple[str, str]) -> str:
+    return reduce(lambda a, p: f"regexp_replace({a}, {_s(p[0])}, {_s(p[1])})", pairs, x)
+
+
+def _strip(x: str) -> str:
+    return _replaced(x, (text.STRIP, ""))
+
+
+def _clean_text(x: str) -> str:
+    """The steps of the cleaner over a string that is in normal form."""
+    chars = [(old.encode().decode("latin-1") if old in text.ZERO_WIDTH else old, new) for old, new in text.CHAR_REPLACEMENTS]
+    plain = reduce(lambda a, p: f"replace({a}, {_s(p[0])}, {_s(p[1])})", chars, x)
+    welded = _replaced(plain, *((text.quoted(p), "") for p in text.INLINE_JUNK), ("[ \t]+/", "/"), ("/[ \t]+", "/"), (r"(?U)(?<=\d)[ \t]+(?=\d)", ""))
+    junk = "(?iuU)^(?:" + "|".join(text.LINE_JUNK) + ")$"
+    lines = f"filter(transform(split({welded}, {_s(chr(10))}, -1), l -> {_strip(_replaced('l', ('[ \t]+', ' ')))}), l -> length(l) > 0 AND NOT l RLIKE {_s(junk)})"
+    kept = _let(lines, "ls", lambda ls: f"filter({ls}, (l, i) -> length(l) > 3 OR array_position({ls}, l) = i + 1)")
+    return _strip(f"array_join({kept}, {_s(chr(10))})")
+
+
+def _body(x: str) -> str:
+    """Stripped text nodes of a page's body, joined by blanks."""
+    kept = _replaced(x, *((rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "") for tag in html.DROPPED))
+    inside = _let(kept, "k", lambda k: f"if({k} RLIKE {_s(r'(?i)<body\b')}, regexp_extract({k}, {_s(r'(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)')}, 1), {k})")
+    marked = _replaced(inside, ("(?is)<!doctype[^>]*>", html.MARK), ("<!--|-->", html.MARK), ("<[^>]*>", html.MARK))
+    return f"array_join(filter(transform(split(unescape_html({marked}), {_s(html.MARK)}, -1), n -> {_strip('n')}), n -> length(n) > 0), ' ')"
+
+
+def _canonical(url: str) -> str:
+    part = lambda n: f"regexp_extract({url}, {_s(urls._PARTS)}, {n})"
+    plain = lambda pattern: f"coalesce(try_url_decode(regexp_extract(p, {_s(pattern)}, 1)), replace(regexp_extract(p, {_s(pattern)}, 1), '+', ' '))"
+    coded = lambda v: f"replace(replace(url_encode({v}), '*', '%2A'), '%7E', '~')"
+    pairs = f"transform(filter(split({part(4)}, '&', -1), p -> p RLIKE {_s('(?s)^[^=]*=.')}), p -> struct({plain('(?s)^([^=]*)=')} AS k, {plain('(?s)^[^=]*=(.*)$')} AS v))"
+    query = f"array_join(transform(array_sort({pairs}), p -> concat({coded('p.k')}, '=', {coded('p.v')})), '&')"
+    scheme, host, path = f"lower({part(1)})", f"lower({part(2)})", part(3)
+    return f"concat(if({scheme} <> '', concat({scheme}, ':'), ''), if({host} <> '' OR {scheme} <> '', concat('//', {host}), ''), if({path} = '', '/', {path}), {_let(query, 'q', lambda q: f"if({q} <> '', concat('?', {q}), '')")})"
 
 
 def register(spark: SparkSession) -> None:
-    """clean_text, clean_html, chunk_text, canonicalize_url, url_hash and cosine in SQL."""
-
-    def over(kind: str, one):
-        @F.arrow_udf(kind)
-        def run(values: pa.Array) -> pa.Array:
-            return pa.array([one(v) for v in values.to_pylist()], pa.list_(pa.string()) if kind.startswith("array") else pa.string())
-
-        return run
-
-    def body(h):
-        if h is None:
-            return None
-        root = html.parse(h)
-        for n in list(root.walk()):
-            if n.tag in html.DROPPED:
-                n.drop()
-        start = html.find(root, "body") or root
-        return clean(" ".join(t.strip() for t in start.texts() if t.strip()))
-
-    spark.udf.register("clean_text", over("string", clean))
-    spark.udf.register("clean_html", over("string", body))
+    """clean_text, clean_html, chunk_text, canonicalize_url, url_hash and cosine in SQL.
+
+    Python runs only below them where Spark has no function: normal forms, character references, chunking.
+    """
+    spark.udf.register("nfc", text.nfc)
+    spark.udf.register("unescape_html", html.unescape)
     spark.udf.register("chunk_text", chunk.chunk_udf())
-    spark.udf.register("canonicalize_url", over("string", canonical))
-    spark.udf.register("url_hash", over("string", lambda u: None if u is None else hashlib.md5(canonical(u).encode()).hexdigest()[:16]))
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN "
-        "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / sqrt(aggregate(a, 0D, (s, x) -> s + x * x) * aggregate(b, 0D, (s, x) -> s + x * x))"
-    )
+    dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    for name, args, kind, body in (
+        ("clean_text", "t STRING", "STRING", _clean_text("nfc(t)")),
+        ("clean_html", "h STRING", "STRING", _clean_text(f"nfc({_body('h')})")),
+        ("canonicalize_url", "u STRING", "STRING", _canonical("u")),
+        ("url_hash", "u STRING", "STRING", f"substr(md5(CAST(({_canonical('u')}) AS BINARY)), 1, 16)"),
+        ("cosine", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", f"{dot('a', 'b')} / sqrt({dot('a', 'a')} * {dot('b', 'b')})"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
