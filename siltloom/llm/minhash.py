@@ -43,7 +43,7 @@ PIVOTS, GROWTH = 8, 16
 #: Pairs of one node that meet its set in one task, about.
 SHARE = 256
 #: Tasks over which the rows of one band or entry are spread where it is looked up.
-DEAL = 32
+DEAL = 16
 
 
 @lru_cache(maxsize=1)
@@ -129,11 +129,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("n2"), F.col("c").alias("c2")), F.col("b") == F.col("n2")).groupBy("a").agg(F.min("c2").alias("c2"))
-        near = labels.join(seen, F.col("node") == F.col("a")).select("node", "c", F.least("c", "c2").alias("low"))
-        jump = near.select(F.col("node").alias("n3"), F.col("low").alias("low3"))
-        new = scratch.cut(near.join(jump, F.col("low") == F.col("n3"), "left").select("node", F.coalesce(F.least("low", "low3"), "low").alias("c"), (F.least("low", F.coalesce("low3", "low")) < F.col("c")).alias("moved")))
+        near = scratch.cut(labels.join(seen, F.col("node") == F.col("a")).select("node", "c", F.least("c", "c2").alias("low")))
+        # the label of each label in use; nodes of one label are spread, as it can be that of very many
+        lows = near.select(F.col("low").alias("n3")).distinct().join(near.select("node", F.col("low").alias("low3")), F.col("n3") == F.col("node"))
+        jump = lows.select("n3", "low3", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("copy"))
+        dealt = near.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEAL)).cast("int"))
+        new = scratch.cut(dealt.join(jump, (F.col("low") == F.col("n3")) & (F.col("deal") == F.col("copy")), "left").select("node", F.coalesce(F.least("low", "low3"), "low").alias("c"), (F.least("low", F.coalesce("low3", "low")) < F.col("c")).alias("moved")))
         done = new.where("moved").limit(1).count() == 0
-        scratch.drop(labels)
+        scratch.drop(labels, near)
         labels = new.select("node", "c")
         labels._siltloom_path = new._siltloom_path
         if done:
