@@ -70,29 +70,32 @@ def load(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
     return Index(read("postings"), read("vocabulary"), read("documents"), read("size").first()["mean_length"], key)
 
 
+def _parts(index: Index, questions: DataFrame, query: str, text: str, k1: float, b: float) -> DataFrame:
+    """What each term of a question adds to the score of each chunk that has it."""
+    asked = questions.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
+    sought = [r[0] for r in questions.select(F.explode(terms(F.col(text))).alias("term")).distinct().limit(FEW + 1).collect()]
+    postings, vocabulary = (t.where(F.col("term").isin(sought)) if len(sought) <= FEW else t for t in (index.postings, index.vocabulary))
+    hits = postings.join(asked.join(vocabulary, "term"), "term")
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length))
+    return hits.select(query, index.key, (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
+
+
 def scores(index: Index, questions: DataFrame, query: str = "query_id", text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
     """Score of every chunk that shares a term with a question; repeated terms of a question count each time.
 
     Only the postings of the questions' terms meet them. Few terms are sought in the files, which are in
     order of term; of more, Spark joins all postings with the terms.
     """
-    asked = questions.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
-    sought = [r[0] for r in asked.select("term").distinct().limit(FEW + 1).collect()]
-    postings, vocabulary = (t.where(F.col("term").isin(sought)) if len(sought) <= FEW else t for t in (index.postings, index.vocabulary))
-    hits = postings.join(asked.join(vocabulary, "term"), "term")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    return hits.groupBy(query, index.key).agg(F.sum(part).alias("score"))
+    return _parts(index, questions, query, text, k1, b).groupBy(query, index.key).agg(F.sum("part").alias("score"))
 
 
-def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_id", text: str = "question") -> DataFrame:
+def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_id", text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
     """query, key, score and rank of each question's k best chunks, ties (to nine places) to the smaller key.
 
     Always k rows if the collection has as many: chunks without a hit score 0, those of smallest key first.
     """
-    hits = cut(scores(index, questions, query, text))
     fill = index.documents.select(index.key).orderBy(index.key).limit(k)
-    zeros = questions.select(query).distinct().join(F.broadcast(fill)).select(query, index.key, F.lit(0.0).alias("score"))
-    zeros = zeros.join(hits.select(query, index.key), [query, index.key], "left_anti")
+    zeros = questions.select(query).distinct().join(F.broadcast(fill)).select(query, index.key, F.lit(0.0).alias("part"))
+    hits = _parts(index, questions, query, text, k1, b).unionByName(zeros).groupBy(query, index.key).agg(F.sum("part").alias("score"))
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), index.key)
-    return hits.unionByName(zeros).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
