@@ -12,6 +12,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .. import schemas
 from ..functions import register, text, urls
@@ -73,7 +74,7 @@ def cleaned_manifest(spark, sf_dir):
     return spark.read.schema("kind string, documents bigint, chars bigint").json(f"{path}/manifest")
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def docx(content: pa.Array) -> pa.Array:
     """A DOCX file with a paragraph per line."""
 
