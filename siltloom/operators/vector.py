@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructType
 
 METRICS = ("cosine", "l2", "inner")
-#: Questions, and vectors, of a block.
-QUESTION_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Questions of a block, and bytes of a block of vectors.
+QUESTION_BLOCK, BLOCK_BYTES = 1024, 1 << 24
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -91,22 +93,25 @@ def _kernel(k: int, metric: str, query: str, key: str, kinds):
 def search(vectors: DataFrame, questions: DataFrame, k: int = 25, metric: str = "cosine", key: str = "chunk_id", vec: str = "embedding", query: str = "query_id", q_vec: str = "q_embedding") -> DataFrame:
     """query, key, score and rank of each question's k nearest vectors, ties to the smaller key.
 
-    Questions and vectors are packed into blocks where they are. Each block of questions is dealt to as many
-    groups as there are groups of vectors, so a vector is sent once for each block of questions and
-    none passes the driver; a pair of blocks gives k rows per question at most. Vectors that are null, of another
-    dimension or without length take no part.
+    Vectors are dealt into blocks of ``BLOCK_BYTES``, questions packed where they are. Each block of questions is
+    sent to every group of vector blocks; none passes the driver. A pair of blocks gives k rows per question
+    at most. Vectors that are null, of another dimension or without length take no part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
     spark = vectors.sparkSession
     kinds = (questions.schema[query].dataType, vectors.schema[key].dataType)
     arrow = tuple(to_arrow_type(x) for x in kinds)
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, dim = vectors.agg(F.count("*"), F.max(F.size(vec))).first()
+    rows = max(1, BLOCK_BYTES // (8 * max(dim or 1, 1)))
+    blocks = max(1, math.ceil(n / rows))
+    groups = min(blocks, 4 * parts)
     shape = lambda name, x: StructType().add(f"{name}_dim", IntegerType()).add(f"{name}_keys", ArrayType(x)).add(f"{name}_vecs", BinaryType())
     # few rows of questions in many small tasks would make many small blocks
-    asked = questions.select(query, q_vec).where(F.col(q_vec).isNotNull()).coalesce(max(1, groups // 4)).mapInArrow(_packed(arrow[0], QUESTION_BLOCK, "q"), shape("q", kinds[0]))
+    asked = questions.select(query, q_vec).where(F.col(q_vec).isNotNull()).coalesce(max(1, parts // 4)).mapInArrow(_packed(arrow[0], QUESTION_BLOCK, "q"), shape("q", kinds[0]))
     asked = asked.withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    items = vectors.select(key, vec).mapInArrow(_packed(arrow[1], VECTOR_BLOCK, "x"), shape("x", kinds[1])).withColumn("x_group", F.pmod(F.xxhash64("x_vecs"), F.lit(groups)).cast("int"))
+    items = vectors.select(key, vec).repartition(blocks).mapInArrow(_packed(arrow[1], rows, "x"), shape("x", kinds[1])).withColumn("x_group", F.spark_partition_id() % groups)
     pairs = asked.join(items, (F.col("q_group") == F.col("x_group")) & (F.col("q_dim") == F.col("x_dim"))).select("q_dim", "q_keys", "q_vecs", "x_keys", "x_vecs")
     found = pairs.mapInArrow(_kernel(k, metric, query, key, arrow), StructType().add(query, kinds[0]).add(key, kinds[1]).add("score", DoubleType()))
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
