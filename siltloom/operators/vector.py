@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, St
 METRICS = ("cosine", "l2", "inner")
 #: Questions of a block, and bytes of a block of vectors.
 QUESTION_BLOCK, BLOCK_BYTES = 1024, 1 << 24
+#: Questions scored at once.
+AT_ONCE = 64
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -79,7 +81,9 @@ def _kernel(k: int, metric: str, query: str, key: str, kinds):
                 names = np.array(row["x_keys"])
                 place = np.argsort(names, kind="stable").argsort(kind="stable")
                 asked, found, scores = [], [], []
-                for i, s in enumerate(_scores(q, x, metric)):
+                # some questions at a time: a block of them against one of vectors is a large table
+                scored = (s for at in range(0, len(q), AT_ONCE) for s in _scores(q[at : at + AT_ONCE], x, metric))
+                for i, s in enumerate(scored):
                     near = np.flatnonzero(~np.isnan(s))
                     best = near[np.lexsort((place[near], -s[near]))[:k]]
                     asked += [row["q_keys"][i]] * len(best)
