@@ -1,18 +1,27 @@
-"""Okapi BM25 over an inverted index."""
+"""Okapi BM25 over an inverted index, stored in shards by chunk.
+
+All postings of a chunk are in one bucket, so a chunk's scores are summed where its postings are read, and
+only the k best chunks of each bucket leave it. In a bucket postings are in order of term.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
-from ..session import cut, delete, scratch
+from ..session import cut, delete, qualified, scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Terms of questions that are sought in the files; of more, all files are read.
+#: Words of questions that are sought in the files; of more, all files are read.
 FEW = 200
+#: Bytes of a collection, as Spark estimates them, in a bucket of postings; spark.sql.shuffle.partitions bounds the buckets.
+BUCKET_BYTES = 1 << 24
+#: Bytes of questions' terms that are sent to every bucket; more are joined by term.
+SENT_BYTES = 1 << 25
 
 
 def terms(text: Column) -> Column:
@@ -22,18 +31,19 @@ def terms(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """Stored tables: postings (term, key, tf, dl) in order of term, vocabulary (term, idf), documents (key, dl), and the mean dl."""
+    """Stored tables: postings (key, dl, term, tf), vocabulary (term, idf), documents (key, dl), the mean dl and the least idf."""
 
     postings: DataFrame
     vocabulary: DataFrame
     documents: DataFrame
     mean_length: float
+    least_idf: float
     key: str
 
 
 def _counted(words: Column) -> Column:
     """(term, tf) of an array of terms, from its sorted runs: no row of a document leaves its task."""
-    ordered = F.array_sort(words)
+    ordered = F.sort_array(words)  # by a compiled comparison
     starts = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
     runs = lambda w, s: F.transform(s, lambda i, k: F.struct(F.get(w, i - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - i).cast("double").alias("tf")))
     # each step is an array of one, so that the next reads its value instead of computing it again
@@ -44,47 +54,78 @@ def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon:
     """The index of a collection, stored in ``path`` (else in the shared folder) and read from there by every question.
 
     The collection is read once. Negative inverse frequencies become ``epsilon`` times the mean over all terms.
+    Every chunk has one posting more, of null term, which tells its length.
     """
     spark = chunks.sparkSession
-    root = path or scratch(spark, "bm25")
-    split = terms(F.coalesce(text, F.lit("")))
-    forward = cut(chunks.select(key, split.alias("w")).select(key, F.size("w").cast("double").alias("dl"), _counted(F.col("w")).alias("terms")), f"{root}/forward")
-    every = forward.select(key, "dl", F.explode("terms").alias("t")).select("t.term", key, "t.tf", "dl")
-    # by term and key: a term of very many chunks spreads over several files
-    every.repartitionByRange("term", key).sortWithinPartitions("term", key).write.option("compression", "zstd").parquet(f"{root}/postings")
-    forward.select(key, "dl").write.option("compression", "zstd").parquet(f"{root}/documents")
-    n, length = forward.agg(F.count("*"), F.avg("dl")).first()
-    spark.createDataFrame([(float(n), float(length or 0))], "n double, mean_length double").coalesce(1).write.parquet(f"{root}/size")
-    df = spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    root = qualified(spark, path or scratch(spark, "bm25"))
+    size = int(str(chunks.select(key, text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+    words = chunks.select(key, F.col(text).alias("__text")).repartition(buckets, key).select(key, terms(F.coalesce("__text", F.lit(""))).alias("w"))
+    counted = words.select(key, F.size("w").cast("double").alias("dl"), _counted(F.col("w")).alias("terms"))
+    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("tf")))
+    rows = counted.select(key, "dl", F.explode(F.concat(length, F.coalesce("terms", F.array()))).alias("t")).select(key, "dl", "t.term", "t.tf")
+    name = f"siltloom_bm25_{uuid.uuid4().hex}"
+    try:
+        rows.write.bucketBy(buckets, key).sortBy("term", key).option("compression", "zstd").option("path", f"{root}/postings").saveAsTable(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    postings = _bucketed(spark, f"{root}/postings", key, buckets)
+    n, mean_length = postings.where("term is null").agg(F.count("*"), F.avg("dl")).first()
+    df = postings.where("term is not null").groupBy("term").agg(F.count("*").cast("double").alias("df"))
     raw = cut(df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), f"{root}/raw")
-    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
-    raw.select("term", F.when(F.col("idf") < 0, F.lit(mean * epsilon)).otherwise(F.col("idf")).alias("idf")).write.option("compression", "zstd").parquet(f"{root}/vocabulary")
-    for name in ("forward", "raw"):
-        delete(spark, f"{root}/{name}")
+    mean, least = raw.agg(F.avg("idf"), F.min("idf")).first()
+    rare = (mean or 0.0) * epsilon
+    raw.select("term", F.when(F.col("idf") < 0, F.lit(rare)).otherwise(F.col("idf")).alias("idf")).write.option("compression", "zstd").parquet(f"{root}/vocabulary")
+    delete(spark, f"{root}/raw")
+    least_idf = min(rare, 0.0) if (least or 0.0) < 0 else 0.0
+    spark.createDataFrame([(float(n), float(mean_length or 0), float(least_idf), buckets)], "n double, mean_length double, least_idf double, buckets int").coalesce(1).write.parquet(f"{root}/size")
     return load(spark, root, key)
 
 
+def _bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """Postings, with Spark knowing their buckets. Only a table's definition tells it, so there is one meanwhile; the files stay."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    name = f"siltloom_bm25_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (term, `{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def load(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
     """A stored index."""
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("postings"), read("vocabulary"), read("documents"), read("size").first()["mean_length"], key)
+    root = qualified(spark, path)
+    size = spark.read.parquet(f"{root}/size").first()
+    postings = _bucketed(spark, f"{root}/postings", key, size["buckets"])
+    documents = postings.where("term is null").select(key, "dl")
+    return Index(postings, spark.read.parquet(f"{root}/vocabulary"), documents, size["mean_length"], size["least_idf"], key)
 
 
 def _parts(index: Index, questions: DataFrame, query: str, text: str, k1: float, b: float) -> DataFrame:
     """What each term of a question adds to the score of each chunk that has it."""
-    asked = questions.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
-    sought = [r[0] for r in questions.select(F.explode(terms(F.col(text))).alias("term")).distinct().limit(FEW + 1).collect()]
-    postings, vocabulary = (t.where(F.col("term").isin(sought)) if len(sought) <= FEW else t for t in (index.postings, index.vocabulary))
-    hits = postings.join(asked.join(vocabulary, "term"), "term")
+    words = questions.select(query, F.explode(terms(F.col(text))).alias("term"))
+    asked = words.groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
+    postings, vocabulary = index.postings.where("term is not null"), index.vocabulary
+    first = [r[0] for r in words.select("term").limit(FEW + 1).collect()]
+    if len(first) <= FEW:
+        sought = F.col("term").isin(sorted(set(first)))
+        postings, vocabulary = postings.where(sought), vocabulary.where(sought)
+        sent = sum(len(w.encode()) + 64 for w in first)
+    else:
+        sent = words.agg(F.sum(F.octet_length("term") + 64)).first()[0]
+    if sent <= SENT_BYTES:
+        known = F.broadcast(vocabulary.join(F.broadcast(asked), "term"))
+    else:
+        known = vocabulary.join(asked, "term")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length))
-    return hits.select(query, index.key, (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
+    return postings.join(known, "term").select(query, index.key, (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
 
 
 def scores(index: Index, questions: DataFrame, query: str = "query_id", text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
     """Score of every chunk that shares a term with a question; repeated terms of a question count each time.
 
-    Only the postings of the questions' terms meet them. Few terms are sought in the files, which are in
-    order of term; of more, Spark joins all postings with the terms.
+    Few words are sought in the files, which are in order of term; of more, every bucket meets all terms asked for.
     """
     return _parts(index, questions, query, text, k1, b).groupBy(query, index.key).agg(F.sum("part").alias("score"))
 
@@ -96,6 +137,9 @@ def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_i
     """
     fill = index.documents.select(index.key).orderBy(index.key).limit(k)
     zeros = questions.select(query).distinct().join(F.broadcast(fill)).select(query, index.key, F.lit(0.0).alias("part"))
-    hits = _parts(index, questions, query, text, k1, b).unionByName(zeros).groupBy(query, index.key).agg(F.sum("part").alias("score"))
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), index.key)
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = lambda parts: parts.groupBy(query, index.key).agg(F.sum("part").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    parts = _parts(index, questions, query, text, k1, b)
+    # where no score is negative, what the fill adds can't change which hits are best
+    found = parts if index.least_idf < 0 else ranked(parts).select(query, index.key, F.col("score").alias("part"))
+    return ranked(found.unionByName(zeros))

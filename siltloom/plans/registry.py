@@ -513,7 +513,7 @@ def _hybrid(spark, sf_dir) -> DataFrame:
     chunks = docs.join(vectors.select(F.col("vec_id").alias("v"), "embedding"), F.col("doc_id") == F.col("v"), "left").select("doc_id", "text", "source", "embedding")
     asked = _questions(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("q_embedding")), F.col("query_id") == F.col("v"), "left")
     near = vector.search(chunks, asked, 25, key="doc_id").where(F.col("score") >= 0.25)
-    words = bm25.top_k(bm25.build(chunks, key="doc_id"), asked)
+    words = bm25.top_k(bm25.build(docs, key="doc_id"), asked)
     facts = chunks.select("doc_id", "text", "source")
     beside = lambda df: df.join(facts, "doc_id").select("query_id", "rank", F.col("score"), "text", "doc_id", "source")
     return fusion.fuse(beside(near), beside(words))

@@ -72,7 +72,11 @@ def okapi(docs, question, k1=1.5, b=0.75, eps=0.25):
     return [sum(idf.get(q, 0) * w.count(q) * (k1 + 1) / (w.count(q) + k1 * (1 - b + b * len(w) / avg)) for q in question.split()) for w in words]
 
 
-def test_bm25(spark):
+@pytest.mark.parametrize("few, sent", [(200, 1 << 25), (0, 1 << 25), (0, 0)])
+def test_bm25(spark, few, sent, monkeypatch):
+    """By terms sought in the files, by terms sent to every bucket, and by a join."""
+    monkeypatch.setattr(bm25, "FEW", few)
+    monkeypatch.setattr(bm25, "SENT_BYTES", sent)
     docs = ["a b c a", "b c d", "the the a", "", "x y z", "a a a b", "c"]
     chunks = spark.createDataFrame(list(enumerate(docs)), "chunk_id int, text string")
     asked = spark.createDataFrame([(1, "a b a"), (2, "nothing"), (3, "x the")], "query_id int, question string")
@@ -85,6 +89,35 @@ def test_bm25(spark):
         assert [r.score for r in mine] == pytest.approx([s[i] for i in want])
 
 
+def test_bm25_stored(spark, tmp_path):
+    """A stored index opens again with its buckets: scores are summed without a shuffle by chunk. No table is left in the catalog."""
+    docs = [f"w{i % 7} w{i % 5} common" for i in range(40)] + [None, ""]
+    chunks = spark.createDataFrame(list(enumerate(docs)), "chunk_id int, text string")
+    built = bm25.build(chunks, path=str(tmp_path / "index"))
+    index = bm25.load(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "w1 w2 common")], "query_id int, question string")
+    rows = [[tuple(r) for r in bm25.top_k(x, asked, 5).orderBy("rank").collect()] for x in (built, index)]
+    assert rows[0] == rows[1] and len(rows[0]) == 5
+    assert index.documents.count() == 42 and {r.dl for r in index.documents.where("chunk_id >= 40").collect()} == {0.0}
+    scored = bm25.scores(index, asked)
+    scored.collect()
+    assert "hashpartitioning(chunk_id" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siltloom_bm25")]
+
+
+def test_bm25_negative(spark):
+    """Where terms of most chunks make the mean negative, chunks without a hit come first."""
+    docs = ["a a", "a", "a a a b", "a c"]
+    chunks = spark.createDataFrame(list(enumerate(docs)), "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "a")], "query_id int, question string")
+    index = bm25.build(chunks.where("chunk_id < 2"))
+    assert index.least_idf < 0
+    got = bm25.top_k(index, asked, 2).orderBy("rank").collect()
+    s = okapi(docs[:2], "a")
+    assert [r.chunk_id for r in got] == sorted(range(2), key=lambda i: (-s[i], i))
+    assert [r.score for r in got] == pytest.approx(sorted(s, reverse=True))
+
+
 @pytest.mark.parametrize("metric", vector.METRICS)
 def test_vector_search(spark, metric, monkeypatch):
     rng = np.random.default_rng(1)
