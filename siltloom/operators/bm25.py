@@ -18,8 +18,9 @@ from ..session import cut, delete, qualified, scratch
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words of questions that are sought in the files; of more, all files are read.
 FEW = 200
-#: Bytes of a collection, as Spark estimates them, in a bucket of postings; spark.sql.shuffle.partitions bounds the buckets.
-BUCKET_BYTES = 1 << 24
+#: Stored bytes of a collection, as Spark estimates them, in a bucket. Its postings, sorted in one task, take some 15 times as
+#: many. spark.sql.shuffle.partitions bounds the buckets.
+BUCKET_BYTES = 1 << 22
 #: Bytes of questions' terms that are sent to every bucket; more are joined by term.
 SENT_BYTES = 1 << 25
 
@@ -59,7 +60,8 @@ def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon:
     spark = chunks.sparkSession
     root = qualified(spark, path or scratch(spark, "bm25"))
     size = int(str(chunks.select(key, text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+    most = min(int(spark.conf.get(f"spark.sql.{x}")) for x in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
+    buckets = min(most, max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
     words = chunks.select(key, F.col(text).alias("__text")).repartition(buckets, key).select(key, terms(F.coalesce("__text", F.lit(""))).alias("w"))
     counted = words.select(key, F.size("w").cast("double").alias("dl"), _counted(F.col("w")).alias("terms"))
     length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("tf")))
