@@ -42,15 +42,6 @@ class Index:
     key: str
 
 
-def _counted(words: Column) -> Column:
-    """(term, tf) of an array of terms, from its sorted runs: no row of a document leaves its task."""
-    ordered = F.sort_array(words)  # by a compiled comparison
-    starts = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
-    runs = lambda w, s: F.transform(s, lambda i, k: F.struct(F.get(w, i - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - i).cast("double").alias("tf")))
-    # each step is an array of one, so that the next reads its value instead of computing it again
-    return F.when(F.size(words) > 0, F.transform(F.array(ordered), lambda w: F.transform(F.array(starts(w)), lambda s: runs(w, s))[0])[0])
-
-
 def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon: float = EPSILON, path: str | None = None) -> Index:
     """The index of a collection, stored in ``path`` (else in the shared folder) and read from there by every question.
 
@@ -62,10 +53,10 @@ def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon:
     size = int(str(chunks.select(key, text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = min(int(spark.conf.get(f"spark.sql.{x}")) for x in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
     buckets = min(most, max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
-    words = chunks.select(key, F.col(text).alias("__text")).repartition(buckets, key).select(key, terms(F.coalesce("__text", F.lit(""))).alias("w"))
-    counted = words.select(key, F.size("w").cast("double").alias("dl"), _counted(F.col("w")).alias("terms"))
-    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("tf")))
-    rows = counted.select(key, "dl", F.explode(F.concat(length, F.coalesce("terms", F.array()))).alias("t")).select(key, "dl", "t.term", "t.tf")
+    # rows that repeat a key are counted apart; what is counted is where its bucket is, so texts alone are shuffled
+    words = chunks.select(key, F.col(text).alias("__text")).repartition(buckets, key).select(key, F.monotonically_increasing_id().alias("__row"), terms(F.coalesce("__text", F.lit(""))).alias("__w"))
+    each = words.select(key, "__row", F.size("__w").cast("double").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "__w")).alias("term"))
+    rows = each.groupBy(key, "__row", "dl", "term").agg(F.count("*").cast("double").alias("tf")).drop("__row")
     name = f"siltloom_bm25_{uuid.uuid4().hex}"
     try:
         rows.write.bucketBy(buckets, key).sortBy("term", key).option("compression", "zstd").option("path", f"{root}/postings").saveAsTable(name)
