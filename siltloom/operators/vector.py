@@ -75,7 +75,7 @@ def _kernel(k: int, metric: str, query: str, key: str, kinds):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (one for i in range(batch.num_rows) for one in batch.slice(i, 1).to_pylist()):
                 d = row["q_dim"]
                 q, x = (np.frombuffer(row[c], np.float64).reshape(-1, d) for c in ("q_vecs", "x_vecs"))
                 names = np.array(row["x_keys"])
