@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch: what a Python worker holds at once, however large the input is.
+BATCH = {"maxRecordsPerBatch": 512, "maxBytesPerBatch": 1 << 22}
 
 
 def build(app: str = "siltloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,11 +25,22 @@ def build(app: str = "siltloom", master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH; what the session has set lower stays."""
+    for name, most in BATCH.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        set_to = spark.conf.get(key)
+        if set_to.isdigit() and 0 < int(set_to) <= most:
+            continue
+        spark.conf.set(key, str(most))
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
+    """Send this package to the Python workers, once per application, and bound what they hold.
 
     Needed where workers don't share the driver's import path.
     """
+    bound_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

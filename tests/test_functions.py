@@ -204,3 +204,29 @@ def test_references_without_a_semicolon(spark, tmp_path):
     assert html.decode_closed("&#38; &#x26; &#38 &amp") == "& & &#38 &amp"
     link = html.page_facts('<body><a href="?a=1&copy">k</a><!-- x&amp --></body>', open_references=False)
     assert link["links"] == [{"href": "?a=1&copy", "text": "k"}] and " x&amp " in link["nodes"]
+
+
+def test_python_holds_few_rows_at_once(spark, sf_dir):
+    import pyarrow as pa
+
+    from siltloom.plans.registry import table
+
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("10000", "64m")):
+            spark.conf.set(k, v)
+        table(spark, sf_dir, "documents")
+
+        @F.arrow_udf("long")
+        def held(v: pa.Array) -> pa.Array:
+            return pa.array([len(v)] * len(v), pa.int64())
+
+        short, long = (spark.range(3000, numPartitions=1).select(held(F.repeat(F.lit("x"), n)).alias("n")).agg(F.max("n")).first()[0] for n in (1, 100_000))
+        assert short <= 512 and long <= 64
+        spark.conf.set(keys[0], "7")
+        table(spark, sf_dir, "documents")
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
