@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,15 +60,34 @@ def replace_chars(text: Column, zero_width: str = "parity") -> Column:
     return text
 
 
+def _rare(phrase: str) -> list[str]:
+    """Letters of a phrase outside ASCII, in lower case; (?iu) takes for them their upper case and nothing else."""
+    return sorted({c for c in phrase.lower() if not c.isascii()})
+
+
+def _has(text: Column, letters: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.contains(text, F.lit(c)) | F.contains(text, F.lit(c.upper())) for c in letters))
+
+
 def remove_inline_junk(text: Column) -> Column:
     """Each phrase in turn; earlier ones may cut later, longer ones short.
 
+    A phrase is sought in texts that have all its letters outside ASCII: removing others adds no letters.
+
     Every phrase has a letter of JUNK_LETTERS or the word in it; texts without any are passed over.
     """
-    cleaned = text
-    for phrase in INLINE_JUNK:
-        cleaned = F.regexp_replace(cleaned, quoted(phrase), "")
-    return F.when(text.rlike(JUNK_LETTERS), cleaned).otherwise(text)
+    def less(needed: list[str], phrases: list[str], rest: Column):
+        return lambda v: F.when(_has(rest, needed), reduce(lambda y, p: F.regexp_replace(y, quoted(p), ""), phrases, v)).otherwise(v)
+
+    def cleaned(x: Column, rest: Column) -> Column:
+        for needed, phrases in groupby(INLINE_JUNK, _rare):
+            x = F.transform(F.array(x), less(needed, list(phrases), rest))[0]
+        return x
+
+    # each step is an array of one, so that the next reads its value instead of computing it again
+    rests = lambda x: F.array(F.regexp_replace(x, r"[\x00-\x7f]+", ""))
+    all_cleaned = F.transform(F.array(text), lambda x: F.transform(rests(x), lambda rest: cleaned(x, rest))[0])[0]
+    return F.when(text.rlike(JUNK_LETTERS), all_cleaned).otherwise(text)
 
 
 def weld(text: Column) -> Column:

@@ -230,3 +230,23 @@ def test_python_holds_few_rows_at_once(spark, sf_dir):
     finally:
         for k, v in zip(keys, old):
             spark.conf.set(k, v)
+
+
+def test_inline_junk_is_sought_where_its_letters_are(spark):
+    # each phrase is guarded, and what is left equals removal of all phrases in turn, also where a removal makes another phrase
+    import re
+
+    rng = random.Random(8)
+    bits = [*text.INLINE_JUNK, "VUI LÒNG CLICK", "Ấ", "đ", "vui lòng ", "xem ", "tại ", "đây", "chi tiết ", "lòng", "x", " ", "abc"]
+    rows = ["".join(rng.choice((b, b.upper(), b[: rng.randrange(1, len(b) + 1)])) for b in rng.choices(bits, k=6)) for _ in range(400)]
+    rows += ["vui lTẠI ĐÂYòng click", "xem tTẠI ĐÂYại đây", "plain", "", None]
+
+    def want(t):
+        for p in text.INLINE_JUNK:
+            t = re.sub(re.escape(p), "", t, flags=re.I)
+        return t
+
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, v string")
+    out = df.select("i", text.remove_inline_junk(F.col("v")).alias("out"))
+    assert [r.out for r in out.orderBy("i").collect()] == [None if t is None else want(t) for t in rows]
+    assert "contains" in out._jdf.queryExecution().optimizedPlan().toString().lower()
