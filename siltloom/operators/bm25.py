@@ -1,7 +1,7 @@
-"""Okapi BM25 over an inverted index, stored in shards by chunk.
+"""Okapi BM25 over an inverted index, stored in blocks of chunks.
 
-All postings of a chunk are in one bucket, so a chunk's scores are summed where its postings are read, and
-only the k best chunks of each bucket leave it. In a bucket postings are in order of term.
+All postings of a chunk are in one block, so a chunk's scores are summed where its block is read, and only
+the k best chunks of each block leave it. In a block the postings of a term are one row, in order of term.
 """
 
 from __future__ import annotations
@@ -9,19 +9,27 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..functions.text import SPACE
-from ..session import cut, delete, qualified, scratch
+from ..session import cut, qualified, scratch, ship
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words of questions that are sought in the files; of more, all files are read.
 FEW = 200
-#: Stored bytes of a collection, as Spark estimates them, in a bucket. Its postings, sorted in one task, take some 15 times as
-#: many. spark.sql.shuffle.partitions bounds the buckets.
+#: Stored bytes of a collection, as Spark estimates them, in a bucket. spark.sql.shuffle.partitions bounds the buckets.
 BUCKET_BYTES = 1 << 22
-#: Bytes of questions' terms that are sent to every bucket; more are joined by term.
+#: Bytes of text in a block, which a worker indexes and scores at once. A bucket has as many blocks as it needs.
+BLOCK_BYTES = 1 << 23
+#: Rows of an Arrow batch of postings.
+ROWS = 1 << 14
+#: Bytes of questions' terms that are sent to every block; more are joined by term.
 SENT_BYTES = 1 << 25
 
 
@@ -32,7 +40,7 @@ def terms(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """Stored tables: postings (key, dl, term, tf), vocabulary (term, idf), documents (key, dl), the mean dl and the least idf."""
+    """Stored tables: postings (block, term, n, keys, dls, tfs), vocabulary (term, idf), documents (key, dl), the mean dl and the least idf."""
 
     postings: DataFrame
     vocabulary: DataFrame
@@ -42,53 +50,98 @@ class Index:
     key: str
 
 
-def _counted(words: Column) -> Column:
-    """(term, tf) of an array of terms, from its sorted runs: no row of a document leaves its task."""
-    ordered = F.sort_array(words)  # by a compiled comparison
-    starts = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
-    runs = lambda w, s: F.transform(s, lambda i, k: F.struct(F.get(w, i - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - i).cast("double").alias("tf")))
-    # each step is an array of one, so that the next reads its value instead of computing it again
-    return F.when(F.size(words) > 0, F.transform(F.array(ordered), lambda w: F.transform(F.array(starts(w)), lambda s: runs(w, s))[0])[0])
+def _inverted(kind: pa.DataType, size: int):
+    """Turns (key, text) rows of a task, in order of key, into the postings of blocks of ``size`` bytes. A block is named by its first key."""
+    names, lists, counts = ["block", "term", "n", "keys", "dls", "tfs"], pa.list_(kind), pa.list_(pa.int32())
+
+    def flush(keys: list, lengths: list, words: list):
+        dl = np.array(lengths, np.int32)
+        encoded = pa.concat_arrays(words).dictionary_encode()
+        order = pc.array_sort_indices(encoded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # a word's term and chunk in one number: equal ones are the occurrences in a chunk
+        met, tf = np.unique(place[encoded.indices.to_numpy()] * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+        term, doc = np.divmod(met, len(dl))
+        ends = np.searchsorted(term, np.arange(len(order) + 1)).astype(np.int32)
+        # the first row, of no term, has every chunk's length
+        starts = pa.array(np.concatenate([np.zeros(1, np.int32), ends + np.int32(len(dl))]))
+        doc = np.concatenate([np.arange(len(dl)), doc])
+        all_keys = pa.array(keys, kind)
+        listed = lambda x, t: pa.ListArray.from_arrays(starts, x, type=t)
+        columns = [
+            pa.concat_arrays([pa.array([None], pa.string()), encoded.dictionary.take(pa.array(order))]),
+            pa.array(np.diff(starts.to_numpy())),
+            listed(all_keys.take(pa.array(doc)), lists),
+            listed(pa.array(dl[doc]), counts),
+            listed(pa.array(np.concatenate([np.zeros(len(dl), np.int32), tf.astype(np.int32)])), counts),
+        ]
+        out = pa.RecordBatch.from_arrays([pa.array([keys[0]] * len(columns[0]), kind), *columns], names=names)
+        for at in range(0, out.num_rows, ROWS):
+            yield out.slice(at, ROWS)
+
+    def run(batches):
+        keys, lengths, words, held = [], [], [], 0
+        for batch in batches:
+            flat = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                # chunks of equal key stay together, as their scores are one
+                if held >= size and key != keys[-1]:
+                    yield from flush(keys, lengths, [*words, pa.array(flat, pa.string())])
+                    keys, lengths, words, held, flat = [], [], [], 0, []
+                found = (text or b"").decode("utf-8", "replace").split()  # at white space as SPACE has it
+                flat += found
+                keys.append(key)
+                lengths.append(len(found))
+                held += len(text or b"")
+            words.append(pa.array(flat, pa.string()))
+        if keys:
+            yield from flush(keys, lengths, words)
+
+    return run
 
 
 def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon: float = EPSILON, path: str | None = None) -> Index:
     """The index of a collection, stored in ``path`` (else in the shared folder) and read from there by every question.
 
     The collection is read once. Negative inverse frequencies become ``epsilon`` times the mean over all terms.
-    Every chunk has one posting more, of null term, which tells its length.
+    Every block has one row more, of null term, which tells its chunks' lengths.
     """
     spark = chunks.sparkSession
+    ship(spark)
     root = qualified(spark, path or scratch(spark, "bm25"))
     size = int(str(chunks.select(key, text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     most = min(int(spark.conf.get(f"spark.sql.{x}")) for x in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
     buckets = min(most, max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
-    words = chunks.select(key, F.col(text).alias("__text")).repartition(buckets, key).select(key, terms(F.coalesce("__text", F.lit(""))).alias("w"))
-    counted = words.select(key, F.size("w").cast("double").alias("dl"), _counted(F.col("w")).alias("terms"))
-    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("tf")))
-    rows = counted.select(key, "dl", F.explode(F.concat(length, F.coalesce("terms", F.array()))).alias("t")).select(key, "dl", "t.term", "t.tf")
+    kind = chunks.schema[key].dataType
+    shape = StructType().add("block", kind).add("term", StringType()).add("n", IntegerType()).add("keys", ArrayType(kind)).add("dls", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType()))
+    # all keys of a task are of one bucket, and so is a block's name
+    rows = chunks.select(key, F.col(text).alias("__text")).repartition(buckets, key).sortWithinPartitions(key).mapInArrow(_inverted(to_arrow_type(kind), BLOCK_BYTES), shape)
     name = f"siltloom_bm25_{uuid.uuid4().hex}"
     try:
-        rows.write.bucketBy(buckets, key).sortBy("term", key).option("compression", "zstd").option("path", f"{root}/postings").saveAsTable(name)
+        rows.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{root}/postings").saveAsTable(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    postings = _bucketed(spark, f"{root}/postings", key, buckets)
-    n, mean_length = postings.where("term is null").agg(F.count("*"), F.avg("dl")).first()
-    df = postings.where("term is not null").groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    raw = cut(df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), f"{root}/raw")
+    postings = _bucketed(spark, f"{root}/postings", buckets)
+    n, mean_length = _documents(postings, key).agg(F.count("*"), F.avg("dl")).first()
+    df = postings.where("term is not null").groupBy("term").agg(F.sum("n").cast("double").alias("df"))
+    raw = cut(df.select("term", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), f"{root}/vocabulary")
     mean, least = raw.agg(F.avg("idf"), F.min("idf")).first()
     rare = (mean or 0.0) * epsilon
-    raw.select("term", F.when(F.col("idf") < 0, F.lit(rare)).otherwise(F.col("idf")).alias("idf")).write.option("compression", "zstd").parquet(f"{root}/vocabulary")
-    delete(spark, f"{root}/raw")
     least_idf = min(rare, 0.0) if (least or 0.0) < 0 else 0.0
-    spark.createDataFrame([(float(n), float(mean_length or 0), float(least_idf), buckets)], "n double, mean_length double, least_idf double, buckets int").coalesce(1).write.parquet(f"{root}/size")
+    spark.createDataFrame([(float(n), float(mean_length or 0), float(least_idf), float(rare), buckets)], "n double, mean_length double, least_idf double, rare double, buckets int").coalesce(1).write.parquet(f"{root}/size")
     return load(spark, root, key)
 
 
-def _bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+def _documents(postings: DataFrame, key: str) -> DataFrame:
+    return postings.where("term is null").select(F.explode(F.arrays_zip("keys", "dls")).alias("d")).select(F.col("d.keys").alias(key), F.col("d.dls").cast("double").alias("dl"))
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     """Postings, with Spark knowing their buckets. Only a table's definition tells it, so there is one meanwhile; the files stay."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
     name = f"siltloom_bm25_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (term, `{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (block) INTO {buckets} BUCKETS LOCATION '{path}'")
     try:
         return spark.table(name)
     finally:
@@ -99,13 +152,62 @@ def load(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
     """A stored index."""
     root = qualified(spark, path)
     size = spark.read.parquet(f"{root}/size").first()
-    postings = _bucketed(spark, f"{root}/postings", key, size["buckets"])
-    documents = postings.where("term is null").select(key, "dl")
-    return Index(postings, spark.read.parquet(f"{root}/vocabulary"), documents, size["mean_length"], size["least_idf"], key)
+    postings = _bucketed(spark, f"{root}/postings", size["buckets"])
+    idf = F.when(F.col("idf") < 0, F.lit(size["rare"])).otherwise(F.col("idf"))
+    vocabulary = spark.read.parquet(f"{root}/vocabulary").select("term", idf.alias("idf"))
+    return Index(postings, vocabulary, _documents(postings, key), size["mean_length"], size["least_idf"], key)
 
 
-def _parts(index: Index, questions: DataFrame, query: str, text: str, k1: float, b: float) -> DataFrame:
-    """What each term of a question adds to the score of each chunk that has it."""
+def _met(s: np.ndarray, hit: np.ndarray, place: np.ndarray, k: int | None) -> np.ndarray:
+    """Chunks with a hit; of more than k, those that can be among the k best, with ties to nine places by ``place``."""
+    at = np.flatnonzero(hit)
+    if k is None or len(at) <= k:
+        return at
+    # Spark rounds decimal digits, this the binary number: they differ by a last place at most
+    least = np.partition(s[at], len(at) - k)[len(at) - k] - 3e-9
+    at = at[s[at] >= least]
+    at = at[np.lexsort((place[at], -s[at]))]
+    # equal scores round alike, so the k smallest keys of each will do
+    new = np.flatnonzero(np.diff(s[at], prepend=np.inf))
+    return at[np.arange(len(at)) - np.repeat(new, np.diff(new, append=len(at))) < k]
+
+
+def _scorer(asked: dict, idf: dict, mean_length: float, k: int | None, k1: float, b: float, kinds, names):
+    """Scores of a block's chunks: query, key, score of every hit, or of those that can be among a question's k best."""
+
+    def run(block):
+        block = block.combine_chunks()
+        term = block.column("term").to_pylist()
+        keys, dl, tf = (block.column(c).combine_chunks() for c in ("keys", "dls", "tfs"))
+        ends = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
+        encoded = keys.flatten().dictionary_encode(null_encoding="encode")
+        doc, size = encoded.indices.to_numpy(), len(encoded.dictionary)
+        place = np.empty(size, np.int64)
+        place[pc.array_sort_indices(encoded.dictionary).to_numpy()] = np.arange(size)
+        dl, tf = (x.flatten().to_numpy().astype(np.float64) for x in (dl, tf))
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean_length))
+        rows = {t: slice(ends[i], ends[i + 1]) for i, t in enumerate(term)}
+        who, found, scores = [], [], []
+        for query, words in asked.items():
+            s, hit = np.zeros(size), np.zeros(size, bool)
+            for t, times in words:
+                if (r := rows.get(t)) is not None:
+                    np.add.at(s, doc[r], times * idf[t] * part[r])
+                    hit[doc[r]] = True
+            at = _met(s, hit, place, k)
+            if len(at):
+                who.append((query, len(at)))
+                found.append(at)
+                scores.append(s[at])
+        queries = pa.array([q for q, _ in who], kinds[0]).take(pa.array(np.repeat(np.arange(len(who)), [n for _, n in who]), pa.int64()))
+        chunks = encoded.dictionary.take(pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64()))
+        return pa.Table.from_arrays([queries, chunks.cast(kinds[1]), pa.array(np.concatenate([np.empty(0), *scores]))], names=names)
+
+    return run
+
+
+def _asked(index: Index, questions: DataFrame, query: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
+    """The terms asked for (query, term, times, idf), the postings to look at, and whether the terms can be sent."""
     words = questions.select(query, F.explode(terms(F.col(text))).alias("term"))
     asked = words.groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
     postings, vocabulary = index.postings.where("term is not null"), index.vocabulary
@@ -116,20 +218,42 @@ def _parts(index: Index, questions: DataFrame, query: str, text: str, k1: float,
         sent = sum(len(w.encode()) + 64 for w in first)
     else:
         sent = words.agg(F.sum(F.octet_length("term") + 64)).first()[0]
-    if sent <= SENT_BYTES:
-        known = F.broadcast(vocabulary.join(F.broadcast(asked), "term"))
-    else:
-        known = vocabulary.join(asked, "term")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length))
-    return postings.join(known, "term").select(query, index.key, (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
+    fits = sent <= SENT_BYTES
+    return vocabulary.join(F.broadcast(asked) if fits else asked, "term"), postings, fits
+
+
+def _parts(index: Index, known: DataFrame, postings: DataFrame, query: str, fits: bool, k1: float, b: float) -> DataFrame:
+    """What each term of a question adds to the score of each chunk that has it."""
+    both = postings.join(F.broadcast(known) if fits else known, "term").select(query, "times", "idf", F.explode(F.arrays_zip("keys", "dls", "tfs")).alias("p"))
+    tf = F.col("p.tfs").cast("double")
+    norm = tf + k1 * (1 - b + b * F.col("p.dls") / F.lit(index.mean_length))
+    return both.select(query, F.col("p.keys").alias(index.key), (F.col("times") * F.col("idf") * tf * (k1 + 1) / norm).alias("part"))
+
+
+def _sent(index: Index, known: DataFrame, postings: DataFrame, questions: DataFrame, query: str, k: int | None, k1: float, b: float) -> DataFrame:
+    """query, key and score by blocks, each of which gets all terms asked for."""
+    spark = postings.sparkSession
+    ship(spark)
+    asked, idf = {}, {}
+    for r in sorted(known.select(query, "term", "times", "idf").collect(), key=lambda r: r[1]):
+        asked.setdefault(r[0], []).append((r[1], r[2]))
+        idf[r[1]] = r[3]
+    wanted = spark.createDataFrame(pa.table({"term": pa.array(list(idf), pa.string())}))
+    types = (questions.schema[query].dataType, postings.schema["block"].dataType)
+    run = _scorer(asked, idf, index.mean_length, k, k1, b, tuple(to_arrow_type(t) for t in types), [query, index.key, "score"])
+    met = postings.join(F.broadcast(wanted), "term", "left_semi").select("block", "term", "keys", "dls", "tfs")
+    return met.groupBy("block").applyInArrow(run, StructType().add(query, types[0]).add(index.key, types[1]).add("score", DoubleType()))
 
 
 def scores(index: Index, questions: DataFrame, query: str = "query_id", text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
     """Score of every chunk that shares a term with a question; repeated terms of a question count each time.
 
-    Few words are sought in the files, which are in order of term; of more, every bucket meets all terms asked for.
+    Few words are sought in the files, which are in order of term; of more, every block meets all terms asked for.
     """
-    return _parts(index, questions, query, text, k1, b).groupBy(query, index.key).agg(F.sum("part").alias("score"))
+    known, postings, fits = _asked(index, questions, query, text)
+    if fits:
+        return _sent(index, known, postings, questions, query, None, k1, b)
+    return _parts(index, known, postings, query, fits, k1, b).groupBy(query, index.key).agg(F.sum("part").alias("score"))
 
 
 def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_id", text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
@@ -141,7 +265,12 @@ def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_i
     zeros = questions.select(query).distinct().join(F.broadcast(fill)).select(query, index.key, F.lit(0.0).alias("part"))
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), index.key)
     ranked = lambda parts: parts.groupBy(query, index.key).agg(F.sum("part").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    parts = _parts(index, questions, query, text, k1, b)
+    known, postings, fits = _asked(index, questions, query, text)
     # where no score is negative, what the fill adds can't change which hits are best
-    found = parts if index.least_idf < 0 else ranked(parts).select(query, index.key, F.col("score").alias("part"))
+    if index.least_idf < 0:
+        found = _parts(index, known, postings, query, fits, k1, b)
+    elif fits:
+        found = _sent(index, known, postings, questions, query, k, k1, b).withColumnRenamed("score", "part")
+    else:
+        found = ranked(_parts(index, known, postings, query, fits, k1, b)).select(query, index.key, F.col("score").alias("part"))
     return ranked(found.unionByName(zeros))

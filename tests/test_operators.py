@@ -105,6 +105,30 @@ def test_bm25_stored(spark, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("siltloom_bm25")]
 
 
+def test_bm25_blocks(spark, monkeypatch):
+    """A term has a row in a block, not one in a chunk; blocks give no more than a question's k best, of copies too, and chunks of equal key count together."""
+    monkeypatch.setattr(bm25, "BLOCK_BYTES", 300)
+    docs = [f"w{i % 7} w{i % 5} common w{i % 7}" if i % 3 else "w1 same text" for i in range(90)]
+    chunks = spark.createDataFrame(list(enumerate(docs)), "chunk_id int, text string")
+    index = bm25.build(chunks)
+    blocks = index.postings.where("term is null").count()
+    assert 4 < blocks < 60
+    assert index.postings.where("term = 'common'").count() <= blocks and index.postings.where("term = 'common'").agg({"n": "sum"}).first()[0] == 60
+    asked = spark.createDataFrame([(1, "w1 w1 same"), (2, "w3 common"), (3, "unknown")], "query_id int, question string")
+    got = bm25.top_k(index, asked, 4).orderBy("query_id", "rank").collect()
+    for q, text in [(1, "w1 w1 same"), (2, "w3 common"), (3, "unknown")]:
+        s = okapi(docs, text)
+        want = sorted(range(len(docs)), key=lambda i: (-round(s[i], 9), i))[:4]
+        mine = [r for r in got if r.query_id == q]
+        assert [r.chunk_id for r in mine] == want and [r.score for r in mine] == pytest.approx([s[i] for i in want])
+    assert [r.chunk_id for r in bm25.top_k(index, asked.where("query_id = 3"), 2).orderBy("rank").collect()] == [0, 1]
+    s, ids = np.array([1.0] * 50 + [2.0] * 2 + [1.0 + 1e-12] * 50), np.arange(102)
+    assert sorted(bm25._met(s, s > 0, ids[::-1].copy(), 4)) == [46, 47, 48, 49, 50, 51, 98, 99, 100, 101]
+    twice = bm25.build(chunks.union(chunks.where("chunk_id = 1")))
+    both = {r.chunk_id: r.score for r in bm25.scores(twice, asked.where("query_id = 2")).collect()}
+    assert both[1] == pytest.approx(2 * okapi([*docs, docs[1]], "w3 common")[1])
+
+
 def test_bm25_negative(spark):
     """Where terms of most chunks make the mean negative, chunks without a hit come first."""
     docs = ["a a", "a", "a a a b", "a c"]
