@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructType
 
 from ..functions.text import SPACE
 from ..session import cut, qualified, scratch, ship
@@ -40,7 +40,7 @@ def terms(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """Stored tables: postings (block, term, n, keys, dls, tfs), vocabulary (term, idf), documents (key, dl), the mean dl and the least idf."""
+    """Stored tables: postings (block, term, n, docs, tfs, keys, dls), vocabulary (term, idf), documents (key, dl), the mean dl and the least idf."""
 
     postings: DataFrame
     vocabulary: DataFrame
@@ -50,9 +50,32 @@ class Index:
     key: str
 
 
+def _packed(x: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of numbers as bytes, of as few each as the largest needs."""
+    x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
+def _unpacked(lists: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The numbers of packed lists of one block, one after another; ``n``: how many each has."""
+    data = b"".join(lists.to_pylist())
+    return np.frombuffer(data, f"u{len(data) // max(1, n.sum())}") if data else np.zeros(0, np.uint8)
+
+
+def _opened(block):
+    """Of a block its keys, lengths and terms, where each term's postings start, and their places and frequencies."""
+    block = block.combine_chunks()
+    term, n = block.column("term").to_pylist(), block.column("n").to_numpy()
+    head = term.index(None)
+    rest = np.delete(np.arange(len(term)), head)
+    docs, tfs = (_unpacked(block.column(c).combine_chunks().take(pa.array(rest)), n[rest]) for c in ("docs", "tfs"))
+    keys, dls = (block.column(c)[head].values for c in ("keys", "dls"))
+    return keys, dls.to_numpy(), [term[i] for i in rest], np.concatenate([[0], np.cumsum(n[rest])]), docs.astype(np.int64), tfs.astype(np.float64)
+
+
 def _inverted(kind: pa.DataType, size: int):
     """Turns (key, text) rows of a task, in order of key, into the postings of blocks of ``size`` bytes. A block is named by its first key."""
-    names, lists, counts = ["block", "term", "n", "keys", "dls", "tfs"], pa.list_(kind), pa.list_(pa.int32())
+    names = ["block", "term", "n", "docs", "tfs", "keys", "dls"]
 
     def flush(keys: list, lengths: list, words: list):
         dl = np.array(lengths, np.int32)
@@ -63,20 +86,21 @@ def _inverted(kind: pa.DataType, size: int):
         # a word's term and chunk in one number: equal ones are the occurrences in a chunk
         met, tf = np.unique(place[encoded.indices.to_numpy()] * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
         term, doc = np.divmod(met, len(dl))
-        ends = np.searchsorted(term, np.arange(len(order) + 1)).astype(np.int32)
-        # the first row, of no term, has every chunk's length
-        starts = pa.array(np.concatenate([np.zeros(1, np.int32), ends + np.int32(len(dl))]))
-        doc = np.concatenate([np.arange(len(dl)), doc])
-        all_keys = pa.array(keys, kind)
-        listed = lambda x, t: pa.ListArray.from_arrays(starts, x, type=t)
+        starts = np.concatenate([[0], np.searchsorted(term, np.arange(len(order) + 1))])
+        n = np.diff(starts)
+        n[0] = len(dl)
+        alone = lambda x, t: pa.concat_arrays([pa.array([x], pa.list_(t)), pa.nulls(len(order), pa.list_(t))])
         columns = [
+            pa.array([keys[0]] * len(n), kind),
             pa.concat_arrays([pa.array([None], pa.string()), encoded.dictionary.take(pa.array(order))]),
-            pa.array(np.diff(starts.to_numpy())),
-            listed(all_keys.take(pa.array(doc)), lists),
-            listed(pa.array(dl[doc]), counts),
-            listed(pa.array(np.concatenate([np.zeros(len(dl), np.int32), tf.astype(np.int32)])), counts),
+            pa.array(n.astype(np.int32)),
+            _packed(doc, starts),
+            _packed(tf, starts),
+            # the first row, of no term, has the chunks and their lengths
+            alone(keys, kind),
+            alone(lengths, pa.int32()),
         ]
-        out = pa.RecordBatch.from_arrays([pa.array([keys[0]] * len(columns[0]), kind), *columns], names=names)
+        out = pa.RecordBatch.from_arrays(columns, names=names)
         for at in range(0, out.num_rows, ROWS):
             yield out.slice(at, ROWS)
 
@@ -114,7 +138,7 @@ def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", epsilon:
     most = min(int(spark.conf.get(f"spark.sql.{x}")) for x in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
     buckets = min(most, max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
     kind = chunks.schema[key].dataType
-    shape = StructType().add("block", kind).add("term", StringType()).add("n", IntegerType()).add("keys", ArrayType(kind)).add("dls", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType()))
+    shape = StructType().add("block", kind).add("term", StringType()).add("n", IntegerType()).add("docs", BinaryType()).add("tfs", BinaryType()).add("keys", ArrayType(kind)).add("dls", ArrayType(IntegerType()))
     # all keys of a task are of one bucket, and so is a block's name
     rows = chunks.select(key, F.col(text).alias("__text")).repartition(buckets, key).sortWithinPartitions(key).mapInArrow(_inverted(to_arrow_type(kind), BLOCK_BYTES), shape)
     name = f"siltloom_bm25_{uuid.uuid4().hex}"
@@ -176,17 +200,13 @@ def _scorer(asked: dict, idf: dict, mean_length: float, k: int | None, k1: float
     """Scores of a block's chunks: query, key, score of every hit, or of those that can be among a question's k best."""
 
     def run(block):
-        block = block.combine_chunks()
-        term = block.column("term").to_pylist()
-        keys, dl, tf = (block.column(c).combine_chunks() for c in ("keys", "dls", "tfs"))
-        ends = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
-        encoded = keys.flatten().dictionary_encode(null_encoding="encode")
-        doc, size = encoded.indices.to_numpy(), len(encoded.dictionary)
+        keys, dl, terms_of, ends, place_of, tf = _opened(block)
+        encoded = keys.dictionary_encode(null_encoding="encode")
+        doc, size = encoded.indices.to_numpy()[place_of], len(encoded.dictionary)
         place = np.empty(size, np.int64)
         place[pc.array_sort_indices(encoded.dictionary).to_numpy()] = np.arange(size)
-        dl, tf = (x.flatten().to_numpy().astype(np.float64) for x in (dl, tf))
-        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean_length))
-        rows = {t: slice(ends[i], ends[i + 1]) for i, t in enumerate(term)}
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[place_of] / mean_length))
+        rows = {t: slice(ends[i], ends[i + 1]) for i, t in enumerate(terms_of)}
         who, found, scores = [], [], []
         for query, words in asked.items():
             s, hit = np.zeros(size), np.zeros(size, bool)
@@ -206,42 +226,54 @@ def _scorer(asked: dict, idf: dict, mean_length: float, k: int | None, k1: float
     return run
 
 
-def _asked(index: Index, questions: DataFrame, query: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
-    """The terms asked for (query, term, times, idf), the postings to look at, and whether the terms can be sent."""
+def _asked(index: Index, questions: DataFrame, query: str, text: str) -> tuple[DataFrame, Column, bool]:
+    """The terms asked for (query, term, times, idf), the rows of postings to look at, and whether the terms can be sent."""
     words = questions.select(query, F.explode(terms(F.col(text))).alias("term"))
     asked = words.groupBy(query, "term").agg(F.count("*").cast("double").alias("times"))
-    postings, vocabulary = index.postings.where("term is not null"), index.vocabulary
     first = [r[0] for r in words.select("term").limit(FEW + 1).collect()]
     if len(first) <= FEW:
         sought = F.col("term").isin(sorted(set(first)))
-        postings, vocabulary = postings.where(sought), vocabulary.where(sought)
-        sent = sum(len(w.encode()) + 64 for w in first)
-    else:
-        sent = words.agg(F.sum(F.octet_length("term") + 64)).first()[0]
-    fits = sent <= SENT_BYTES
-    return vocabulary.join(F.broadcast(asked) if fits else asked, "term"), postings, fits
+        known = index.vocabulary.where(sought).join(F.broadcast(asked), "term")
+        return known, F.col("term").isNull() | sought, sum(len(w.encode()) + 64 for w in first) <= SENT_BYTES
+    fits = words.agg(F.sum(F.octet_length("term") + 64)).first()[0] <= SENT_BYTES
+    return index.vocabulary.join(F.broadcast(asked) if fits else asked, "term"), F.lit(True), fits
+
+
+def _rows(names: list[str], kind: pa.DataType):
+    """A block's postings one by one: key, dl, term, tf."""
+
+    def run(block):
+        keys, dl, term, ends, doc, tf = _opened(block)
+        which = pa.array(np.repeat(np.arange(len(term)), np.diff(ends)), pa.int64())
+        return pa.Table.from_arrays([keys.take(pa.array(doc)).cast(kind), pa.array(dl[doc].astype(np.float64)), pa.array(term, pa.string()).take(which), pa.array(tf)], names=names)
+
+    return run
 
 
-def _parts(index: Index, known: DataFrame, postings: DataFrame, query: str, fits: bool, k1: float, b: float) -> DataFrame:
+def _parts(index: Index, known: DataFrame, wanted: Column, query: str, fits: bool, k1: float, b: float) -> DataFrame:
     """What each term of a question adds to the score of each chunk that has it."""
-    both = postings.join(F.broadcast(known) if fits else known, "term").select(query, "times", "idf", F.explode(F.arrays_zip("keys", "dls", "tfs")).alias("p"))
-    tf = F.col("p.tfs").cast("double")
-    norm = tf + k1 * (1 - b + b * F.col("p.dls") / F.lit(index.mean_length))
-    return both.select(query, F.col("p.keys").alias(index.key), (F.col("times") * F.col("idf") * tf * (k1 + 1) / norm).alias("part"))
+    ship(known.sparkSession)
+    kind = index.postings.schema["block"].dataType
+    shape = StructType().add(index.key, kind).add("dl", DoubleType()).add("term", StringType()).add("tf", DoubleType())
+    rows = index.postings.where(wanted).groupBy("block").applyInArrow(_rows(shape.names, to_arrow_type(kind)), shape)
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length))
+    return rows.join(F.broadcast(known) if fits else known, "term").select(query, index.key, (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("part"))
 
 
-def _sent(index: Index, known: DataFrame, postings: DataFrame, questions: DataFrame, query: str, k: int | None, k1: float, b: float) -> DataFrame:
+def _sent(index: Index, known: DataFrame, wanted: Column, questions: DataFrame, query: str, k: int | None, k1: float, b: float) -> DataFrame:
     """query, key and score by blocks, each of which gets all terms asked for."""
-    spark = postings.sparkSession
+    spark = known.sparkSession
     ship(spark)
     asked, idf = {}, {}
     for r in sorted(known.select(query, "term", "times", "idf").collect(), key=lambda r: r[1]):
         asked.setdefault(r[0], []).append((r[1], r[2]))
         idf[r[1]] = r[3]
-    wanted = spark.createDataFrame(pa.table({"term": pa.array(list(idf), pa.string())}))
-    types = (questions.schema[query].dataType, postings.schema["block"].dataType)
+    # beside the rows of no term
+    sought = spark.createDataFrame(pa.table({"term": pa.array([None, *idf], pa.string())}))
+    types = (questions.schema[query].dataType, index.postings.schema["block"].dataType)
     run = _scorer(asked, idf, index.mean_length, k, k1, b, tuple(to_arrow_type(t) for t in types), [query, index.key, "score"])
-    met = postings.join(F.broadcast(wanted), "term", "left_semi").select("block", "term", "keys", "dls", "tfs")
+    postings = index.postings.where(wanted)
+    met = postings.join(F.broadcast(sought), postings["term"].eqNullSafe(sought["term"]), "left_semi")
     return met.groupBy("block").applyInArrow(run, StructType().add(query, types[0]).add(index.key, types[1]).add("score", DoubleType()))
 
 
@@ -250,10 +282,10 @@ def scores(index: Index, questions: DataFrame, query: str = "query_id", text: st
 
     Few words are sought in the files, which are in order of term; of more, every block meets all terms asked for.
     """
-    known, postings, fits = _asked(index, questions, query, text)
+    known, wanted, fits = _asked(index, questions, query, text)
     if fits:
-        return _sent(index, known, postings, questions, query, None, k1, b)
-    return _parts(index, known, postings, query, fits, k1, b).groupBy(query, index.key).agg(F.sum("part").alias("score"))
+        return _sent(index, known, wanted, questions, query, None, k1, b)
+    return _parts(index, known, wanted, query, fits, k1, b).groupBy(query, index.key).agg(F.sum("part").alias("score"))
 
 
 def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_id", text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
@@ -265,12 +297,12 @@ def top_k(index: Index, questions: DataFrame, k: int = 15, query: str = "query_i
     zeros = questions.select(query).distinct().join(F.broadcast(fill)).select(query, index.key, F.lit(0.0).alias("part"))
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), index.key)
     ranked = lambda parts: parts.groupBy(query, index.key).agg(F.sum("part").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    known, postings, fits = _asked(index, questions, query, text)
+    known, wanted, fits = _asked(index, questions, query, text)
     # where no score is negative, what the fill adds can't change which hits are best
     if index.least_idf < 0:
-        found = _parts(index, known, postings, query, fits, k1, b)
+        found = _parts(index, known, wanted, query, fits, k1, b)
     elif fits:
-        found = _sent(index, known, postings, questions, query, k, k1, b).withColumnRenamed("score", "part")
+        found = _sent(index, known, wanted, questions, query, k, k1, b).withColumnRenamed("score", "part")
     else:
-        found = ranked(_parts(index, known, postings, query, fits, k1, b)).select(query, index.key, F.col("score").alias("part"))
+        found = ranked(_parts(index, known, wanted, query, fits, k1, b)).select(query, index.key, F.col("score").alias("part"))
     return ranked(found.unionByName(zeros))
